@@ -199,6 +199,11 @@ def thin_edge(radii: DataFrame, groups: Sequence[str], quantile: float) -> DataF
     if not 0 < quantile < 1:
         raise ValueError(f"quantile must lie in (0, 1), got {quantile}")
     counts = radii.groupBy(*groups, "d2").agg(F.count("*").alias("_n"))
+    return thin_edge_of_counts(counts, groups, quantile)
+
+
+def thin_edge_of_counts(counts: DataFrame, groups: Sequence[str], quantile: float) -> DataFrame:
+    """``thin_edge`` from rows of (group, d2, _n), for folds that share most of their images."""
     whole = Window.partitionBy(*groups)
     upto = whole.orderBy("d2").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumn("_cum", F.sum("_n").over(upto)).withColumn(
