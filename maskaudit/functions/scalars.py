@@ -77,7 +77,8 @@ def padded_id(number: Column, width: int = 2) -> Column:
 
 def format_na(value: Column, decimals: int) -> Column:
     """Format with a fixed count of decimals, and a missing value as NA."""
-    return F.coalesce(F.format_string(f"%.{decimals}f", value.cast("double")), F.lit("NA"))
+    text = F.format_string(f"%.{decimals}f", value.cast("double"))
+    return F.when(value.isNotNull(), text).otherwise(F.lit("NA"))
 
 
 def path_prefix(path: Column) -> Column:

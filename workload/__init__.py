@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "images")
+MODULES = ("scoring", "images", "registry")
 
 
 def load() -> None:
