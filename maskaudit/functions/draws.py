@@ -21,13 +21,14 @@ def draw_key(seed: int, purpose: str, *keys: Column) -> Column:
 def draw(seed: int, purpose: str, *keys: Column) -> Column:
     """Return a uniform BIGINT in ``[0, 2**60)``."""
     digits = F.substring(F.md5(draw_key(seed, purpose, *keys)), 1, DRAW_HEX_DIGITS)
-    return F.conv(digits, 16, 10).cast("bigint")
+    # Never NULL: a nullable draw used as a join key would be computed once more for a NULL filter.
+    return F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(0))
 
 
 def draw_int(seed: int, purpose: str, n: Column | int, *keys: Column) -> Column:
     """Return a uniform BIGINT in ``[0, n)``; the modulo bias is below ``n / 2**60``."""
     bound = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(draw(seed, purpose, *keys), bound.cast("bigint"))
+    return F.coalesce(F.pmod(draw(seed, purpose, *keys), bound.cast("bigint")), F.lit(0))
 
 
 def draw_unit(seed: int, purpose: str, *keys: Column) -> Column:

@@ -76,35 +76,59 @@ def squared_distance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, "row", F.col("_p.col").alias("col"), F.col("_p.d2").alias("d2"))
 
 
-def _thin_pass(mask: np.ndarray, first: bool) -> np.ndarray:
-    """Return the pixels one half-pass of Zhang-Suen thinning removes."""
-    p = np.pad(mask, 1).astype(np.uint8)
+def _removable() -> np.ndarray:
+    """For both half-passes, whether a pixel with a given ring of neighbours is removed.
+
+    Bit i of a ring is the i-th neighbour clockwise from north. A pixel goes when it has two to six
+    neighbours in one run, and the sides named by the half-pass are open (Zhang and Suen, 1984).
+    """
+    ring = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    count = ring.sum(axis=1)
+    runs = ((ring == 0) & (np.roll(ring, -1, axis=1) == 1)).sum(axis=1)
+    n, e, s, w = ring[:, 0], ring[:, 2], ring[:, 4], ring[:, 6]
+    thin = (count >= 2) & (count <= 6) & (runs == 1)
+    first = (n * e * s == 0) & (e * s * w == 0)
+    second = (n * e * w == 0) & (n * s * w == 0)
+    return np.stack([thin & first, thin & second])
+
+
+REMOVABLE = _removable()
+# Row and column steps to the neighbours, clockwise from north.
+RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def _thin_half(mask: np.ndarray, half: int) -> np.ndarray:
     h, w = mask.shape
-    # Neighbours clockwise from north.
-    around = [
-        p[1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w]
-        for dr, dc in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-    ]
-    n, e, s, w_ = around[0], around[2], around[4], around[6]
-    count = np.sum(around, axis=0)
-    changes = np.sum([(a == 0) & (b == 1) for a, b in zip(around, around[1:] + around[:1])], axis=0)
-    open_side = (n * e * s == 0) & (e * s * w_ == 0) if first else (n * e * w_ == 0) & (n * s * w_ == 0)
-    return mask & (count >= 2) & (count <= 6) & (changes == 1) & open_side
-
-
-def _thin_block(cells: np.ndarray, height: int, width: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run ``passes`` full passes; return what is left and what the last pass still removed."""
-    mask = np.zeros((height, width), dtype=bool)
-    mask.flat[cells] = True
+    padded = np.zeros((h + 2, w + 2), dtype=np.uint8)
+    padded[1:-1, 1:-1] = mask
+    code = np.zeros((h, w), dtype=np.uint8)
+    for bit, (dr, dc) in enumerate(RING):
+        code |= padded[1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w] << bit
+    return mask & ~REMOVABLE[half][code]
+
+
+def _thin_block(cells: np.ndarray, side: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Run ``passes`` full passes; return the cells left and those the last pass still removed.
+
+    Only the box around the cells is worked on: everything beyond it is background.
+    """
+    rows, cols = cells // side, cells % side
+    top, left = rows.min(), cols.min()
+    mask = np.zeros((rows.max() - top + 1, cols.max() - left + 1), dtype=bool)
+    mask[rows - top, cols - left] = True
     removed = np.zeros_like(mask)
-    for i in range(passes):
+    for _ in range(passes):
         before = mask
-        for first in (True, False):
-            mask = mask & ~_thin_pass(mask, first)
-        if i == passes - 1 or (before == mask).all():
-            removed = before & ~mask
+        mask = _thin_half(_thin_half(mask, 0), 1)
+        removed = before & ~mask
+        if not removed.any():
             break
-    return np.flatnonzero(mask), np.flatnonzero(removed)
+
+    def as_cells(marked: np.ndarray) -> np.ndarray:
+        r, c = np.nonzero(marked)
+        return (r + top) * side + c + left
+
+    return as_cells(mask), as_cells(removed)
 
 
 def _thinner(block: int, halo: int, passes: int):
@@ -115,7 +139,7 @@ def _thinner(block: int, halo: int, passes: int):
         for cells in batches:
             left, removed = [], []
             for one in cells:
-                a, b = _thin_block(np.asarray(one, dtype=np.int64), side, side, passes)
+                a, b = _thin_block(np.asarray(one, dtype=np.int64), side, passes)
                 inner = [
                     x[
                         (x // side >= halo) & (x // side < side - halo)

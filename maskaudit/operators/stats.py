@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from maskaudit.functions import draws
 from maskaudit.operators.ranking import exact_quantiles, keyed_rank
+from maskaudit.session import cut_lineage
+
+# About 50 MB of (group, position, value) rows.
+BROADCAST_VALUES = 500_000
 
 
 def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Sequence[str]) -> DataFrame:
@@ -21,7 +25,12 @@ def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Se
 
 
 def summarize(values: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """N, mean, sample SD, median, min and max of ``value`` per group."""
+    """N, mean, sample SD, median, min and max of ``value`` per group.
+
+    The values, one per item and metric, are materialised: both passes over them would otherwise
+    scan the pixels again.
+    """
+    values = cut_lineage(values)
     spread = values.groupBy(*groups).agg(
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
@@ -51,14 +60,22 @@ def bootstrap_mean_ci(
         raise ValueError(f"level must lie in (0, 1), got {level}")
     if resamples < 1:
         raise ValueError(f"need at least one resample, got {resamples}")
-    placed = keyed_rank(
-        values.withColumn("_d", draws.draw(seed, "position", F.col(id_col))),
-        groups, "_d", id_col, "pos",
-    ).select(*groups, "pos", "value")
+    spark = values.sparkSession
+    # One row per item and metric, read several times below: the pixels behind it are scanned once.
+    values = cut_lineage(values.select(*groups, id_col, "value"))
+    placed = cut_lineage(
+        keyed_rank(
+            values.withColumn("_d", draws.draw(seed, "position", F.col(id_col))),
+            groups, "_d", id_col, "pos",
+        ).select(*groups, "pos", "value")
+    )
     sizes = placed.groupBy(*groups).agg(F.count("*").alias("n"))
+    # A fixed number of partitions before the rows multiply: merged by size they would be too few.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         placed.select(*groups, "pos")
         .join(sizes, [*groups])
+        .repartition(partitions, *groups, "pos")
         .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         .select(
             *groups,
@@ -68,7 +85,11 @@ def bootstrap_mean_ci(
             ).alias("pos"),
         )
     )
-    means = drawn.join(placed, [*groups, "pos"]).groupBy(*groups, "resample").agg(
+    # Draws outnumber values by the resamples, so they stay in place while the values are counted
+    # to fit; beyond that both sides are shuffled on evenly spread positions.
+    fits = placed.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    source = F.broadcast(placed) if fits else placed
+    means = drawn.join(source, [*groups, "pos"]).groupBy(*groups, "resample").agg(
         F.avg("value").alias("m")
     )
     tail = (1 - level) / 2
@@ -83,6 +104,7 @@ def summary_with_ci(
     values: DataFrame, groups: Sequence[str], id_col: str, resamples: int, seed: int, level: float
 ) -> DataFrame:
     """Summary columns plus the bootstrap interval of the mean."""
+    values = cut_lineage(values)  # both halves start from the same rows
     ci = bootstrap_mean_ci(values, groups, id_col, resamples, seed, level)
     return summarize(values, groups).join(ci, [*groups])
 
@@ -111,6 +133,7 @@ def dataset_stats(images: DataFrame, keys: Sequence[str]) -> DataFrame:
 def subgroup_summary(values: DataFrame, groups: Sequence[str], flag: str) -> DataFrame:
     """Count, median, min and max of ``value`` for the flagged group and for the rest."""
     by = [*groups, flag]
+    values = cut_lineage(values)
     spread = values.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
     )

@@ -534,6 +534,11 @@ WHERE place = 1""",
 )
 
 
+def reg_dataset(supplier):
+    """Images 30 to 39 belong to a second dataset."""
+    return F.when(supplier % 40 < 30, DATASET).otherwise("stare")
+
+
 def reg_assignments(spark: SparkSession, sf: str) -> DataFrame:
     """Every order line assigns one of forty images a role, so leaks arise by themselves."""
     li = table(spark, sf, "lineitem")
@@ -541,7 +546,7 @@ def reg_assignments(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(
         F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"),
         (F.col("l_linenumber") % 3 + 1).cast("int").alias("fold"),
-        F.lit(DATASET).alias("dataset"),
+        reg_dataset(F.col("l_suppkey")).alias("dataset"),
         F.concat(F.lit("i"), (F.col("l_suppkey") % 40).cast("string")).alias("image_id"),
         role.alias("role"),
     )
@@ -549,7 +554,7 @@ def reg_assignments(spark: SparkSession, sf: str) -> DataFrame:
 
 cte(
     "reg_assignments",
-    """SELECT 'r' || l_orderkey AS run_id, cast(l_linenumber % 3 + 1 AS integer) AS fold, 'drive' AS dataset,
+    """SELECT 'r' || l_orderkey AS run_id, cast(l_linenumber % 3 + 1 AS integer) AS fold, CASE WHEN l_suppkey % 40 < 30 THEN 'drive' ELSE 'stare' END AS dataset,
        'i' || (l_suppkey % 40) AS image_id,
        CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'R' THEN 'val' ELSE 'test' END AS role
 FROM lineitem""",
@@ -564,7 +569,7 @@ def reg_images(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(key.alias("k"))
         .agg(F.count("*").alias("fov_pixels"))
         .select(
-            F.lit(DATASET).alias("dataset"), F.concat(F.lit("i"), F.col("k").cast("string")).alias("image_id"),
+            reg_dataset(F.col("k")).alias("dataset"), F.concat(F.lit("i"), F.col("k").cast("string")).alias("image_id"),
             "fov_pixels", (F.col("k") % 5 != 0).alias("has_labels"),
         )
     )
@@ -572,7 +577,7 @@ def reg_images(spark: SparkSession, sf: str) -> DataFrame:
 
 cte(
     "reg_images",
-    """SELECT 'drive' AS dataset, 'i' || (s_suppkey % 40) AS image_id, count(*) AS fov_pixels,
+    """SELECT CASE WHEN s_suppkey % 40 < 30 THEN 'drive' ELSE 'stare' END AS dataset, 'i' || (s_suppkey % 40) AS image_id, count(*) AS fov_pixels,
        (s_suppkey % 40) % 5 <> 0 AS has_labels
 FROM supplier GROUP BY s_suppkey % 40""",
 )
@@ -584,11 +589,12 @@ def reg_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return (
         li.groupBy(
             F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"),
+            reg_dataset(F.col("l_suppkey")).alias("dataset"),
             F.concat(F.lit("i"), (F.col("l_suppkey") % 40).cast("string")).alias("image_id"),
         )
         .agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("x"))
         .select(
-            "run_id", F.lit(DATASET).alias("dataset"), "image_id", F.lit("single").alias("prediction_mode"),
+            "run_id", "dataset", "image_id", F.lit("single").alias("prediction_mode"),
             F.when(F.col("d") > 0.01, F.col("d")).alias("brier"), (F.col("x") * 20).alias("dice"),
         )
     )
@@ -596,7 +602,7 @@ def reg_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 cte(
     "reg_metrics",
-    """SELECT 'r' || l_orderkey AS run_id, 'drive' AS dataset, 'i' || (l_suppkey % 40) AS image_id,
+    """SELECT 'r' || l_orderkey AS run_id, CASE WHEN l_suppkey % 40 < 30 THEN 'drive' ELSE 'stare' END AS dataset, 'i' || (l_suppkey % 40) AS image_id,
        'single' AS prediction_mode,
        CASE WHEN max(l_discount) > 0.01 THEN max(l_discount) END AS brier, max(l_tax) * 20 AS dice
 FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey, l_suppkey % 40""",

@@ -505,9 +505,10 @@ coverage AS (SELECT coalesce(t.run_id, m.run_id) AS run_id, count(t.run_id) AS n
   count(*) FILTER (t.run_id IS NOT NULL AND m.done) AS n_evaluated, count(*) FILTER (t.run_id IS NULL) AS n_untested
   FROM tested t FULL JOIN (SELECT run_id, dataset, image_id, bool_or(brier IS NOT NULL) AS done FROM reg_metrics GROUP BY ALL) m
   ON t.run_id = m.run_id AND t.dataset = m.dataset AND t.image_id = m.image_id GROUP BY 1),
-missing AS (SELECT a.run_id, (SELECT count(*) FROM reg_images WHERE has_labels)
-  - (SELECT count(*) FROM tested t JOIN reg_images i USING (dataset, image_id) WHERE t.run_id = a.run_id AND i.has_labels) AS n
-  FROM (SELECT DISTINCT run_id FROM reg_assignments) a),
+missing AS (SELECT a.run_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM tested t WHERE t.run_id = a.run_id
+    AND t.dataset = i.dataset AND t.image_id = i.image_id)) AS n
+  FROM (SELECT DISTINCT run_id, dataset FROM reg_assignments) a JOIN reg_images i ON i.dataset = a.dataset AND i.has_labels
+  GROUP BY a.run_id),
 problems AS (
   SELECT run_id, 'unfinished' AS rule, found || ' of ' || n_folds || ' folds complete' AS detail FROM facts
     WHERE finished_at IS NULL OR found <> n_folds
