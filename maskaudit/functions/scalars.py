@@ -129,6 +129,8 @@ def score_bucket(prob: Column) -> Column:
     p = prob.cast("double")
     return (
         F.when(p <= 0, F.lit(-(1 << 20)))
-        .otherwise(F.floor(F.log2(p) * F.lit(1024.0)))
+        # Never NULL: a nullable bucket as a join key would put a filter into one branch of the
+        # plan only, and the branches could no longer share their scan and shuffle.
+        .otherwise(F.coalesce(F.floor(F.log2(p) * F.lit(1024.0)), F.lit(0)))
         .cast("int")
     )
