@@ -120,17 +120,17 @@ def selection_rule(divisions: int) -> str:
 
 
 def score_bucket(prob: Column) -> Column:
-    """Return a monotone bucket of a FLOAT score in [0, 1] that holds at most about 2**14 values.
+    """Return a monotone bucket of a FLOAT score in [0, 1] that holds a bounded number of values.
 
-    A float has 2**23 steps per octave, so 1,024 log-spaced buckets per octave leave at most
-    12,000 distinct scores in one, and the 150 octaves of [0, 1] give at most 154,000 buckets.
-    Both bounds hold whatever the distribution of scores.
+    A float has 2**23 steps per octave, so 16 log-spaced buckets per octave leave at most 800,000
+    distinct scores in one, and the 150 octaves of [0, 1] give at most 2,400 buckets. Both bounds
+    hold whatever the distribution of scores.
     """
     p = prob.cast("double")
     return (
         F.when(p <= 0, F.lit(-(1 << 20)))
         # Never NULL: a nullable bucket as a join key would put a filter into one branch of the
         # plan only, and the branches could no longer share their scan and shuffle.
-        .otherwise(F.coalesce(F.floor(F.log2(p) * F.lit(1024.0)), F.lit(0)))
+        .otherwise(F.coalesce(F.floor(F.log2(p) * F.lit(16.0)), F.lit(0)))
         .cast("int")
     )
