@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from maskaudit.llm import chat
+from maskaudit.llm import chat, secrets
 
 REGISTRY = {
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
+    "op5_secrets": (secrets.op5_secrets, secrets.OP5_SQL),
 }
