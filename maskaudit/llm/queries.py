@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from maskaudit.llm import chat, licenses, pii, secrets
+from maskaudit.llm import chat, jaccard, licenses, pii, secrets
 
 REGISTRY = {
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
     "op3_licenses": (licenses.op3_licenses, licenses.OP3_SQL),
     "op5_secrets": (secrets.op5_secrets, secrets.OP5_SQL),
+    "op6_jaccard": (jaccard.op6_jaccard, jaccard.OP6_SQL),
     "op7_pii": (pii.op7_pii, None),
 }
