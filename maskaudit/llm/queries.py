@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from maskaudit.llm import chat, jaccard, licenses, pii, secrets
+from maskaudit.llm import chat, embeddings, jaccard, licenses, pii, secrets
 
 REGISTRY = {
+    "op1_embedding_dedup": (embeddings.op1_embedding_dedup, embeddings.OP1_SQL),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
     "op3_licenses": (licenses.op3_licenses, licenses.OP3_SQL),
     "op5_secrets": (secrets.op5_secrets, secrets.OP5_SQL),
