@@ -116,9 +116,17 @@ def disclosures(
     With N rows, n(v) of them holding the value, n(v, t) with the term beside it and n(t) holding the term, the
     pointwise mutual information log(N n(v, t) / (n(v) n(t))) over the information log(N / n(v)) of the value is the
     share that the term reveals. All counts run over all rows; terms beside a value in fewer than ``support``
-    distinct texts are left alone, as are values that every row holds.
+    distinct texts are left alone, as are values that every row holds. Before all words are counted, terms go whose
+    share is too small even if n(t) were only the rows that hold the term beside some value, as most frequent words'.
     """
     scratch = Scratch(docs.sparkSession)
+    n_rows = float(max(docs.count(), 1))
+
+    def share(n_term: Column) -> Column:
+        information = F.log(F.lit(n_rows) / F.col("n_value"))
+        mutual = F.log(F.col("n_joint") * F.lit(n_rows) / (F.col("n_value") * n_term))
+        return F.when(information > 0, mutual / information).otherwise(0.0)
+
     rows = scanned.where(F.col("_hit").isNotNull())
     near = rows.select("_blob", F.explode("_beside").alias("x")).select("_blob", "x.*")
     joint = (
@@ -127,29 +135,26 @@ def disclosures(
         .agg(F.sum("n").alias("n_joint"), F.count(F.lit(1)).alias("n_texts"))
         .where(F.col("n_texts") >= support)
     )
-    joint = scratch.put(joint)
-    terms = joint.select("term").distinct()
     with_value = (
         rows.select(F.explode(F.array_distinct(F.transform("_beside", lambda b: F.struct(b["kind"], b["value"])))).alias("x"))
         .select("x.*")
         .groupBy("kind", "value")
         .agg(F.count(F.lit(1)).alias("n_value"))
     )
+    beside_any = (
+        rows.select(F.explode(F.array_distinct(F.transform("_beside", lambda b: b["term"]))).alias("term"))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    )
+    joint = scratch.put(
+        joint.join(with_value, ["kind", "value"]).join(beside_any, "term").where(share(F.col("n_near")) >= generalise)
+    )
     with_term = (
         docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-        .join(terms, "term", "left_semi")
+        .join(joint.select("term").distinct(), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    n_rows = docs.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    information = F.log(F.lit(float(max(n_rows, 1))) / F.col("n_value"))
-    mutual = F.log(F.col("n_joint") * F.lit(float(max(n_rows, 1))) / (F.col("n_value") * F.col("n_term")))
-    shares = (
-        joint.join(with_value, ["kind", "value"])
-        .join(with_term, "term")
-        .withColumn("share", F.when(information > 0, mutual / information).otherwise(0.0))
-        .where(F.col("share") >= generalise)
-    )
+    shares = joint.join(with_term, "term").withColumn("share", share(F.col("n_term"))).where(F.col("share") >= generalise)
     return shares.select(
         "kind", "value", "term", "share",
         F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"),
