@@ -104,7 +104,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, keep: list[str] | None
         *columns, *[f"spans_{r.kind}" for r in rules],
         beside.alias("_beside"),
         F.when(found, F.col("_text")).alias("_hit"),
-        F.when(found, F.sha2("_text", 256)).alias("_blob"),
+        # A key of its own for texts without values, or all of them would meet in one task of a later join.
+        F.when(found, F.sha2("_text", 256)).otherwise(F.concat(F.lit("-"), F.hex(F.xxhash64(*columns, "_text")))).alias("_blob"),
     )
 
 
@@ -127,6 +128,10 @@ def disclosures(
         mutual = F.log(F.col("n_joint") * F.lit(n_rows) / (F.col("n_value") * n_term))
         return F.when(information > 0, mutual / information).otherwise(0.0)
 
+    def values(column: str) -> Column:
+        kind = F.lit(column.removeprefix("spans_")).alias("kind")
+        return F.transform(column, lambda s: F.struct(kind, s["value"].alias("value")))
+
     rows = scanned.where(F.col("_hit").isNotNull())
     near = rows.select("_blob", F.explode("_beside").alias("x")).select("_blob", "x.*")
     joint = (
@@ -136,7 +141,7 @@ def disclosures(
         .where(F.col("n_texts") >= support)
     )
     with_value = (
-        rows.select(F.explode(F.array_distinct(F.transform("_beside", lambda b: F.struct(b["kind"], b["value"])))).alias("x"))
+        rows.select(F.explode(F.array_distinct(F.concat(*[values(c) for c in scanned.columns if c.startswith("spans_")]))).alias("x"))
         .select("x.*")
         .groupBy("kind", "value")
         .agg(F.count(F.lit(1)).alias("n_value"))
