@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from maskaudit.llm import chat, embeddings, jaccard, licenses, pii, secrets
+from maskaudit.llm import chat, embeddings, jaccard, licenses, packing, pii, secrets
 
 REGISTRY = {
     "op1_embedding_dedup": (embeddings.op1_embedding_dedup, embeddings.OP1_SQL),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
     "op3_licenses": (licenses.op3_licenses, licenses.OP3_SQL),
+    "op4_packing": (packing.op4_packing, None),
     "op5_secrets": (secrets.op5_secrets, secrets.OP5_SQL),
     "op6_jaccard": (jaccard.op6_jaccard, jaccard.OP6_SQL),
     "op7_pii": (pii.op7_pii, None),
