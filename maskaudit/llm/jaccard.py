@@ -194,10 +194,13 @@ def _cut_sets(docs: DataFrame, n: int) -> DataFrame:
                 cut = (values >> np.uint64(64 - (CUTS.bit_length() - 1))).astype(np.int64)
                 owner = np.repeat(np.arange(j - i), np.diff(offsets))
                 at = np.searchsorted(owner * CUTS + cut, np.arange((j - i) * CUTS + 1))
-                raw = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                rows = pa.array(np.repeat(np.arange(i, j), CUTS))
+                # An id can stand for several texts; only the one that the owner was made of is meant.
+                meant = _owners(values, offsets) == batch.column("owner").slice(i, j - i).to_numpy()
+                at = at[:-1].reshape(-1, CUTS)[meant].ravel(), at[1:].reshape(-1, CUTS)[meant].ravel()
+                raw = [values[a:b].tobytes() for a, b in zip(*at)]
+                rows = pa.array(np.repeat(np.flatnonzero(meant) + i, CUTS))
                 columns = [batch.column(c).take(rows) for c in ("owner", "n", "leader", "leads")]
-                cuts = pa.array(np.tile(np.arange(CUTS, dtype=np.int32), j - i))
+                cuts = pa.array(np.tile(np.arange(CUTS, dtype=np.int32), int(meant.sum())))
                 yield pa.RecordBatch.from_arrays(
                     [*columns, cuts, pa.array(raw, pa.binary())], ["owner", "n", "leader", "leads", "cut", "grams"]
                 )
@@ -270,7 +273,9 @@ def jaccard_components(
         shared.select("owner").distinct().join(nodes, "owner").join(stars, "owner", "left").join(leading, "owner", "left")
         .select("owner", "n", "leader", F.coalesce("leads", F.lit(False)).alias("leads"), F.col("first_id").alias("doc_id"))
     )
-    sets = scratch.put(_cut_sets(docs.join(wanted, "doc_id").dropDuplicates(["owner"]), n))
+    # Rows of one doc_id are together after the join, so repeated ones go without another shuffle.
+    found = docs.join(wanted, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "owner", "_text"])
+    sets = scratch.put(_cut_sets(found, n))
     mine = sets.where(F.col("leader").isNotNull()).select(
         F.col("owner").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "cut", F.col("grams").alias("a_grams")
     )
