@@ -18,7 +18,7 @@ THRESHOLD = (85, 100)  # links have THRESHOLD[1] * intersection >= THRESHOLD[0]
 CUTS = 8  # fragments of the n-gram order in which overlaps are counted
 BUCKET = 1 << 20  # keys of equal fragments that one task looks at
 STEP = 1.5  # ratio of neighbouring fragment numbers
-MEMBER = "doc_id bigint, n bigint, owner bigint"
+MEMBER = "doc_id bigint, n bigint, owner bigint, level int, filled array<int>"
 
 
 def most_differences(size: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -46,8 +46,9 @@ def _owners(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (H.mix((sums[offsets[1:]] - sums[offsets[:-1]]) * H.BASE + size) >> np.uint64(1)).astype(np.int64)
 
 
-def members(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Return (doc_id, n: distinct n-grams, owner: what equal sets share; NULL without words)."""
+def members(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Return (doc_id, n: distinct n-grams, owner: what equal sets share; NULL without words, level, filled: how many
+    fragments hold an n-gram at that level and at each one above that a linked larger set can have)."""
 
     def run(batches):
         for batch in batches:
@@ -55,26 +56,36 @@ def members(docs: DataFrame, n: int = NGRAM) -> DataFrame:
             for i, j, values, offsets in _sets(texts, n):
                 size = np.diff(offsets)
                 owner = pa.array(_owners(values, offsets), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size), owner], ["doc_id", "n", "owner"])
+                level = fragment_level(size, threshold)
+                filled = [count for _, count, _ in _by_level(values, offsets, threshold)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(i, j - i), pa.array(size), owner, pa.array(level.astype(np.int32)),
+                     pa.array(list(np.array(filled, dtype=np.int32).T), pa.list_(pa.int32()))],
+                    ["doc_id", "n", "owner", "level", "filled"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, MEMBER)
 
 
-def _keys(values, offsets, numbers, which):
-    """Return (key, set index, non-empty fragments per set) of the sets ``which``, set i cut into numbers[i] parts."""
-    size = np.where(which, np.diff(offsets), 0)
-    owner = np.repeat(np.arange(len(size)), size)
-    keep = np.repeat(which, np.diff(offsets))
-    values = values[keep]
-    part = ((values >> np.uint64(32)) * numbers[owner].astype(np.uint64)) >> np.uint64(32)
-    first = np.ones(len(values), dtype=bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-    at = np.flatnonzero(first)
-    if len(at) == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(len(size), dtype=np.int64)
-    total = np.add.reduceat(H.mix(values + H.ODD), at)
-    key = H.mix(total + H.mix(part[at] * H.ODD + numbers[owner[at]].astype(np.uint64) * H.BASE))
-    return key, owner[at], np.bincount(owner[at], minlength=len(size))
+def _by_level(values, offsets, threshold):
+    """Cut sets at their own level and at each one above that a linked larger set can have.
+
+    Yields (which sets have the level, filled fragments per set, (set, fragment, number of fragments, begin) of those).
+    """
+    size = np.diff(offsets)
+    part, whole = threshold
+    own, above = fragment_level(size, threshold), fragment_level(size * whole // part, threshold)
+    for up in range(int((above - own).max(initial=0)) + 1):
+        which = (size > 0) & (own + up <= above)
+        numbers = np.ceil(STEP ** (own + up)).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        at = ((values >> np.uint64(32)) * numbers[owner].astype(np.uint64)) >> np.uint64(32)
+        first = np.ones(len(values), dtype=bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1])
+        begin = np.flatnonzero(first)
+        held = owner[begin]
+        filled = np.where(which, np.bincount(held, minlength=len(size)), 0)
+        yield which, filled, (held, at[begin], numbers[held], begin)
 
 
 def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -86,23 +97,25 @@ def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
     """
     size = np.diff(offsets)
     part, whole = threshold
-    larger = size * whole // part
-    own, above = fragment_level(size, threshold), fragment_level(larger, threshold)
-    limit = most_differences(larger, threshold)
+    limit = most_differences(size * whole // part, threshold)
+    mixed = H.mix(values + H.ODD)
     keys, owners = [], []
     few = np.zeros(len(size), dtype=bool)
-    for up in range(int((above - own).max(initial=0)) + 1):  # a linked larger set can be at any level up to ``above``
-        which = (size > 0) & (own + up <= above)
-        key, owner, filled = _keys(values, offsets, np.ceil(STEP ** (own + up)).astype(np.int64), which)
+    for which, filled, (held, fragment, numbers, begin) in _by_level(values, offsets, threshold):
+        if len(begin):
+            total = np.add.reduceat(mixed, begin)
+            key = H.mix(total + H.mix(fragment * H.ODD + numbers.astype(np.uint64) * H.BASE))
+            keys.append(key[which[held]])
+            owners.append(held[which[held]])
         few |= which & (filled <= limit)
-        keys.append(key)
-        owners.append(owner)
     if few.any():
         rank = np.arange(len(values)) - np.repeat(offsets[:-1], size)
         prefix = size - (part * size + whole - 1) // whole + 1
         here = np.repeat(few, size) & (rank < np.repeat(prefix, size))
         keys.append(H.mix(values[here] ^ H.BASE))
         owners.append(np.repeat(np.arange(len(size)), size)[here])
+    if not keys:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -255,9 +268,9 @@ def jaccard_components(
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    own = scratch.put(members(docs, n))
+    own = scratch.put(members(docs, n, threshold))
     nodes = own.where(F.col("owner").isNotNull() & F.col("doc_id").isNotNull()).groupBy("owner").agg(
-        F.min("doc_id").alias("first_id"), F.first("n").alias("n")
+        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "level", "filled")]
     )
     total = own.agg(F.sum("n")).collect()[0][0] or 0
     shared = scratch.put(shared_keys(docs.where(F.col("doc_id").isNotNull()), int(0.4 * total) // BUCKET + 1, n, threshold))
@@ -284,7 +297,10 @@ def jaccard_components(
     )
     first = scratch.put(_linked(_overlaps(mine.join(theirs, ["b", "cut"])), threshold))
     groups = scratch.put(connected_components(first, scratch))
-    more = scratch.put(_linked(_overlaps(_open_pairs(shared, nodes, groups, sets, threshold)), threshold))
+    pairs = scratch.put(_open_pairs(shared, nodes, groups, stars, threshold))
+    left = sets.select(F.col("owner").alias("a"), "cut", F.col("grams").alias("a_grams"))
+    right = sets.select(F.col("owner").alias("b"), "cut", F.col("grams").alias("b_grams"))
+    more = scratch.put(_linked(_overlaps(pairs.join(left, "a").join(right, ["b", "cut"])), threshold))
     joined = connected_components(
         groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch
     )
@@ -302,8 +318,12 @@ def jaccard_components(
     )
 
 
-def _open_pairs(shared, nodes, groups, sets, threshold) -> DataFrame:
-    """Return all candidate pairs of nodes in different components, with both sets' cuts."""
+def _open_pairs(shared, nodes, groups, stars, threshold) -> DataFrame:
+    """Return (a, b, na, nb) of all candidate pairs of nodes in different components that can be linked.
+
+    Left out are pairs that were compared with a leader, pairs too different in size, and pairs that share too few
+    keys: linked sets share all fragments that one of them fills but those that differences spoil.
+    """
     part, whole = threshold
     placed = (
         shared.join(groups.withColumnRenamed("node", "owner"), "owner", "left")
@@ -313,19 +333,24 @@ def _open_pairs(shared, nodes, groups, sets, threshold) -> DataFrame:
         placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where(F.col("lo") != F.col("hi")).select("key")
     )
-    rest = placed.join(unsettled, "key").join(nodes.select("owner", "n"), "owner").select("key", "owner", "component", "n")
-    one, two = rest.toDF("key", "a", "ca", "na"), rest.toDF("key", "b", "cb", "nb")
-    pairs = (
-        one.join(two, "key")
-        .where(
-            (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-            & (part * F.greatest("na", "nb") <= whole * F.least("na", "nb"))
-        )
-        .select("a", "b", "na", "nb").distinct()
+    rest = placed.join(unsettled, "key").select("key", "owner", "component")
+    met = (
+        rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key")
+        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+    )
+    seen = stars.select(F.least("owner", "leader").alias("a"), F.greatest("owner", "leader").alias("b"))
+    one = nodes.select(F.col("owner").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "level", "filled")])
+    two = nodes.select(F.col("owner").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "level", "filled")])
+    level = F.greatest("a_level", "b_level")
+    filled = F.greatest(*[F.coalesce(F.get(f"{x}_filled", level - F.col(f"{x}_level")), F.lit(0)) for x in "ab"])
+    differ = F.floor((F.col("a_n") + F.col("b_n")) * F.lit(whole - part) / F.lit(whole + part) + 1e-9)
+    return (
+        met.join(seen, ["a", "b"], "left_anti").join(one, "a").join(two, "b")
+        .where(part * F.greatest("a_n", "b_n") <= whole * F.least("a_n", "b_n"))
+        .where(F.col("keys") >= filled - differ)
+        .select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
     )
-    left = sets.select(F.col("owner").alias("a"), "cut", F.col("grams").alias("a_grams"))
-    right = sets.select(F.col("owner").alias("b"), "cut", F.col("grams").alias("b_grams"))
-    return pairs.join(left, "a").join(right, ["b", "cut"])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
