@@ -3,10 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from maskaudit.llm import decontamination, jaccard, langid, packing, secrets
+from maskaudit.llm.scratch import Scratch
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose text looks like one of the languages, learned from the labels of these documents."""
+    return langid.accepted(docs, langid.fit_on_documents(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies, and all without an id."""
+    groups = jaccard.jaccard_components(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without a passage of the benchmark, edited ones included."""
+    return decontamination.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep all documents, with secrets replaced by their kind."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts: a row per piece, with its ids and its place in a sequence."""
+    return packing.pack(docs.select("doc_id", "text"), packing.vocabulary())
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("decontamination", decontaminate),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+#: None: SQL cannot express the first stage, nor alignment and packing; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; every stage but the last is written to the shared folder and read again."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.put(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import numpy as np
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,18 +44,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Return (hashes of all words of all texts in order, offsets of each text's words).
 
-    Words are runs of bytes other than space and U+0009 to U+000D, with A-Z in lower case; equal words have equal
-    hashes. A polynomial over random byte values, taken from prefix sums of the whole chunk, hashes every word without
+    Words are runs of bytes other than ``apart`` (SPACE: space and U+0009 to U+000D; MARKS: all of ASCII but letters
+    and digits), with A-Z in lower case; equal words have equal hashes. A polynomial over random byte values, taken from prefix sums of the whole chunk, hashes every word without
     a Python step per word.
     """
     joined = "\n".join(t or "" for t in texts).encode("utf-8", "surrogatepass")
     raw = FOLD[np.frombuffer(joined, dtype=np.uint8)]
     lengths = [len((t or "").encode("utf-8", "surrogatepass")) if t and not t.isascii() else len(t or "") for t in texts]
     begins = np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64) + 1)))
-    inside = ~SPACE[raw]
+    inside = ~apart[raw]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(starts) == 0:

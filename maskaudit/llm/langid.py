@@ -152,6 +152,23 @@ class Model:
             np.add.at(count, owner[run[begins]], np.diff(np.concatenate((begins, [len(run)]))))
         return count, -total / np.log(2) / np.maximum(count, 1)[:, None]
 
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Return (letters, language, entropy, score, rejected) of each text, as ``identify`` describes them."""
+        letters, entropy = self.entropies(texts)
+        if not self.langs or not texts:
+            zero = np.zeros(len(texts))
+            return letters, np.full(len(texts), "und", dtype=object), zero, zero, np.ones(len(texts), dtype=bool)
+        best = entropy.argmin(axis=1)
+        least = entropy[np.arange(len(best)), best]
+        # The posterior of the best language for ten letters of such a text.
+        score = 1.0 / np.exp(np.clip((least[:, None] - entropy) * 10 * np.log(2), -60, 0)).sum(axis=1)
+        limits = self.limits if self.limits is not None else np.full(len(self.langs), np.inf)
+        rejected = least > limits[best] + 20.0 / np.sqrt(np.maximum(letters, 1))
+        empty = letters == 0
+        names = np.array([*self.langs, "und"], dtype=object)
+        pred = names[np.where(empty, len(self.langs), best)]
+        return letters, pred, np.where(empty, 0.0, least), np.where(empty, 0.0, score), empty | rejected
+
 
 def _unique(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Return (distinct grams, place of each among them); hash slots find most without sorting all grams."""
@@ -288,23 +305,10 @@ def _score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches):
         model = held.value
         for batch in batches:
-            letters, entropy = model.entropies(batch.column("text").to_pylist())
-            if model.langs:
-                best = entropy.argmin(axis=1)
-                least = entropy[np.arange(len(best)), best]
-                # The posterior of the best language for ten letters of such a text.
-                score = 1.0 / np.exp(np.clip((least[:, None] - entropy) * 10 * np.log(2), -60, 0)).sum(axis=1)
-                limits = model.limits if model.limits is not None else np.full(len(model.langs), np.inf)
-                rejected = least > limits[best] + 20.0 / np.sqrt(np.maximum(letters, 1))
-            else:
-                best, least, score, rejected = (np.zeros(len(letters)) for _ in range(4))
-            empty = (letters == 0) | (not model.langs)
-            names = np.array([*model.langs, "und"], dtype=object)
-            pred = names[np.where(empty, len(model.langs), best).astype(np.int64)]
+            letters, pred, least, score, rejected = model.judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in fields), pa.array(letters), pa.array(pred, pa.string()),
-                 pa.array(np.where(empty, 0.0, least)), pa.array(np.where(empty, 0.0, score)),
-                 pa.array(empty | rejected.astype(bool))],
+                 pa.array(least), pa.array(score), pa.array(rejected)],
                 [*(f.name for f in fields), "letters", "lang_pred", "entropy", "score", "rejected"],
             )
 
@@ -325,6 +329,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return _score(docs, model, [c for c in docs.columns if c != "text"] if keep is None else keep)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Return the rows of ``docs`` that ``identify`` does not reject, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~held.value.judge(batch.column("text").to_pylist())[4]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(doc_id: Column) -> Column:
     """Return crc32(doc_id as text) mod 3."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3

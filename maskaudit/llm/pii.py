@@ -232,25 +232,8 @@ def _rewritten(rules: tuple[Rule, ...]) -> Column:
             ),
         )
 
-    edits = F.array_sort(
-        F.concat(*[put(F.col(f"spans_{r.kind}"), F.lit(f"<{r.kind}>")) for r in rules], put(F.col("spans_term"), None))
-    )
-
-    def piece(text: Column, start: Column, end: Column) -> Column:
-        return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
-
-    text = F.col("_hit")
-    built = F.aggregate(
-        edits,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, e: F.when(
-            e["start"] >= acc["at"],
-            F.struct(
-                e["end"].alias("at"), F.concat(acc["out"], F.array(piece(text, acc["at"], e["start"]), e["mark"])).alias("out")
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], e["end"]).alias("at"), acc["out"].alias("out"))),
-    )
-    return F.concat(F.array_join(built["out"], ""), piece(text, built["at"], F.length(text).cast("bigint")))
+    edits = F.concat(*[put(F.col(f"spans_{r.kind}"), F.lit(f"<{r.kind}>")) for r in rules], put(F.col("spans_term"), None))
+    return spans.rewrite(F.col("_hit"), edits)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

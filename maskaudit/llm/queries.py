@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from maskaudit.llm import chat, embeddings, jaccard, langid, licenses, packing, pii, secrets, tokens
+from maskaudit.llm import chat, decontamination, embeddings, jaccard, langid, licenses, packing, pii, secrets, tokens
 
 REGISTRY = {
     "op1_embedding_dedup": (embeddings.op1_embedding_dedup, embeddings.OP1_SQL),
     "op8_token_counts": (tokens.op8_token_counts, None),
     "op9_language": (langid.op9_language, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
+    "op2_decontamination": (decontamination.op2_decontamination, None),
     "op3_licenses": (licenses.op3_licenses, licenses.OP3_SQL),
     "op4_packing": (packing.op4_packing, None),
     "op5_secrets": (secrets.op5_secrets, secrets.OP5_SQL),

@@ -111,6 +111,23 @@ def scan(
     return findings_by_path(paths, fresh if ledger is None else ledger.unionByName(fresh), rules), fresh
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Return ``docs`` with every secret in ``text`` replaced by ``<kind>``; ``n_chars`` follows where it is there."""
+    found, _ = scan(docs, None, rules, docs.columns)
+
+    def marked(rule: Rule) -> Column:
+        mark = F.lit(f"<{rule.kind}>").alias("mark")
+        return F.transform(f"spans_{rule.kind}", lambda s: F.struct(s["start"], s["end"], mark))
+
+    edits = F.concat(*[marked(r) for r in rules])
+    found = found.withColumn("_edits", edits)
+    changed = found.withColumn("text", F.when(F.size("_edits") > 0, spans.rewrite(F.col("text"), F.col("_edits"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.size("_edits") > 0, length).otherwise(F.col("n_chars")))
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, scanned once per distinct text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

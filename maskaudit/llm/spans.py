@@ -123,3 +123,23 @@ def listing(spans: dict[str, Column]) -> Column:
         ),
         ",",
     )
+
+
+def rewrite(text: Column, edits: Column) -> Column:
+    """Replace the spans of ``edits`` (array of struct<start, end, mark>) in ``text`` by their marks.
+
+    A span that begins inside one before it (by start, then end, then mark) goes without a mark of its own.
+    """
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
+
+    built = F.aggregate(
+        F.array_sort(edits),
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, e: F.when(
+            e["start"] >= acc["at"],
+            F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], e["start"]), e["mark"])).alias("out")),
+        ).otherwise(F.struct(F.greatest(acc["at"], e["end"]).alias("at"), acc["out"].alias("out"))),
+    )
+    return F.concat(F.array_join(built["out"], ""), piece(built["at"], F.length(text).cast("bigint")))
