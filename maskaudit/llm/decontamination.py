@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskaudit.llm import hashing as H
+from maskaudit.llm.columns import carried
 
 NGRAM = 3
 RARE = 0.75  # share of an item's n-grams, the rarest in the corpus, that are seeds
@@ -202,9 +203,9 @@ def find_passages(
     Two passes over the texts, without a shuffle of them: the first counts in how many texts each n-gram of an item
     stands, the second looks for each item's rarest ones and aligns the words around them. Items come in blocks of
     bounded size, a pass of both kinds per block. Items of fewer than ``n`` words and NULL items are not looked for;
-    NULL texts are empty; repeated rows are kept; an empty table gives no row.
+    NULL texts are empty; repeated rows are kept; an empty table gives no row; see ``carried`` for names that clash.
     """
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    others = [docs.schema[c] for c in carried(docs, tuple(c.split()[0] for c in FOUND.split(", ")))]
     out = docs.sparkSession.createDataFrame([], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), FOUND]))
     for held in _blocks(docs, benchmark, n, rare):
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskaudit.llm.columns import carried
 from maskaudit.llm.hashing import mix
 
 ORDER = 4
@@ -324,9 +325,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     ``lang_pred`` (least cross-entropy per letter, ties by name; ``und`` for NULL and texts without a letter),
     ``entropy`` (bits per letter), ``score`` (0 to 1) and ``rejected`` (``und``, or an entropy above the language's
     threshold plus 20 over the root of the letters, as short texts vary more). Languages of other columns are not
-    looked at; repeated rows are kept; an empty table gives no row.
+    looked at; repeated rows are kept; an empty table gives no row; see ``carried`` for names that clash.
     """
-    return _score(docs, model, [c for c in docs.columns if c != "text"] if keep is None else keep)
+    return _score(docs, model, carried(docs, tuple(c.split()[0] for c in SCORED.split(", ")), keep))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:

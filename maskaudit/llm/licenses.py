@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskaudit.llm.columns import carried
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -130,7 +132,7 @@ def find_licenses(
     template's words that the block holds). The template side is a parameter, so each row is joined where it lies and
     nothing is shuffled. NULL text counts as empty, repeated rows and NULL ids are kept, an empty table gives no row.
     """
-    columns = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    columns = carried(docs, ("n_words", "phrases", "notices"), keep)
     order = _strings(_global_order(templates))
     fewest = min((t.need for t in templates), default=1)
     probe = "|".join(GAP.join(p.split()) for p in phrases.values())

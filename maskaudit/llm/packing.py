@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskaudit.llm.columns import carried
+
 WINDOW = 1024
 END = 0  # id after each document
 POOL = 1 << 22  # tokens that are packed together
@@ -135,10 +137,10 @@ def pack(docs: DataFrame, path: str, size: int = WINDOW, end: int = END, pool: i
 
     Each task packs its own documents in pools of about ``pool`` tokens, which bounds memory, needs no shuffle and
     leaves a part of a window open per pool; a sequence's id is the partition's number times 2**32 plus a running
-    number. Repeated rows and NULL ids are packed as they come, an empty table gives no row. Names of columns above
-    are reserved.
+    number. Repeated rows and NULL ids are packed as they come, an empty table gives no row; see ``carried`` for
+    names that clash.
     """
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    others = [docs.schema[c] for c in carried(docs, tuple(c.split()[0] for c in PIECES.split(", ")))]
 
     def run(batches):
         from pyspark import TaskContext

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskaudit.llm import spans
+from maskaudit.llm.columns import carried
 from maskaudit.llm.scratch import Scratch
 from maskaudit.llm.spans import Rule, has, like
 
@@ -90,7 +91,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, keep: list[str] | None
     Adds ``spans_<kind>``, ``_beside`` and ``_hit`` (the text, where it holds a span) and ``_blob`` to the columns
     ``keep`` (default: all but ``text``).
     """
-    columns = keep if keep is not None else [c for c in docs.columns if c != "text"]
+    columns = carried(docs, (*(f"spans_{r.kind}" for r in rules), "spans_term", "sanitised"), keep)
     base = docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text"))
     base = base.withColumns({f"spans_{r.kind}": spans.find(F.col("_text"), r) for r in rules})
     beside = F.concat(
@@ -110,7 +111,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, keep: list[str] | None
 
 
 def disclosures(
-    scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    scanned: DataFrame, docs: DataFrame, rules: tuple[Rule, ...] = BASE, support: int = SUPPORT,
+    generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """Return (kind, value, term, share, action) of the terms that give a value away.
 
@@ -141,7 +143,7 @@ def disclosures(
         .where(F.col("n_texts") >= support)
     )
     with_value = (
-        rows.select(F.explode(F.array_distinct(F.concat(*[values(c) for c in scanned.columns if c.startswith("spans_")]))).alias("x"))
+        rows.select(F.explode(F.array_distinct(F.concat(*[values(f"spans_{r.kind}") for r in rules]))).alias("x"))
         .select("x.*")
         .groupBy("kind", "value")
         .agg(F.count(F.lit(1)).alias("n_value"))
@@ -186,13 +188,13 @@ def sanitise(docs: DataFrame, rules: tuple[Rule, ...] = BASE, keep: list[str] |
     disclose a value beside them, outside pattern spans, value: the action) and ``sanitised``: values become
     ``<kind>``, generalised words ``<term>``, removed words nothing; NULL where the text holds no value and stays.
 
-    NULL text counts as empty, rows that repeat and NULL ids are kept, an empty table gives no row; column names that
-    start with ``_`` or ``spans_`` are reserved.
+    NULL text counts as empty, rows that repeat and NULL ids are kept, an empty table gives no row; see ``carried`` for
+    names that clash.
     """
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.put(scan(docs, rules, keep))
-    columns = [c for c in scanned.columns if not c.startswith(("_", "spans_"))]
-    flagged = scratch.put(disclosures(scanned, docs, **thresholds))
+    columns = carried(docs, (*(f"spans_{r.kind}" for r in rules), "spans_term", "sanitised"), keep)
+    flagged = scratch.put(disclosures(scanned, docs, rules, **thresholds))
     near = scanned.where(F.size("_beside") > 0).select("_blob", "_hit", F.explode("_beside").alias("x"))
     per_text = (
         near.select("_blob", "x.*").distinct()

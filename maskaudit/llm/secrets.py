@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskaudit.llm import spans
+from maskaudit.llm.columns import carried
 from maskaudit.llm.scratch import Scratch
 from maskaudit.llm.spans import Rule, has, like
 
@@ -103,29 +104,35 @@ def scan(
     """Return (findings by path, new ledger rows), the ledger written to the shared folder before it is joined.
 
     ``keep`` names the columns of ``versions`` the findings carry (default: all but ``text``). Rows that repeat and
-    NULL ids are kept as they come; names that start with ``spans_`` or ``_`` are reserved.
+    NULL ids are kept as they come; see ``carried`` for names that clash.
     """
     fresh = Scratch(versions.sparkSession).put(scan_unseen(versions, ledger, rules))
-    columns = keep if keep is not None else [c for c in versions.columns if c != "text"]
+    columns = carried(versions, tuple(f"spans_{r.kind}" for r in rules), keep)
     paths = versions.select(*columns, blob_id(F.col("text")).alias("_version_blob"))
     return findings_by_path(paths, fresh if ledger is None else ledger.unionByName(fresh), rules), fresh
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Return ``docs`` with every secret in ``text`` replaced by ``<kind>``; ``n_chars`` follows where it is there."""
-    found, _ = scan(docs, None, rules, docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found, _ = scan(rows, None, rules)
 
     def marked(rule: Rule) -> Column:
         mark = F.lit(f"<{rule.kind}>").alias("mark")
         return F.transform(f"spans_{rule.kind}", lambda s: F.struct(s["start"], s["end"], mark))
 
-    edits = F.concat(*[marked(r) for r in rules])
-    found = found.withColumn("_edits", edits)
-    changed = found.withColumn("text", F.when(F.size("_edits") > 0, spans.rewrite(F.col("text"), F.col("_edits"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(F.size("_edits") > 0, length).otherwise(F.col("n_chars")))
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.select("row", F.concat(*[marked(r) for r in rules]).alias("edits"))
+    text = F.when(F.size("edits") > 0, spans.rewrite(F.col("row.text"), F.col("edits"))).otherwise(F.col("row.text"))
+    found = found.select("row", F.size("edits").alias("edits"), text.alias("new"))
+    out = []
+    for f in docs.schema.fields:
+        column = F.col(f"row.`{f.name}`")
+        if f.name == "text":
+            column = F.col("new")
+        elif f.name == "n_chars":
+            column = F.when(F.col("edits") > 0, F.length("new").cast(f.dataType)).otherwise(column)
+        out.append(column.alias(f.name))
+    return found.select(*out)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

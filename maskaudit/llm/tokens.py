@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskaudit.llm.columns import carried
 from maskaudit.llm.packing import vocabulary
 
 KEPT = 1 << 19  # words whose counts a task remembers
@@ -122,9 +123,9 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     Words are runs of bytes other than space and U+0009 to U+000D; each is matched with a space before it, as the
     vocabulary's word-initial pieces have it. NULL and empty texts have 0 words; repeated rows are kept; an empty
-    table gives no row; the names of the two columns are reserved.
+    table gives no row; see ``carried`` for names that clash.
     """
-    others = [f for f in docs.schema.fields if f.name != "text"]
+    others = [docs.schema[c] for c in carried(docs, ("n_words", "n_tokens"))]
 
     def run(batches):
         counts = _word_counts(path)
