@@ -19,6 +19,7 @@ TRAIN_CHARS = 4_000_000  # characters of labelled texts per language, about, tha
 CALIBRATION_CHARS = 1_000_000  # the same, of other texts, for the rejection thresholds
 CHUNK = 1 << 19  # characters scored at once
 SPREADS = 8.0  # standard deviations above a language's mean at which a text is rejected
+LEAD = 16  # characters before a part of a long text that it is seen with
 SPACE = 32
 GRAMS = "lang string, gram bigint, n bigint"
 
@@ -37,45 +38,61 @@ def _letters() -> np.ndarray:
 
 
 def _pieces(texts: list[str | None]):
-    """Yield (code points, text of each run, length of each run): texts in runs of at most CHUNK characters."""
-    held, owner, size = [], [], 0
+    """Yield (code points, text of each run, (length, lead) of each run): texts in runs of at most CHUNK characters.
+
+    A long text is several runs; each but the first begins with the LEAD characters before it, which only are the
+    context of those after them.
+    """
+    held, owner, lead, size = [], [], [], 0
+
+    def joined():
+        return _joined(held), np.array(owner), (np.array([len(x) for x in held]), np.array(lead))
+
     for k, text in enumerate(texts):
         text = text or ""
         for at in range(0, len(text), CHUNK):
-            part = text[max(0, at - (ORDER - 1)) : at + CHUNK] if at else text[:CHUNK]
+            before = min(at, LEAD)
+            part = text[at - before : at + CHUNK]
             if size and size + len(part) > CHUNK:
-                yield _joined(held), np.array(owner), np.array([len(x) for x in held])
-                held, owner, size = [], [], 0
+                yield joined()
+                held, owner, lead, size = [], [], [], 0
             held.append(part)
             owner.append(k)
+            lead.append(before)
             size += len(part)
     if held:
-        yield _joined(held), np.array(owner), np.array([len(x) for x in held])
+        yield joined()
 
 
 def _joined(parts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _grams(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(points: np.ndarray, runs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Return (n-grams of ORDER letters as 64-bit values, run of each), one per letter or first space after letters.
 
     A run is seen as lower-case letters with single spaces between and before; the last letter of a gram is its lowest
     16 bits.
     """
+    lengths, lead = runs
     letters = _letters()[points].astype(np.uint64)
     run = np.repeat(np.arange(len(lengths)), lengths)
     keep = np.ones(len(letters), dtype=bool)
     start = np.concatenate(([True], run[1:] != run[:-1])) if len(run) else keep
     keep[1:] = (letters[1:] != SPACE) | (letters[:-1] != SPACE)
     keep &= ~(start & (letters == SPACE))
+    counted = keep
+    if lead.any():
+        begin = np.cumsum(lengths) - lengths
+        counted = keep & (np.arange(len(letters)) - begin[run] >= lead[run])
+    counted = counted[keep]
     letters, run = letters[keep], run[keep]
     gram = letters.copy()
     for back in range(1, ORDER):
         before = np.full(len(letters), SPACE, dtype=np.uint64)
         before[back:] = np.where(run[back:] == run[:-back], letters[:-back], np.uint64(SPACE))
         gram |= before << np.uint64(16 * back)
-    return gram, run
+    return gram[counted], run[counted]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -86,8 +103,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
             texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs) if x == lang]
-                for points, _, lengths in _pieces(own):
-                    gram, n = np.unique(_grams(points, lengths)[0], return_counts=True)
+                for points, _, runs in _pieces(own):
+                    gram, n = np.unique(_grams(points, runs)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)],
                         ["lang", "gram", "n"],
@@ -141,8 +158,8 @@ class Model:
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Return (letters scored, mean negative log2 probability per letter by language) of each text."""
         total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
-        for points, owner, lengths in _pieces(texts):
-            gram, run = _grams(points, lengths)
+        for points, owner, runs in _pieces(texts):
+            gram, run = _grams(points, runs)
             if len(gram) == 0:
                 continue
             kinds, place = np.unique(gram, return_inverse=True) if len(gram) < 4096 else _unique(gram)
