@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +54,20 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     single = alone.select(F.col("a").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(roots).unionByName(single).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Return for each of n points the smallest point reachable over the links a - b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        if (root == before).all():
+            return root

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskaudit.llm.components import connected_components
+from maskaudit.llm.components import connected_components, least_reachable
 from maskaudit.llm.scratch import Scratch
 
 COSINE = 0.93
@@ -202,23 +202,6 @@ def _near_leaves(p, q, eps, same):
         stack += [(*h, *o) for h in halves for o in others]
 
 
-def _least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Return for each of n points the smallest point reachable over the links a - b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        if (root == before).all():
-            return root
-
-
 LINKS = "node bigint, links bigint, least bigint"
 
 
@@ -249,7 +232,7 @@ def _compare(pairs: DataFrame, axes: tuple[int, np.ndarray], cosine: float) -> D
                         continue
                     links[a:b] += hit @ my[c:d]
                     links[c + shift : d + shift] += hit.T @ mx[a:b]
-                    part = _least_reachable(b - a + d - c, i, j + (b - a))
+                    part = least_reachable(b - a + d - c, i, j + (b - a))
                     back = np.concatenate((np.arange(a, b), np.arange(c, d) + shift))
                     moved = np.flatnonzero(part != np.arange(len(part)))
                     ends.append(np.stack((back[moved], back[part[moved]])))
@@ -259,7 +242,7 @@ def _compare(pairs: DataFrame, axes: tuple[int, np.ndarray], cosine: float) -> D
                 order = np.argsort(nodes)
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
-                least = nodes[order][_least_reachable(len(nodes), rank[ends[0]], rank[ends[1]])[rank]]
+                least = nodes[order][least_reachable(len(nodes), rank[ends[0]], rank[ends[1]])[rank]]
                 at = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes[at]), pa.array(links[at]), pa.array(least[at])], ["node", "links", "least"]

@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskaudit.llm import hashing as H
-from maskaudit.llm.components import connected_components
+from maskaudit.llm.components import connected_components, least_reachable
 from maskaudit.llm.scratch import Scratch
 
 NGRAM = 4
 THRESHOLD = (85, 100)  # links have THRESHOLD[1] * intersection >= THRESHOLD[0] * union
-CUTS = 8  # fragments of the n-gram order in which overlaps are counted
+CUT = 4096  # n-grams of one fragment of the order in which overlaps are counted
+BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 18  # sets and n-grams of a block, about
 BUCKET = 1 << 20  # keys of equal fragments that one task looks at
 STEP = 1.5  # ratio of neighbouring fragment numbers
-MEMBER = "doc_id bigint, n bigint, owner bigint, level int, filled array<int>"
+MEMBER = "doc_id bigint, n bigint, owner bigint, level int"
 
 
 def most_differences(size: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -47,8 +48,7 @@ def _owners(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def members(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Return (doc_id, n: distinct n-grams, owner: what equal sets share; NULL without words, level, filled: how many
-    fragments hold an n-gram at that level and at each one above that a linked larger set can have)."""
+    """Return (doc_id, n: distinct n-grams, owner: what equal sets share; NULL without words, level: of its size)."""
 
     def run(batches):
         for batch in batches:
@@ -57,11 +57,9 @@ def members(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESH
                 size = np.diff(offsets)
                 owner = pa.array(_owners(values, offsets), mask=size == 0)
                 level = fragment_level(size, threshold)
-                filled = [count for _, count, _ in _by_level(values, offsets, threshold)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(size), owner, pa.array(level.astype(np.int32)),
-                     pa.array(list(np.array(filled, dtype=np.int32).T), pa.list_(pa.int32()))],
-                    ["doc_id", "n", "owner", "level", "filled"],
+                    [ids.slice(i, j - i), pa.array(size), owner, pa.array(level.astype(np.int32))],
+                    ["doc_id", "n", "owner", "level"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, MEMBER)
@@ -197,56 +195,74 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
     return spreaded.groupBy("bucket").applyInArrow(gather, "key bigint, owner bigint")
 
 
-def _cut_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Return each set of ``docs`` (text, owner, leader, leads) in CUTS rows: cut, and its n-grams in order."""
+def _sets_of(docs: DataFrame, n: int) -> DataFrame:
+    """Return (cluster, level, block, owner, grams: its n-grams in order) of ``docs`` (text and all but the last)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j, values, offsets in _sets(texts, n):
-                cut = (values >> np.uint64(64 - (CUTS.bit_length() - 1))).astype(np.int64)
-                owner = np.repeat(np.arange(j - i), np.diff(offsets))
-                at = np.searchsorted(owner * CUTS + cut, np.arange((j - i) * CUTS + 1))
+            for i, j, values, offsets in _sets(batch.column("text").to_pylist(), n):
                 # An id can stand for several texts; only the one that the owner was made of is meant.
-                meant = _owners(values, offsets) == batch.column("owner").slice(i, j - i).to_numpy()
-                at = at[:-1].reshape(-1, CUTS)[meant].ravel(), at[1:].reshape(-1, CUTS)[meant].ravel()
-                raw = [values[a:b].tobytes() for a, b in zip(*at)]
-                rows = pa.array(np.repeat(np.flatnonzero(meant) + i, CUTS))
-                columns = [batch.column(c).take(rows) for c in ("owner", "n", "leader", "leads")]
-                cuts = pa.array(np.tile(np.arange(CUTS, dtype=np.int32), int(meant.sum())))
+                meant = np.flatnonzero(_owners(values, offsets) == batch.column("owner").slice(i, j - i).to_numpy())
+                raw = [values[offsets[k] : offsets[k + 1]].tobytes() for k in meant]
+                rows = pa.array(meant + i)
+                names = ["cluster", "level", "block", "owner"]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, cuts, pa.array(raw, pa.binary())], ["owner", "n", "leader", "leads", "cut", "grams"]
+                    [*(batch.column(c).take(rows) for c in names), pa.array(raw, pa.binary())], [*names, "grams"]
                 )
 
-    return docs.select("text", "owner", "n", "leader", "leads").mapInArrow(
-        run, "owner bigint, n bigint, leader bigint, leads boolean, cut int, grams binary"
+    return docs.select("text", "cluster", "level", "block", "owner").mapInArrow(
+        run, "cluster bigint, level int, block int, owner bigint, grams binary"
     )
 
 
-def _overlaps(joined: DataFrame) -> DataFrame:
-    """Count the common n-grams of ``a_grams`` and ``b_grams`` per row of (a, b, na, nb, cut), then sum per pair."""
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], cut: int = CUT) -> np.ndarray:
+    """Return the overlap of each set of ``one`` with each of ``two`` (distinct values in order).
+
+    The order of all values is cut into fragments of ``cut`` values. In each fragment the sets are rows of zeros and
+    ones, whose products are the partial overlaps; these are summed per pair.
+    """
+    values, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    total = np.zeros((len(one), len(two)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    for low in range(0, len(values), cut):
+        a, b = np.searchsorted(place, (low, low + cut))
+        held = np.zeros((len(one) + len(two), cut), dtype=np.float32)
+        held[row[a:b], place[a:b] - low] = 1.0
+        total += held[: len(one)] @ held[len(one) :].T
+    return total.astype(np.int64)
+
+
+def _links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Compare the sets of ``one`` with those of ``two`` (NULL: with each other) in each row.
+
+    Returns (a, b): per row, each set that is linked, and the smallest owner it reaches by links within the row.
+    """
+    part, whole = threshold
 
     def run(batches):
         for batch in batches:
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column("a_grams").to_pylist(), batch.column("b_grams").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())],
-                ["a", "b", "na", "nb", "common"],
-            )
-
-    partial = joined.select("a", "b", "na", "nb", "a_grams", "b_grams").mapInArrow(
-        run, "a bigint, b bigint, na bigint, nb bigint, common bigint"
-    )
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-
-
-def _linked(pairs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    part, whole = threshold
-    union = F.col("na") + F.col("nb") - F.col("common")
-    return pairs.where(whole * F.col("common") >= part * union).select("a", "b")
+            for r in batch.to_pylist():
+                one, two = r["one"], r["two"] or []
+                sets = [np.frombuffer(x["grams"], dtype=np.uint64) for x in (*one, *two)]
+                owners = np.array([x["owner"] for x in (*one, *two)], dtype=np.int64)
+                size = np.array([len(x) for x in sets])
+                shift = len(one) if two else 0
+                common = overlaps(sets[: len(one)], sets[shift:])
+                union = size[: len(one), None] + size[None, shift:] - common
+                hit = whole * common >= part * union
+                i, j = np.nonzero(hit if two else np.triu(hit, 1))
+                if len(i) == 0:
+                    continue
+                order = np.argsort(owners)
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                least = owners[order][least_reachable(len(owners), rank[i], rank[j + shift])[rank]]
+                at = np.flatnonzero(least != owners)
+                yield pa.RecordBatch.from_arrays([pa.array(owners[at]), pa.array(least[at])], ["a", "b"])
+
+    return rows.select("one", "two").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(
@@ -259,9 +275,11 @@ def jaccard_components(
 
     1. Equal sets are one node. The n-gram order (by hash) is cut into fragments, more of them than linked sets can
        differ in; nodes that share a whole fragment are candidates. Passages that many texts share fill no fragment.
-    2. Each node is compared with the node it shares most fragments with (its leader), and links are joined up.
-    3. All candidate pairs that are still in different components are compared.
-    A comparison counts partial overlaps in each of CUTS fragments of the order separately and sums them per pair.
+    2. Candidates that hang together are a cluster, cut into blocks by size and hash. Blocks of a cluster whose sizes
+       allow links are compared, each pair of blocks in a row of its own: overlaps are counted in each fragment of the
+       order separately and summed per pair of sets. A row gives at most one link per set, so a dense group of near
+       copies does not become pairs.
+    3. Links are joined up.
 
     Texts without words are linked with nothing, whatever their number. Rows that repeat are kept; a NULL doc_id has a
     NULL component; other columns are ignored.
@@ -270,40 +288,29 @@ def jaccard_components(
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     own = scratch.put(members(docs, n, threshold))
     nodes = own.where(F.col("owner").isNotNull() & F.col("doc_id").isNotNull()).groupBy("owner").agg(
-        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "level", "filled")]
+        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "level")]
     )
     total = own.agg(F.sum("n")).collect()[0][0] or 0
     shared = scratch.put(shared_keys(docs.where(F.col("doc_id").isNotNull()), int(0.4 * total) // BUCKET + 1, n, threshold))
     least = shared.groupBy("key").agg(F.min("owner").alias("leader"))
-    stars = (
-        shared.join(least, "key").where(F.col("owner") != F.col("leader"))
-        .groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("keys"))
-        .groupBy("owner").agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("leader"))
-    )
-    stars = scratch.put(stars)
-    leading = stars.select(F.col("leader").alias("owner"), F.lit(True).alias("leads")).distinct()
-    wanted = (
-        shared.select("owner").distinct().join(nodes, "owner").join(stars, "owner", "left").join(leading, "owner", "left")
-        .select("owner", "n", "leader", F.coalesce("leads", F.lit(False)).alias("leads"), F.col("first_id").alias("doc_id"))
+    held = shared.join(least, "key").where(F.col("owner") != F.col("leader"))
+    clusters = connected_components(held.select(F.col("owner").alias("a"), F.col("leader").alias("b")), scratch)
+    placed = clusters.select(F.col("node").alias("owner"), F.col("component").alias("cluster")).join(nodes, "owner")
+    sizes = placed.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
+    number = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    placed = placed.join(sizes.select("cluster", "level", number.alias("blocks")), ["cluster", "level"]).select(
+        "cluster", "level", F.pmod(F.xxhash64("owner"), "blocks").cast("int").alias("block"), "owner",
+        F.col("first_id").alias("doc_id"),
     )
     # Rows of one doc_id are together after the join, so repeated ones go without another shuffle.
-    found = docs.join(wanted, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "owner", "_text"])
-    sets = scratch.put(_cut_sets(found, n))
-    mine = sets.where(F.col("leader").isNotNull()).select(
-        F.col("owner").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "cut", F.col("grams").alias("a_grams")
-    )
-    theirs = sets.where("leads").select(
-        F.col("owner").alias("b"), F.col("n").alias("nb"), "cut", F.col("grams").alias("b_grams")
-    )
-    first = scratch.put(_linked(_overlaps(mine.join(theirs, ["b", "cut"])), threshold))
-    groups = scratch.put(connected_components(first, scratch))
-    pairs = scratch.put(_open_pairs(shared, nodes, groups, stars, threshold))
-    left = sets.select(F.col("owner").alias("a"), "cut", F.col("grams").alias("a_grams"))
-    right = sets.select(F.col("owner").alias("b"), "cut", F.col("grams").alias("b_grams"))
-    more = scratch.put(_linked(_overlaps(pairs.join(left, "a").join(right, ["b", "cut"])), threshold))
-    joined = connected_components(
-        groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch
+    found = docs.join(placed, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "owner", "_text"])
+    key = ["cluster", "level", "block"]
+    blocks = scratch.put(
+        _sets_of(found, n).groupBy(*key).agg(F.collect_list(F.struct("owner", "grams")).alias("sets"))
     )
+    alone = blocks.where(F.size("sets") > 1).select(F.col("sets").alias("one"), F.lit(None).cast(SETS).alias("two"))
+    links = scratch.put(_links(alone, threshold).unionByName(_links(_block_pairs(blocks, threshold), threshold)))
+    joined = connected_components(links, scratch)
     smallest = (
         nodes.join(joined.withColumnRenamed("node", "owner"), "owner", "left")
         .withColumn("component", F.coalesce("component", "owner"))
@@ -318,39 +325,29 @@ def jaccard_components(
     )
 
 
-def _open_pairs(shared, nodes, groups, stars, threshold) -> DataFrame:
-    """Return (a, b, na, nb) of all candidate pairs of nodes in different components that can be linked.
+SETS = "array<struct<owner:bigint,grams:binary>>"
 
-    Left out are pairs that were compared with a leader, pairs too different in size, and pairs that share too few
-    keys: linked sets share all fragments that one of them fills but those that differences spoil.
-    """
+
+def level_reach(threshold: tuple[int, int]) -> int:
+    """Return how many levels above a set a linked larger one can be; small sizes make the largest steps."""
+    size = np.arange(1, 4096)
     part, whole = threshold
-    placed = (
-        shared.join(groups.withColumnRenamed("node", "owner"), "owner", "left")
-        .withColumn("component", F.coalesce("component", "owner"))
-    )
-    unsettled = (
-        placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where(F.col("lo") != F.col("hi")).select("key")
-    )
-    rest = placed.join(unsettled, "key").select("key", "owner", "component")
-    met = (
-        rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
-    )
-    seen = stars.select(F.least("owner", "leader").alias("a"), F.greatest("owner", "leader").alias("b"))
-    one = nodes.select(F.col("owner").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "level", "filled")])
-    two = nodes.select(F.col("owner").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "level", "filled")])
-    level = F.greatest("a_level", "b_level")
-    filled = F.greatest(*[F.coalesce(F.get(f"{x}_filled", level - F.col(f"{x}_level")), F.lit(0)) for x in "ab"])
-    differ = F.floor((F.col("a_n") + F.col("b_n")) * F.lit(whole - part) / F.lit(whole + part) + 1e-9)
-    return (
-        met.join(seen, ["a", "b"], "left_anti").join(one, "a").join(two, "b")
-        .where(part * F.greatest("a_n", "b_n") <= whole * F.least("a_n", "b_n"))
-        .where(F.col("keys") >= filled - differ)
-        .select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
-    )
+    return int((fragment_level(size * whole // part, threshold) - fragment_level(size, threshold)).max())
+
+
+def _block_pairs(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Return (one, two): the sets of each two blocks of a cluster whose levels allow links.
+
+    Only the blocks' names are paired, in clusters of several blocks; their sets then follow by name.
+    """
+    key = ["cluster", "level", "block"]
+    names = blocks.select(*key)
+    below = names.select("cluster", F.col("level").alias("l1"), F.col("block").alias("b1"))
+    beside = below.withColumn("level", F.explode(F.sequence("l1", F.col("l1") + level_reach(threshold))))
+    pairs = beside.join(names, ["cluster", "level"]).where((F.col("l1") < F.col("level")) | (F.col("b1") < F.col("block")))
+    first = blocks.select("cluster", F.col("level").alias("l1"), F.col("block").alias("b1"), F.col("sets").alias("one"))
+    second = blocks.select(*key, F.col("sets").alias("two"))
+    return pairs.join(first, ["cluster", "l1", "b1"]).join(second, key).select("one", "two")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

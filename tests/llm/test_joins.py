@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from maskaudit.llm import embeddings, jaccard
@@ -58,9 +59,17 @@ def near_copies(rng):
     return texts + texts[20:30]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_groups_equal_all_pairs(spark, seed):
-    texts = near_copies(random.Random(seed))
+def test_overlaps_sum_over_fragments():
+    rng = random.Random(13)
+    sets = [np.unique(np.array([rng.randrange(200) for _ in range(rng.randint(0, 60))], dtype=np.uint64)) for _ in range(14)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[6:]] for a in sets[:6]]
+    assert all(jaccard.overlaps(sets[:6], sets[6:], cut).tolist() == want for cut in (1, 7, 4096))
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 256), (2, 1)])
+def test_jaccard_groups_equal_all_pairs(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    texts = near_copies(random.Random(seed)) + ["p q r s t u v w x", "p q r s t u v w x y", "p q r s t u v w"]
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in enumerate(texts)], "doc_id int, text string, n int, owner string")
     sets = [shingles(t) for t in texts]
     links = [
