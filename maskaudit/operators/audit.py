@@ -59,8 +59,18 @@ def complete_folds(statuses: DataFrame) -> DataFrame:
 
 
 def rows_of_complete_folds(table: DataFrame, statuses: DataFrame) -> DataFrame:
-    """What readers may see: rows of folds whose completion was recorded."""
-    return table.join(complete_folds(statuses), ["run_id", "fold"], "left_semi")
+    """What readers may see: rows of folds whose completion was recorded.
+
+    Where rows carry the number of the ``attempt`` that wrote them, only those of the completed one are seen; a NULL
+    attempt belongs to whichever completed.
+    """
+    if "attempt" not in table.columns:
+        return table.join(complete_folds(statuses), ["run_id", "fold"], "left_semi")
+    done = statuses.where("status = 'complete'").select(
+        F.col("run_id").alias("_r"), F.col("fold").alias("_f"), F.col("attempts").alias("_a")
+    )
+    same = (F.col("run_id") == F.col("_r")) & (F.col("fold") == F.col("_f"))
+    return table.join(done, same & (F.coalesce("attempt", "_a") == F.col("_a")), "left_semi")
 
 
 def startable_folds(wanted: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -123,25 +133,20 @@ def duplicate_variants(runs: DataFrame) -> DataFrame:
 
 
 def never_tested(images: DataFrame, assignments: DataFrame, run_ids: Sequence[str]) -> DataFrame:
-    """Labelled images the named runs never tested, one anti join per run."""
+    """Labelled images the named runs never tested; each named run owes a test of every labelled image."""
     if not run_ids:
         raise ValueError("no runs to check")
-    labelled = images.where("has_labels").select("dataset", "image_id")
-    tested = assignments.where("role = 'test'")
-    out = None
-    for run_id in run_ids:
-        mine = tested.where(F.col("run_id") == run_id).select("dataset", "image_id")
-        part = labelled.join(mine, ["dataset", "image_id"], "left_anti").select(
-            F.lit(run_id).alias("run_id"), "dataset", "image_id"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    named = F.array(*[F.lit(r) for r in run_ids])
+    owed = images.where("has_labels").select(F.explode(named).alias("run_id"), "dataset", "image_id")
+    tested = assignments.where("role = 'test'").select("run_id", "dataset", "image_id")
+    return owed.join(tested, ["run_id", "dataset", "image_id"], "left_anti")
 
 
-def never_tested_counts(images: DataFrame, assignments: DataFrame) -> DataFrame:
+def never_tested_counts(images: DataFrame, assignments: DataFrame, runs: DataFrame) -> DataFrame:
     """How many labelled images each run never tested, without pairing runs with images.
 
-    A run owes one test to every labelled image of the datasets it was assigned.
+    A run owes one test to every labelled image of the datasets it was assigned, and without any assignment to every
+    labelled image there is.
     """
     labelled = images.where("has_labels").select("dataset", "image_id")
     needed = labelled.groupBy("dataset").agg(F.count("*").alias("_need"))
@@ -151,8 +156,13 @@ def never_tested_counts(images: DataFrame, assignments: DataFrame) -> DataFrame:
         .groupBy("run_id", "dataset")
         .agg(F.count("*").alias("_have"))
     )
+    datasets = F.array_sort(F.collect_set("dataset"))
+    every = needed.agg(datasets.alias("_every"))  # one row; the number of datasets is small
+    known = assignments.select("run_id", "dataset").distinct()
+    idle = runs.select("run_id").join(known, "run_id", "left_anti").withColumn("_k", F.lit(1))
+    owing = idle.join(every.withColumn("_k", F.lit(1)), "_k").select("run_id", F.explode("_every").alias("dataset"))
     return (
-        assignments.select("run_id", "dataset").distinct()
+        known.unionByName(owing)
         .join(needed, "dataset")
         .join(covered, ["run_id", "dataset"], "left")
         .groupBy("run_id")
@@ -195,25 +205,30 @@ def run_rules(runs: DataFrame, statuses: DataFrame, gpu_type: str, platform: str
     """The rules that need only a run's own row and its fold statuses, in one pass."""
     done = complete_folds(statuses).groupBy("run_id").agg(F.count("*").alias("_done"))
     n = F.get_json_object("config", "$.folds.n_folds").cast("int")
-    asked = F.get_json_object("config", "$.training.deterministic_ops") == "true"
+    asked = F.get_json_object("config", "$.training.deterministic_ops")
     found = F.coalesce("_done", F.lit(0))
+
+    def fails(holds: Column) -> Column:
+        """A rule is kept only where it surely holds: a missing value or key breaks it."""
+        return ~F.coalesce(holds, F.lit(False))
+
+    def shown(value: Column) -> Column:
+        return F.coalesce(value.cast("string"), F.lit("missing"))
+
     checks = {
         "unfinished": (
-            F.col("finished_at").isNull() | (found != n),
-            F.concat(found.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" folds complete")),
+            fails(F.col("finished_at").isNotNull() & (found == n)),
+            F.concat(found.cast("string"), F.lit(" of "), shown(n), F.lit(" folds complete")),
         ),
-        "dirty tree": (F.col("git_dirty"), F.lit("")),
+        "dirty tree": (fails(~F.col("git_dirty")), F.lit("")),
         "no tag": (F.col("git_tag").isNull(), F.lit("")),
         "hardware": (
-            (F.col("gpu_type") != gpu_type) | (F.col("compute_platform") != platform),
-            F.concat("gpu_type", F.lit(" on "), "compute_platform"),
+            fails((F.col("gpu_type") == gpu_type) & (F.col("compute_platform") == platform)),
+            F.concat(shown(F.col("gpu_type")), F.lit(" on "), shown(F.col("compute_platform"))),
         ),
         "determinism": (
-            F.col("deterministic_ops") != asked,
-            F.concat(
-                F.lit("recorded "), F.col("deterministic_ops").cast("string"),
-                F.lit(", asked "), asked.cast("string"),
-            ),
+            fails(F.col("deterministic_ops").cast("string") == asked),
+            F.concat(F.lit("recorded "), shown(F.col("deterministic_ops")), F.lit(", asked "), shown(asked)),
         ),
     }
     broken = [
@@ -244,21 +259,30 @@ def reportability(
 
     ``evaluations`` holds (run_id, commit, dirty) of each run's evaluation, ``artifacts``
     (run_id, fold, digest) of the checkpoints found, ``data_hashes`` (dataset, data_hash) of the
-    verified data, whose hash a run must have trained on.
+    verified data, whose hash a run must have trained on: each dataset that a run was assigned has to be verified
+    with the run's hash, and a run without assignments with some hash. A missing value breaks a rule.
     """
-    known = data_hashes.select("data_hash").distinct()
-    wrong_data = runs.join(known, "data_hash", "left_anti")
+    known = data_hashes.select("dataset", "data_hash").distinct()
+    used = runs.select("run_id", "data_hash").join(assignments.select("run_id", "dataset").distinct(), "run_id", "left")
+    unverified = (
+        used.where("dataset IS NOT NULL").join(known, ["dataset", "data_hash"], "left_anti").select("run_id", "data_hash")
+        .unionByName(
+            used.where("dataset IS NULL").join(known.select("data_hash").distinct(), "data_hash", "left_anti")
+            .select("run_id", "data_hash")
+        )
+    )
+    wrong_data = unverified.distinct()
     coverage = test_coverage(metrics, assignments)
     evaluated = evaluations.select("run_id", F.col("commit").alias("_c"), F.col("dirty").alias("_d"))
     code = runs.join(evaluated, "run_id", "left")
-    stale = F.col("_c").isNull() | (F.col("_c") != F.col("git_commit")) | F.col("_d")
+    stale = ~F.coalesce((F.col("_c") == F.col("git_commit")) & ~F.col("_d"), F.lit(False))
     count = F.count("*").cast("string")
-    missed = never_tested_counts(images, assignments)
+    missed = never_tested_counts(images, assignments, runs)
     leaks = leakage_audit(assignments).groupBy("run_id").agg(count.alias("n"))
     checkpoints = artifact_problems(statuses, artifacts)
     parts = [
         run_rules(runs, statuses, gpu_type, platform),
-        _rule(wrong_data, "data hash", F.col("data_hash")),
+        _rule(wrong_data, "data hash", F.coalesce("data_hash", F.lit("missing"))),
         _rule(missed, "never tested", F.concat(F.col("n_missing").cast("string"), F.lit(" labelled images"))),
         _rule(
             coverage.where("n_evaluated <> n_tested"),
@@ -273,7 +297,7 @@ def reportability(
         _rule(
             code.where(stale), "evaluation",
             F.when(F.col("_c").isNull(), "missing").otherwise(
-                F.concat(F.lit("by "), "_c", F.when(F.col("_d"), F.lit(" (dirty)")).otherwise(F.lit("")))
+                F.concat(F.lit("by "), "_c", F.when(F.col("_d"), " (dirty)").when(F.col("_d").isNull(), " (unknown)").otherwise(""))
             ),
         ),
         _rule(

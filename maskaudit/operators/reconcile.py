@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from maskaudit.functions import scalars as S
 
 FAN_IN = 4096
-FLAT_LINES = 1_000_000
+RUN_LEVELS = 4  # runs of runs of scores: 4096**4 positions before one group is longer
+PREFIXES = (8, 6, 4, 2)  # hex digits of a path's md5 that a part of a manifest shares
 
 
 def reconcile_paths(expected: DataFrame, found: DataFrame, path: str = "path") -> DataFrame:
@@ -89,43 +90,51 @@ def unknown_datasets(expected: DataFrame, datasets: Sequence[str]) -> DataFrame:
     return named.join(known, "dataset", "left_anti")
 
 
-def data_hash(entries: DataFrame, groups: Sequence[str], flat_lines: int = FLAT_LINES) -> DataFrame:
-    """One digest per group over its manifest lines, independent of row order.
+def data_hash(entries: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """One digest per group over its manifest lines, independent of row order, defined alike at every size.
 
-    Groups up to ``flat_lines`` lines are hashed as the manifest text sorted by path. Larger groups
-    are hashed in two steps, so that no task gathers them: lines are split by the leading digits of
-    the md5 of their path, each part is hashed as sorted text, and the parts' digests are hashed in
-    the order of their names. ``method`` tells which.
+    Lines are parted by eight hex digits of the md5 of their path; a part's digest is that of its lines in order of
+    path. Parts that share six, four, two and no digits are digested in turn, in order of their digits. So no task
+    holds more than 256 digests, or the lines that share 32 bits.
     """
     line = F.concat(manifest_line(F.col("path"), F.col("digest")), F.lit("\n"))
-    sizes = entries.groupBy(*groups).agg(F.count("*").alias("n_lines"))
-    sized = entries.select(*groups, "path", line.alias("_line")).join(sizes, [*groups])
-    # 65,536 parts: a group of a billion lines has about 15,000 in each.
-    large = F.col("n_lines") > flat_lines
-    part = F.when(large, F.substring(F.md5("path"), 1, 4)).otherwise(F.lit(""))
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("path", "_line"))), lambda s: s["_line"]), ""
+    level = entries.select(
+        *groups, F.substring(F.md5("path"), 1, PREFIXES[0]).alias("_part"), F.col("path").alias("_key"),
+        line.alias("_text"), F.lit(1).cast("bigint").alias("_n"),
     )
-    parts = sized.groupBy(*groups, "n_lines", part.alias("_part")).agg(F.sha2(text, 256).alias("_d"))
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("_part", "_d"))), lambda s: s["_d"]), ""
-    )
-    return parts.groupBy(*groups, "n_lines").agg(
-        F.when(F.max("_part") == "", F.max("_d")).otherwise(F.sha2(joined, 256)).alias("data_hash"),
-        F.when(F.max("_part") == "", "flat").otherwise("parts").alias("method"),
+    for digits in (*PREFIXES[1:], 0):
+        rows = F.array_sort(F.collect_list(F.struct("_key", "_text")))
+        level = (
+            level.groupBy(*groups, "_part")
+            .agg(F.sha2(F.array_join(F.transform(rows, lambda s: s["_text"]), ""), 256).alias("_text"), F.sum("_n").alias("_n"))
+            .select(*groups, F.substring("_part", 1, digits).alias("_part"), F.col("_part").alias("_key"), "_text", "_n")
+        )
+    rows = F.array_sort(F.collect_list(F.struct("_key", "_text")))
+    return level.groupBy(*groups).agg(
+        F.sum("_n").alias("n_lines"),
+        F.sha2(F.array_join(F.transform(rows, lambda s: s["_text"]), ""), 256).alias("data_hash"),
     )
 
 
+def exact_text(score: Column) -> Column:
+    """A FLOAT as three integers, whose value is theirs in units of 2**-30, 2**-90 and 2**-150."""
+    unit = score.cast("double") * F.lit(float(1 << 30))
+    first = F.floor(unit)
+    rest = (unit - first) * F.lit(float(1 << 60))
+    second = F.floor(rest)
+    third = (rest - second) * F.lit(float(1 << 60))
+    return F.concat_ws(".", *[x.cast("bigint").cast("string") for x in (first, second, third)])
+
+
 def score_digest(scored: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
     """One digest per item over its scores in position order.
 
-    Scores are hashed in runs of 4,096 positions, the run digests in runs of 4,096 again, and those
-    once more, so no group is longer than 4,096 up to 2**24 positions and one per 2**24 beyond.
+    Scores are hashed in runs of 4,096 positions, the run digests in runs of 4,096 again, and so on, so no group is
+    longer than 4,096 up to 2**48 positions.
     """
-    # Scores as whole units of 2**-24 keep the text the same on every engine.
-    units = F.floor(F.col("prob").cast("double") * F.lit(float(1 << 24)) + F.lit(0.5)).cast("bigint")
-    level = scored.select(*keys, position.cast("bigint").alias("_p"), units.cast("string").alias("_v"))
-    for _ in range(2):
+    # A FLOAT in [0, 1] is a whole number of units of 2**-150, written in three parts that are the same everywhere.
+    level = scored.select(*keys, position.cast("bigint").alias("_p"), exact_text(F.col("prob")).alias("_v"))
+    for _ in range(RUN_LEVELS):
         group = F.floor(F.col("_p") / F.lit(FAN_IN)).cast("bigint")
         level = (
             level.groupBy(*keys, group.alias("_q"))
@@ -142,14 +151,14 @@ def score_digest(scored: DataFrame, keys: Sequence[str], position: Column) -> Da
     )
 
 
+def canonical_json(config: Column) -> Column:
+    """JSON with the keys of every object in order and no blanks between tokens; types stay apart."""
+    return F.to_json(F.parse_json(config))
+
+
 def config_hash(configs: DataFrame, key: str, config: str) -> DataFrame:
-    """A10: a hash of a flat JSON object that does not depend on the order of its keys."""
-    entries = F.array_sort(F.map_entries(F.from_json(config, "map<string,string>")))
-    text = F.array_join(
-        F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))),
-        ",",
-    )
-    return configs.select(key, F.sha2(text, 256).alias("config_hash"))
+    """A10: a hash of a JSON text that depends on neither the order of keys, at any depth, nor blanks."""
+    return configs.select(key, F.sha2(canonical_json(F.col(config)), 256).alias("config_hash"))
 
 
 def classify_upsert(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -31,16 +31,24 @@ def squared_distance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     The column pass is two windows over one image column. The row pass gathers one image row and
     looks only ``g`` columns to either side, since a farther column cannot beat the pixel's own
-    vertical distance ``g``. Neither ever holds more than one line of an image.
+    vertical distance ``g``. Neither ever holds more than one line of an image. Pixels that are not in the table are
+    background, as is everything beyond the image.
     """
     marked = pixels.select(*keys, "row", "col", vessel().alias("_fg"))
     line = Window.partitionBy(*keys, "col").orderBy("row")
     up = line.rowsBetween(Window.unboundedPreceding, 0)
     down = line.rowsBetween(0, Window.unboundedFollowing)
-    background = F.when(~F.col("_fg"), F.col("row"))
-    above = F.coalesce(F.max(background).over(up), F.lit(-1))
-    # The last row of the column bounds it from below.
-    below = F.coalesce(F.min(background).over(down), F.max("row").over(down) + 1)
+    row = F.col("row")
+    # The nearest background at or above a pixel: itself, or the row before it where that is not in the table.
+    gap_above = F.coalesce(F.lag("row").over(line), F.lit(-2)) < row - 1
+    gap_below = F.coalesce(F.lead("row").over(line), row + 2) > row + 1
+    marked = marked.withColumns(
+        {
+            "_above": F.when(~F.col("_fg"), row).when(gap_above | (row == 0), row - 1),
+            "_below": F.when(~F.col("_fg"), row).when(gap_below, row + 1),
+        }
+    )
+    above, below = F.max("_above").over(up), F.min("_below").over(down)
     vertical = marked.withColumn(
         "_g", F.least(F.col("row") - above, below - F.col("row")).cast("bigint")
     )
@@ -48,7 +56,7 @@ def squared_distance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
         vertical.groupBy(*keys, "row")
         .agg(F.array_sort(F.collect_list(F.struct("col", "_g"))).alias("_line"))
         .where(F.exists("_line", lambda x: x["_g"] > 0))
-        .withColumn("_gs", F.transform("_line", lambda x: x["_g"]))
+        .withColumn("_gs", _dense_line())
     )
 
     def nearest(cell: Column) -> Column:
@@ -76,6 +84,17 @@ def squared_distance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.select(*keys, "row", F.col("_p.col").alias("col"), F.col("_p.d2").alias("d2"))
 
 
+def _dense_line() -> Column:
+    """The ``_g`` of columns 0 to the last of ``_line``, 0 where a column is not in the table."""
+
+    def with_gap(cell: Column, i: Column) -> Column:
+        following = F.coalesce(F.get("_line", i + 1)["col"], cell["col"] + 1)
+        return F.concat(F.array(cell["_g"]), F.array_repeat(F.lit(0).cast("bigint"), following - cell["col"] - 1))
+
+    lead = F.array_repeat(F.lit(0).cast("bigint"), F.get("_line", F.lit(0))["col"])
+    return F.concat(lead, F.flatten(F.transform("_line", with_gap)))
+
+
 def _removable() -> np.ndarray:
     """For both half-passes, whether a pixel with a given ring of neighbours is removed.
 

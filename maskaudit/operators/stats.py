@@ -11,9 +11,6 @@ from maskaudit.functions import draws
 from maskaudit.operators.ranking import exact_quantiles, keyed_rank
 from maskaudit.session import cut_lineage
 
-# About 50 MB of (group, position, value) rows.
-BROADCAST_VALUES = 500_000
-
 
 def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Sequence[str]) -> DataFrame:
     """Turn metric columns into (metric, value) rows; missing values are left out per metric."""
@@ -85,11 +82,8 @@ def bootstrap_mean_ci(
             ).alias("pos"),
         )
     )
-    # Draws outnumber values by the resamples, so they stay in place while the values are counted
-    # to fit; beyond that both sides are shuffled on evenly spread positions.
-    fits = placed.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
-    source = F.broadcast(placed) if fits else placed
-    means = drawn.join(source, [*groups, "pos"]).groupBy(*groups, "resample").agg(
+    # Positions are evenly spread, so a join shuffled on them is even; small values Spark broadcasts by itself.
+    means = drawn.join(placed, [*groups, "pos"]).groupBy(*groups, "resample").agg(
         F.avg("value").alias("m")
     )
     tail = (1 - level) / 2

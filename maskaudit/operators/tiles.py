@@ -67,11 +67,14 @@ def window_arrays(tiles: DataFrame, keys: Sequence[str], value: str, window: int
         (F.col("r") * window + F.col("c")).cast("int").alias("k"),
         F.col(value).cast("float").alias("v"),
     )
-    packed = tiles.groupBy(*keys, "wr", "wc").agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    full = F.transform(
-        F.sequence(F.lit(0), F.lit(window * window - 1)),
-        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0).cast("float")),
-    )
+    packed = tiles.groupBy(*keys, "wr", "wc").agg(F.array_sort(F.collect_list(cell)).alias("_m"))
+    zero, size = F.lit(0.0).cast("float"), F.lit(window * window)
+
+    def with_gap(one: Column, i: Column) -> Column:
+        following = F.coalesce(F.get("_m", i + 1)["k"], size)
+        return F.concat(F.array(F.coalesce(one["v"], zero)), F.array_repeat(zero, following - one["k"] - 1))
+
+    full = F.concat(F.array_repeat(zero, F.get("_m", F.lit(0))["k"]), F.flatten(F.transform("_m", with_gap)))
     return packed.select(*keys, "wr", "wc", full.alias("x"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from maskaudit.operators import audit, reconcile
 from maskaudit.plans import reports
 
 
+FOLD_TABLES = ("thresholds", "training_history", "per_image_metrics")
+
+
 def table_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(schemas.TABLES[name])
 
@@ -38,17 +42,20 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 def append(df: DataFrame, root: str, name: str) -> None:
     """Append rows that keep the declared layout, partitioned as declared."""
-    writer = conform(df, name).write.mode("append")
-    if name in schemas.PARTITIONS:
-        writer = writer.partitionBy(*schemas.PARTITIONS[name])
-    writer.parquet(table_path(root, name))
+    _write(conform(df, name), root, name)
 
 
 def append_new(df: DataFrame, root: str, name: str) -> int:
-    """Append rows not stored yet and return how many; a differing stored row is an error."""
+    """Append rows not stored yet and return how many.
+
+    A differing stored row is an error, and so are incoming rows that differ under one key; equal ones count once.
+    """
     spark = df.sparkSession
     stored = read_table(spark, root, name)
-    marked = reconcile.classify_upsert(conform(df, name), stored, schemas.KEYS[name])
+    incoming = conform(df, name).distinct()
+    if not incoming.groupBy(*schemas.KEYS[name]).count().where("count > 1").isEmpty():
+        raise ValueError(f"{name}: incoming rows of one key differ from each other")
+    marked = reconcile.classify_upsert(incoming, stored, schemas.KEYS[name])
     counts = {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}
     if counts.get("conflict"):
         raise ValueError(f"{name}: {counts['conflict']} rows differ from the stored ones")
@@ -56,16 +63,12 @@ def append_new(df: DataFrame, root: str, name: str) -> int:
     return counts.get("new", 0)
 
 
-def canonical_config(config: Column) -> Column:
-    """Config JSON (one level of keys) with its keys sorted."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(config, "map<string,string>")))))
-
-
 def insert_runs(runs: DataFrame, verification: DataFrame, root: str) -> None:
-    """Append runs; refused while the data verification lists any problem."""
+    """Append runs, their config in canonical form and hashed; refused while the verification lists a problem."""
     if not verification.isEmpty():
         raise ValueError("the data does not match its manifest")
-    append(runs, root, "runs")
+    text = reconcile.canonical_json(F.col("config"))
+    append(runs.withColumn("config", text).withColumn("config_hash", F.sha2("config", 256)), root, "runs")
 
 
 def complete_fold(
@@ -73,8 +76,8 @@ def complete_fold(
 ) -> None:
     """Write a fold's thresholds, history and metrics, then its completion row last.
 
-    Readers go through ``audit.rows_of_complete_folds``, so rows of a fold without a completion row
-    are never seen: a lost job leaves the fold open.
+    The rows carry the number of their attempt, and readers go through ``read_visible``, which shows rows of the
+    completed attempt only: what a lost job has written stays unseen, also after a retry.
     """
     if tables["training_history"].isEmpty():
         raise ValueError("a fold without training history cannot complete")
@@ -83,11 +86,31 @@ def complete_fold(
     running = current.where("status = 'running'")
     if not keys.join(running, ["run_id", "fold"], "left_anti").isEmpty():
         raise ValueError("only running folds can complete")
-    for name in ("thresholds", "training_history", "per_image_metrics"):
-        append(tables[name], root, name)
+    attempt = status.select("run_id", "fold", F.col("attempts").cast("int").alias("attempt"))
+    for name in FOLD_TABLES:
+        rows = conform(tables[name], name).join(attempt, ["run_id", "fold"])
+        _write(rows.select(*table_schema(name).names, "attempt"), root, name)
     append(status, root, "fold_status")
 
 
+def _write(rows: DataFrame, root: str, name: str) -> None:
+    writer = rows.write.mode("append")
+    if name in schemas.PARTITIONS:
+        writer = writer.partitionBy(*schemas.PARTITIONS[name])
+    writer.parquet(table_path(root, name))
+
+
+def _attempts(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a fold table with the attempt that wrote them, NULL where none was recorded."""
+    return spark.read.schema(table_schema(name).add("attempt", T.IntegerType())).parquet(table_path(root, name))
+
+
+def read_visible(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a fold table that completed attempts have written."""
+    statuses = audit.latest_status(read_table(spark, root, "fold_status"))
+    return audit.rows_of_complete_folds(_attempts(spark, root, name), statuses).drop("attempt")
+
+
 def start_folds(wanted: DataFrame, started_at: str, root: str) -> None:
     """Append a running row per fold with its attempt number; complete folds are an error."""
     current = audit.latest_status(read_table(wanted.sparkSession, root, "fold_status"))
@@ -105,19 +128,21 @@ def start_folds(wanted: DataFrame, started_at: str, root: str) -> None:
 def write_evaluation(records: DataFrame, root: str, columns: Sequence[str]) -> None:
     """Fill evaluation columns of the runs in ``records``; all records must match or none is written.
 
-    The runs' partitions are replaced as wholes. The new rows are staged beside the table first,
-    since a job cannot overwrite what it reads.
+    The runs' partitions are replaced as wholes, without what lost attempts left in them. The new rows are staged in a
+    folder of their own beside the table first, since a job cannot overwrite what it reads.
     """
     spark = records.sparkSession
     name, keys = "per_image_metrics", schemas.KEYS["per_image_metrics"]
     runs = records.select("run_id").distinct()
-    stored = read_table(spark, root, name).join(runs, "run_id", "left_semi")
+    statuses = audit.latest_status(read_table(spark, root, "fold_status"))
+    stored = audit.rows_of_complete_folds(_attempts(spark, root, name), statuses).join(runs, "run_id", "left_semi")
     if not reconcile.unfillable(stored, records, keys).isEmpty():
         raise ValueError("a record has no single stored row to fill")
-    staged = f"{table_path(root, name)}_staged"
-    reconcile.fill_evaluation(stored, records, keys, columns).write.mode("overwrite").parquet(staged)
+    staged = f"{table_path(root, name)}_staged_{uuid.uuid4().hex}"
+    filled = reconcile.fill_evaluation(stored, records, keys, columns)
+    filled.select(*table_schema(name).names, "attempt").write.parquet(staged)
     (
-        conform(spark.read.parquet(staged), name)
+        spark.read.schema(table_schema(name).add("attempt", T.IntegerType())).parquet(staged)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*schemas.PARTITIONS[name])

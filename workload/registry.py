@@ -50,17 +50,13 @@ def worst_images(spark, sf):
     return stored.run_query(B.eval_tables(spark, sf), "02_worst_images")
 
 
-PAIRS_SQL = """rb.variant = 'baseline' AND ro.variant <> 'baseline'
-  AND rb.finished_at IS NOT NULL AND ro.finished_at IS NOT NULL AND rb.data_hash = ro.data_hash
-  AND NOT EXISTS (SELECT fold, image_id, role FROM eval_assignments WHERE run_id = rb.run_id
-    EXCEPT SELECT fold, image_id, role FROM eval_assignments WHERE run_id = ro.run_id)
-  AND NOT EXISTS (SELECT fold, image_id, role FROM eval_assignments WHERE run_id = ro.run_id
-    EXCEPT SELECT fold, image_id, role FROM eval_assignments WHERE run_id = rb.run_id)"""
-PAIRS_CTE = (
-    "pairs AS (SELECT rb.run_id AS baseline_run_id, ro.run_id AS other_run_id, ro.variant AS other_variant, "
-    "rb.is_reported AS baseline_is_reported, ro.is_reported AS other_is_reported "
-    f"FROM eval_runs rb, eval_runs ro WHERE {PAIRS_SQL})"
-)
+# Each run's assignments as one sorted list, so two runs share folds when their lists are equal.
+PAIRS_CTE = """held AS (SELECT run_id, list_sort(list(DISTINCT concat_ws('/', fold, image_id, role))) AS folds
+  FROM eval_assignments GROUP BY run_id),
+done AS (SELECT e.*, coalesce(folds, []) AS folds FROM eval_runs e LEFT JOIN held USING (run_id) WHERE finished_at IS NOT NULL),
+pairs AS (SELECT one.run_id AS baseline_run_id, two.run_id AS other_run_id, two.variant AS other_variant,
+  one.is_reported AS baseline_is_reported, two.is_reported AS other_is_reported
+  FROM done one JOIN done two USING (data_hash, folds) WHERE one.variant = 'baseline' AND two.variant <> 'baseline')"""
 DELTAS_SQL = ", ".join(f"round(o.{m} - b.{m}, 9) AS {name}" for name, m in stored.DELTAS.items())
 
 
@@ -391,14 +387,19 @@ def startable_folds(spark, sf):
 @query(
     "complete_folds_only",
     sql(
-        """SELECT a.* FROM reg_assignments a JOIN reg_status s ON s.run_id = a.run_id AND s.fold = a.fold
+        """SELECT a.*, s.attempts AS attempt FROM reg_assignments a JOIN reg_status s ON s.run_id = a.run_id AND s.fold = a.fold
 WHERE s.status = 'complete'""",
         "reg_assignments", "reg_status",
     ),
 )
 def complete_folds_only(spark, sf):
+    """Rows as two attempts at each fold have written them, the first of which was lost."""
     _, statuses = _reg(spark, sf)
-    return audit.rows_of_complete_folds(B.reg_assignments(spark, sf), statuses)
+    last = statuses.select("run_id", "fold", F.col("attempts").alias("attempt"))
+    rows = B.reg_assignments(spark, sf).join(last, ["run_id", "fold"])
+    lost = rows.withColumn("attempt", F.col("attempt") - 1)
+    columns = ["run_id", "fold", "dataset", "image_id", "role", "attempt"]
+    return audit.rows_of_complete_folds(rows.unionByName(lost).select(*columns), statuses)
 
 
 N_FOLDS_SQL = "cast(config::json->'folds'->>'n_folds' AS integer)"
@@ -499,33 +500,39 @@ def artifact_digest_check(spark, sf):
 PROBLEMS = LEAKS + f""",
 done AS (SELECT run_id, count(*) AS n FROM reg_status WHERE status = 'complete' GROUP BY run_id),
 facts AS (SELECT r.*, coalesce(d.n, 0) AS found, {N_FOLDS_SQL} AS n_folds,
-  (config::json->'training'->>'deterministic_ops') = 'true' AS asked FROM reg_runs r LEFT JOIN done d USING (run_id)),
+  config::json->'training'->>'deterministic_ops' AS asked FROM reg_runs r LEFT JOIN done d USING (run_id)),
 tested AS (SELECT DISTINCT run_id, dataset, image_id FROM reg_assignments WHERE role = 'test'),
 coverage AS (SELECT coalesce(t.run_id, m.run_id) AS run_id, count(t.run_id) AS n_tested,
   count(*) FILTER (t.run_id IS NOT NULL AND m.done) AS n_evaluated, count(*) FILTER (t.run_id IS NULL) AS n_untested
   FROM tested t FULL JOIN (SELECT run_id, dataset, image_id, bool_or(brier IS NOT NULL) AS done FROM reg_metrics GROUP BY ALL) m
   ON t.run_id = m.run_id AND t.dataset = m.dataset AND t.image_id = m.image_id GROUP BY 1),
+owing AS (SELECT DISTINCT run_id, dataset FROM reg_assignments UNION ALL SELECT run_id, dataset
+  FROM (SELECT run_id FROM reg_runs EXCEPT SELECT run_id FROM reg_assignments), (SELECT DISTINCT dataset FROM reg_images)),
+verified AS (SELECT * FROM (VALUES ('drive', 'F'), ('stare', 'F'), ('drive', 'O')) AS v(dataset, data_hash)),
 missing AS (SELECT a.run_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM tested t WHERE t.run_id = a.run_id
     AND t.dataset = i.dataset AND t.image_id = i.image_id)) AS n
-  FROM (SELECT DISTINCT run_id, dataset FROM reg_assignments) a JOIN reg_images i ON i.dataset = a.dataset AND i.has_labels
+  FROM owing a JOIN reg_images i ON i.dataset = a.dataset AND i.has_labels
   GROUP BY a.run_id),
 problems AS (
-  SELECT run_id, 'unfinished' AS rule, found || ' of ' || n_folds || ' folds complete' AS detail FROM facts
-    WHERE finished_at IS NULL OR found <> n_folds
-  UNION ALL SELECT run_id, 'dirty tree', '' FROM facts WHERE git_dirty
+  SELECT run_id, 'unfinished' AS rule, found || ' of ' || coalesce(n_folds::VARCHAR, 'missing') || ' folds complete' AS detail
+    FROM facts WHERE finished_at IS NULL OR found IS DISTINCT FROM n_folds
+  UNION ALL SELECT run_id, 'dirty tree', '' FROM facts WHERE git_dirty IS DISTINCT FROM false
   UNION ALL SELECT run_id, 'no tag', '' FROM facts WHERE git_tag IS NULL
-  UNION ALL SELECT run_id, 'hardware', gpu_type || ' on ' || compute_platform FROM facts
-    WHERE gpu_type <> 'Tesla T4' OR compute_platform <> 'colab'
-  UNION ALL SELECT run_id, 'determinism', 'recorded ' || deterministic_ops || ', asked ' || asked FROM facts
-    WHERE deterministic_ops <> asked
-  UNION ALL SELECT run_id, 'data hash', data_hash FROM facts WHERE data_hash NOT IN ('F', 'O')
+  UNION ALL SELECT run_id, 'hardware', coalesce(gpu_type, 'missing') || ' on ' || coalesce(compute_platform, 'missing') FROM facts
+    WHERE gpu_type IS DISTINCT FROM 'Tesla T4' OR compute_platform IS DISTINCT FROM 'colab'
+  UNION ALL SELECT run_id, 'determinism', 'recorded ' || coalesce(deterministic_ops::VARCHAR, 'missing') || ', asked '
+    || coalesce(asked, 'missing') FROM facts WHERE deterministic_ops::VARCHAR IS DISTINCT FROM asked OR asked IS NULL
+  UNION ALL SELECT run_id, 'data hash', coalesce(data_hash, 'missing') FROM facts r WHERE EXISTS (
+    SELECT 1 FROM reg_assignments a WHERE a.run_id = r.run_id AND NOT EXISTS (
+      SELECT 1 FROM verified v WHERE v.dataset = a.dataset AND v.data_hash = r.data_hash))
+    OR (r.run_id NOT IN (SELECT run_id FROM reg_assignments) AND NOT EXISTS (SELECT 1 FROM verified v WHERE v.data_hash = r.data_hash))
   UNION ALL SELECT run_id, 'never tested', n || ' labelled images' FROM missing WHERE n > 0
   UNION ALL SELECT run_id, 'partly evaluated', n_evaluated || ' of ' || n_tested FROM coverage WHERE n_evaluated <> n_tested
   UNION ALL SELECT run_id, 'rows for untested', n_untested || ' images' FROM coverage WHERE n_untested > 0
   UNION ALL SELECT r.run_id, 'evaluation', CASE WHEN e.commit IS NULL THEN 'missing'
-    ELSE 'by ' || e.commit || CASE WHEN e.dirty THEN ' (dirty)' ELSE '' END END
+    ELSE 'by ' || e.commit || CASE WHEN e.dirty THEN ' (dirty)' WHEN e.dirty IS NULL THEN ' (unknown)' ELSE '' END END
     FROM reg_runs r LEFT JOIN reg_evaluations e USING (run_id)
-    WHERE e.commit IS NULL OR e.commit <> r.git_commit OR e.dirty
+    WHERE e.commit IS NULL OR e.commit IS DISTINCT FROM r.git_commit OR e.dirty IS DISTINCT FROM false
   UNION ALL SELECT s.run_id, 'checkpoint', 'fold ' || s.fold || ': ' || CASE WHEN a.digest IS NULL THEN 'missing' ELSE 'mismatch' END
     FROM reg_status s LEFT JOIN reg_artifacts a ON a.run_id = s.run_id AND a.fold = s.fold
     WHERE s.status = 'complete' AND (a.digest IS NULL OR a.digest IS DISTINCT FROM s.checkpoint_sha256)
@@ -537,9 +544,10 @@ PROBLEM_NEEDS = (
 
 def _reportability(spark, sf):
     runs, statuses = _reg(spark, sf)
+    held = F.col("o_orderstatus")
+    datasets = F.when(held == "F", F.array(F.lit(DATASET), F.lit("stare"))).when(held == "O", F.array(F.lit(DATASET)))
     verified = (
-        table(spark, sf, "orders").where("o_orderstatus <> 'P'")
-        .select(F.lit(DATASET).alias("dataset"), F.col("o_orderstatus").alias("data_hash")).distinct()
+        table(spark, sf, "orders").select(F.explode(datasets).alias("dataset"), held.alias("data_hash")).distinct()
     )
     return runs, audit.reportability(
         runs, statuses, B.reg_assignments(spark, sf), B.reg_metrics(spark, sf), B.reg_images(spark, sf),
@@ -646,14 +654,17 @@ def json_fields(spark, sf):
 
 @query(
     "config_hash",
-    """SELECT event_id, sha256('fold=' || user_id || ',k=' || (props::json->>'k') || ',type=' || event_type) AS config_hash
+    """SELECT event_id, sha256('{"data":{"fold":' || user_id || ',"k":"' || (props::json->>'k') || '"},"k":'
+  || (props::json->>'k') || ',"type":"' || event_type || '"}') AS config_hash
 FROM events""",
 )
 def config_hash(spark, sf):
-    """The keys are written in another order for odd events."""
+    """Nested configs; the keys of both levels are written in another order for odd events."""
     k, fold = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
-    a = F.concat(F.lit('{"k": '), k, F.lit(', "type": "'), "event_type", F.lit('", "fold": '), fold, F.lit("}"))
-    b = F.concat(F.lit('{"fold": '), fold, F.lit(', "type": "'), "event_type", F.lit('", "k": '), k, F.lit("}"))
+    data_a = F.concat(F.lit('{"k": "'), k, F.lit('", "fold": '), fold, F.lit("}"))
+    data_b = F.concat(F.lit('{ "fold":'), fold, F.lit(', "k":"'), k, F.lit('" }'))
+    a = F.concat(F.lit('{"k": '), k, F.lit(', "type": "'), "event_type", F.lit('", "data": '), data_a, F.lit("}"))
+    b = F.concat(F.lit('{"data": '), data_b, F.lit(', "type": "'), "event_type", F.lit('", "k": '), k, F.lit("}"))
     e = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 1, a).otherwise(b).alias("config"))
     return reconcile.config_hash(e, "event_id", "config")
 
@@ -779,6 +790,21 @@ def fold_edge_reconcile(spark, sf):
 # ---------------------------------------------------------------- manifests and digests
 
 
+def _merkle() -> str:
+    """SQL of a digest over parts that share eight, six, four, two and no digits of the md5 of their path."""
+    out = ["""level0 AS (SELECT split_part(path, '/', 1) AS source, md5(path) AS k, path AS o,
+  digest || '  ' || path || chr(10) AS t, 1 AS n FROM manifest)"""]
+    for i, digits in enumerate((8, 6, 4, 2, 0), 1):
+        out.append(
+            f"level{i} AS (SELECT source, left(k, {digits}) AS k, left(k, {digits}) AS o,"
+            f" sha256(string_agg(t, '' ORDER BY o)) AS t, sum(n) AS n FROM level{i - 1} GROUP BY source, left(k, {digits}))"
+        )
+    return ",\n".join(out)
+
+
+MERKLE = _merkle()
+
+
 @query("content_digests", sql("SELECT path, digest FROM manifest", "manifest"))
 def content_digests(spark, sf):
     return B.manifest(spark, sf).select("path", "digest")
@@ -786,35 +812,13 @@ def content_digests(spark, sf):
 
 @query(
     "data_hash",
-    sql(
-        """SELECT split_part(path, '/', 1) AS source, count(*) AS n_lines,
-  sha256(string_agg(digest || '  ' || path || chr(10), '' ORDER BY path)) AS data_hash, 'flat' AS method
-FROM manifest GROUP BY 1""",
-        "manifest",
-    ),
+    _with("", MERKLE, "SELECT source, n::BIGINT AS n_lines, t AS data_hash FROM level5", "manifest"),
 )
 def data_hash(spark, sf):
     m = B.manifest(spark, sf).withColumn("source", S.path_prefix(F.col("path")))
     return reconcile.data_hash(m, ["source"])
 
 
-@query(
-    "data_hash_parts",
-    _with(
-        "",
-        """parts AS (SELECT split_part(path, '/', 1) AS source, substr(md5(path), 1, 4) AS part, count(*) AS n,
-  sha256(string_agg(digest || '  ' || path || chr(10), '' ORDER BY path)) AS d FROM manifest GROUP BY 1, 2)""",
-        """SELECT source, cast(sum(n) AS bigint) AS n_lines, sha256(string_agg(d, '' ORDER BY part, d)) AS data_hash,
-  'parts' AS method FROM parts GROUP BY source""",
-        "manifest",
-    ),
-)
-def data_hash_parts(spark, sf):
-    """The two-step digest of large groups, forced by a limit of one line."""
-    m = B.manifest(spark, sf).withColumn("source", S.path_prefix(F.col("path")))
-    return reconcile.data_hash(m, ["source"], flat_lines=1)
-
-
 VERIFY = """CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'unlisted'
   WHEN m.digest <> f.digest THEN 'mismatched' END"""
 

@@ -248,19 +248,27 @@ def empty_masks(spark, sf):
 
 
 # A digest level: values joined by commas in position order.
-DIGEST = """units AS (SELECT run_id, image_id, row::bigint * 64 + col AS p,
-  cast(cast(floor(cast(prob AS double) * 16777216.0::double + 0.5::double) AS bigint) AS varchar) AS v FROM scored),
-one AS (SELECT run_id, image_id, p // 4096 AS p, sha256(string_agg(v, ',' ORDER BY p, v)) AS v FROM units
-  GROUP BY run_id, image_id, p // 4096),
-two AS (SELECT run_id, image_id, p // 4096 AS p, sha256(string_agg(v, ',' ORDER BY p, v)) AS v FROM one
-  GROUP BY run_id, image_id, p // 4096)"""
+def _digest() -> str:
+    out = ["""units0 AS (SELECT run_id, image_id, row::bigint * 64 + col AS p,
+  cast(prob AS double) * 1073741824.0::double AS a, (a - floor(a)) * 1152921504606846976.0::double AS b,
+  (b - floor(b)) * 1152921504606846976.0::double AS c,
+  cast(floor(a) AS bigint) || '.' || cast(floor(b) AS bigint) || '.' || cast(floor(c) AS bigint) AS v FROM scored)"""]
+    for i in range(1, 5):
+        out.append(
+            f"units{i} AS (SELECT run_id, image_id, p // 4096 AS p, sha256(string_agg(v, ',' ORDER BY p, v)) AS v"
+            f" FROM units{i - 1} GROUP BY run_id, image_id, p // 4096)"
+        )
+    return ",\n".join(out)
+
+
+DIGEST = _digest()
 
 
 @query(
     "score_digest",
     _with(
         "scored", DIGEST,
-        "SELECT run_id, image_id, sha256(string_agg(v, ',' ORDER BY p, v)) AS digest FROM two GROUP BY run_id, image_id",
+        "SELECT run_id, image_id, sha256(string_agg(v, ',' ORDER BY p, v)) AS digest FROM units4 GROUP BY run_id, image_id",
         "scored",
     ),
 )
