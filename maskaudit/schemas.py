@@ -83,6 +83,22 @@ REFERENCES: list[tuple[str, list[str], str, list[str]]] = [
     ("training_history", ["run_id"], "runs", ["run_id"]),
 ]
 
+# Columns that hold a value in every row, besides those of the primary key.
+REQUIRED: dict[str, list[str]] = {
+    "images": ["split", "has_abnormality", "fov_pixels", "fov_source", "has_labels"],
+    "frozen_models": ["run_id", "checkpoint_sha256", "threshold", "n_epochs", "git_commit", "frozen_at"],
+    "runs": [
+        "variant", "config", "config_hash", "seed", "git_commit", "git_dirty", "data_hash", "python_version",
+        "tensorflow_version", "device", "gpu_type", "compute_platform", "deterministic_ops", "started_at", "is_reported",
+    ],
+    "fold_assignments": ["dataset"],
+    "fold_status": ["status", "started_at", "attempts"],
+    "thresholds": ["threshold", "selection_rule"],
+    "per_image_metrics": [],
+    "risk_coverage": [],
+    "training_history": ["train_loss"],
+}
+
 # Tables a snapshot copies whole; every other one is restricted to reported runs.
 SNAPSHOT_WHOLE = ("images",)
 PARTITIONS: dict[str, list[str]] = {
@@ -110,7 +126,7 @@ def reported_rules() -> dict[str, Column]:
 
 
 def rules(table: str) -> dict[str, Column]:
-    """Return every row rule of a table, by name."""
+    """Return every row rule of a table, by name; only the NOT NULL rules of a column fail on NULL."""
     c = F.col
     note = c("abnormality_note")
     by_table = {
@@ -164,7 +180,11 @@ def rules(table: str) -> dict[str, Column]:
         "training_history": lambda: {
             **Q.unit_rules(["val_dice"]),
             **Q.minimum_rules({"fold": 0, "epoch": 0}),
-            **Q.not_null_rules(["train_loss"]),
         },
     }
-    return by_table[table]()
+    return by_table[table]() | required_rules(table)
+
+
+def required_rules(table: str) -> dict[str, Column]:
+    """Return a rule per column of a table that may not be NULL."""
+    return Q.not_null_rules([*KEYS[table], *REQUIRED[table]])

@@ -979,6 +979,41 @@ def dq_range(spark, sf):
     return _rules(B.images_meta(spark, sf), META_KEYS, ["vessel_fraction_in_fov_unit", "fov_pixels_min"])
 
 
+LOST = {
+    "fold_status": ("reg_status_events", "run_id", "started_at", "fold = 2"),
+    "runs": ("reg_runs", "run_id", "git_commit", "seed % 21 = 0"),
+    "fold_assignments": ("reg_assignments", "run_id", "role", "image_id = 'i7'"),
+}
+
+
+def _required_sql() -> str:
+    out = []
+    for name, (source, key, column, where) in LOST.items():
+        own = [c for c in [*schemas.KEYS[name], *schemas.REQUIRED[name]] if c != "device"]
+        rows = f"(SELECT * REPLACE (CASE WHEN NOT ({where}) THEN {column} END AS {column}) FROM {source})"
+        out += [
+            f"SELECT '{name}' AS table_name, {key}::VARCHAR AS key, '{c}_not_null' AS rule FROM {rows} WHERE {c} IS NULL"
+            for c in own
+        ]
+    return "\nUNION ALL ".join(out)
+
+
+@query("dq_not_null", sql(_required_sql(), "reg_runs", "reg_assignments", "reg_status_events"))
+def dq_not_null(spark, sf):
+    """Columns that may not be NULL, in three tables that each have lost some values of one column."""
+    tables = {"fold_status": B.reg_status_events, "runs": B.reg_runs, "fold_assignments": B.reg_assignments}
+    out = None
+    for name, (_, key, column, where) in LOST.items():
+        df = tables[name](spark, sf)
+        df = df.withColumn(column, F.when(~F.expr(where), F.col(column)))
+        rules = {n: r for n, r in schemas.required_rules(name).items() if n != "device_not_null"}
+        part = quality.violations(df, [key], rules).select(
+            F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), "rule"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "dq_cross",
     sql(
