@@ -17,9 +17,10 @@ NGRAM = 4
 THRESHOLD = (85, 100)  # links have THRESHOLD[1] * intersection >= THRESHOLD[0] * union
 CUT = 4096  # n-grams of one fragment of the order in which overlaps are counted
 BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 18  # sets and n-grams of a block, about
-BUCKET = 1 << 20  # keys of equal fragments that one task looks at
+BUCKET = 1 << 18  # keys of equal fragments that one task looks at
 STEP = 1.5  # ratio of neighbouring fragment numbers
-MEMBER = "doc_id bigint, n bigint, owner bigint, level int"
+MEMBER = "doc_id bigint, n bigint, owner bigint, level int, needs array<int>"
+PREFIX = 63  # the level that stands for keys of the prefix filter
 
 
 def most_differences(size: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -35,6 +36,11 @@ def fragment_level(size: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
     return np.ceil(np.log(need) / np.log(STEP) - 1e-9).astype(np.int64)
 
 
+def level_differences(level: np.ndarray) -> np.ndarray:
+    """Return how many n-grams linked sets can differ by at most, the larger being of ``level``."""
+    return np.floor(STEP**level / 1.25 + 1e-9).astype(np.int64) - 1
+
+
 def _sets(texts: list[str | None], n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j in H.batches(texts):
         yield i, j, *H.distinct(*H.shingles(*H.word_hashes(texts[i:j]), n))
@@ -48,7 +54,8 @@ def _owners(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def members(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Return (doc_id, n: distinct n-grams, owner: what equal sets share; NULL without words, level: of its size)."""
+    """Return (doc_id, n: distinct n-grams, owner: what equal sets share; NULL without words, level: of its size,
+    needs: how many keys of that level, and of each one above, it shares with a linked set that meets it there)."""
 
     def run(batches):
         for batch in batches:
@@ -57,9 +64,15 @@ def members(docs: DataFrame, n: int = NGRAM, threshold: tuple[int, int] = THRESH
                 size = np.diff(offsets)
                 owner = pa.array(_owners(values, offsets), mask=size == 0)
                 level = fragment_level(size, threshold)
+                most = most_differences(size * threshold[1] // threshold[0], threshold)
+                needs = [
+                    np.maximum(filled - np.minimum(most, level_differences(level + up)), 1)
+                    for up, (_, filled, _) in enumerate(_by_level(values, offsets, threshold))
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(size), owner, pa.array(level.astype(np.int32))],
-                    ["doc_id", "n", "owner", "level"],
+                    [ids.slice(i, j - i), pa.array(size), owner, pa.array(level.astype(np.int32)),
+                     pa.array(list(np.array(needs, dtype=np.int32).T), pa.list_(pa.int32()))],
+                    ["doc_id", "n", "owner", "level", "needs"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, MEMBER)
@@ -86,8 +99,11 @@ def _by_level(values, offsets, threshold):
         yield which, filled, (held, at[begin], numbers[held], begin)
 
 
+LEVEL_BITS = np.uint64(PREFIX << 32)
+
+
 def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Return (key, set index): keys of which two linked sets share at least one.
+    """Return (key, set index): keys of which two linked sets share at least one. Bits 32 to 37 hold the level.
 
     Two linked sets differ by at most d n-grams, and each spoils one fragment only. So if either set fills more than
     d fragments, one of its fragments is whole in both. Sets that fill too few also put out the first n-grams of
@@ -99,10 +115,12 @@ def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
     mixed = H.mix(values + H.ODD)
     keys, owners = [], []
     few = np.zeros(len(size), dtype=bool)
-    for which, filled, (held, fragment, numbers, begin) in _by_level(values, offsets, threshold):
+    level = fragment_level(size, threshold)
+    for up, (which, filled, (held, fragment, numbers, begin)) in enumerate(_by_level(values, offsets, threshold)):
         if len(begin):
             total = np.add.reduceat(mixed, begin)
             key = H.mix(total + H.mix(fragment * H.ODD + numbers.astype(np.uint64) * H.BASE))
+            key = (key & ~LEVEL_BITS) | ((level[held] + up).astype(np.uint64) << np.uint64(32))
             keys.append(key[which[held]])
             owners.append(held[which[held]])
         few |= which & (filled <= limit)
@@ -110,7 +128,7 @@ def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
         rank = np.arange(len(values)) - np.repeat(offsets[:-1], size)
         prefix = size - (part * size + whole - 1) // whole + 1
         here = np.repeat(few, size) & (rank < np.repeat(prefix, size))
-        keys.append(H.mix(values[here] ^ H.BASE))
+        keys.append(H.mix(values[here] ^ H.BASE) | LEVEL_BITS)
         owners.append(np.repeat(np.arange(len(size)), size)[here])
     if not keys:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -121,7 +139,7 @@ GROUPED = "bucket int, local boolean, keys binary, owners binary"
 
 
 def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Return (key, owner) of all fragment keys that at least two different sets have.
+    """Return (key, owner) of all fragment keys that at least two different sets have; its lowest 6 bits: the level.
 
     A batch sends each of its keys to the key's bucket once, with the smallest owner that has it; what a batch finds
     to be shared within itself goes to a bucket of its own choice. So a key that very many sets have reaches its
@@ -275,7 +293,7 @@ def jaccard_components(
 
     1. Equal sets are one node. The n-gram order (by hash) is cut into fragments, more of them than linked sets can
        differ in; nodes that share a whole fragment are candidates. Passages that many texts share fill no fragment.
-    2. Candidates that hang together are a cluster, cut into blocks by size and hash. Blocks of a cluster whose sizes
+    2. Candidates that hang together by enough keys are a cluster, cut into blocks by size and hash. Blocks of a cluster whose sizes
        allow links are compared, each pair of blocks in a row of its own: overlaps are counted in each fragment of the
        order separately and summed per pair of sets. A row gives at most one link per set, so a dense group of near
        copies does not become pairs.
@@ -288,13 +306,13 @@ def jaccard_components(
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     own = scratch.put(members(docs, n, threshold))
     nodes = own.where(F.col("owner").isNotNull() & F.col("doc_id").isNotNull()).groupBy("owner").agg(
-        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "level")]
+        F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "level", "needs")]
     )
     total = own.agg(F.sum("n")).collect()[0][0] or 0
     shared = scratch.put(shared_keys(docs.where(F.col("doc_id").isNotNull()), int(0.4 * total) // BUCKET + 1, n, threshold))
-    least = shared.groupBy("key").agg(F.min("owner").alias("leader"))
-    held = shared.join(least, "key").where(F.col("owner") != F.col("leader"))
-    clusters = connected_components(held.select(F.col("owner").alias("a"), F.col("leader").alias("b")), scratch)
+    alive = scratch.put(_able(shared, nodes))
+    scratch.drop(shared)
+    clusters = connected_components(_candidate_links(alive, nodes), scratch)
     placed = clusters.select(F.col("node").alias("owner"), F.col("component").alias("cluster")).join(nodes, "owner")
     sizes = placed.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     number = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
@@ -325,6 +343,40 @@ def jaccard_components(
     )
 
 
+def _able(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Keep the rows of ``shared`` whose owners share enough keys with others to be linked at all."""
+    level = F.col("key").bitwiseAND(F.lit(PREFIX)).cast("int")
+    held = shared.groupBy("owner", level.alias("at")).agg(F.count(F.lit(1)).alias("keys"))
+    need = F.when(F.col("at") == PREFIX, 1).otherwise(F.get("needs", F.col("at") - F.col("level")))
+    able = (
+        held.join(nodes.select("owner", "level", "needs"), "owner").where(F.col("keys") >= need).select("owner").distinct()
+    )
+    return shared.join(able, "owner", "left_semi")
+
+
+def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Return links (a, b) over which any two linked sets hang together, and few others.
+
+    The smallest owner of a key is its leader. An owner that shares few keys with a leader holds them weakly. Weak
+    keys are dropped as links, unless an owner of the key holds so many weakly that these alone could be those that it
+    shares with a linked set: linked sets that only share keys which one of both holds weakly need half of their
+    common keys to be weak on one side. So passages that many texts share do not tie groups of near copies together.
+    """
+    least = shared.groupBy("key").agg(F.min("owner").alias("leader"))
+    held = shared.join(least, "key")
+    counts = held.where(F.col("owner") != F.col("leader")).groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("keys"))
+    counts = counts.join(nodes.select("owner", F.array_min("needs").alias("need")), "owner")
+    strong = F.col("keys") * 4 >= F.col("need")
+    loose = (
+        counts.where(~strong).groupBy("owner").agg(F.sum("keys").alias("weak"), F.first("need").alias("need"))
+        .where(F.col("weak") * 2 >= F.col("need")).select("owner")
+    )
+    kept = shared.join(loose, "owner", "left_semi").select("key").distinct()
+    tied = held.join(kept, "key", "left_semi").where(F.col("owner") != F.col("leader")).select("owner", "leader")
+    links = counts.where(strong).select("owner", "leader").unionByName(tied.distinct())
+    return links.select(F.col("owner").alias("a"), F.col("leader").alias("b"))
+
+
 SETS = "array<struct<owner:bigint,grams:binary>>"
 
 
