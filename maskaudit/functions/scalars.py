@@ -90,10 +90,6 @@ def is_release_tag(tag: Column) -> Column:
     return tag.rlike(RELEASE_TAG)
 
 
-def is_blank(text: Column) -> Column:
-    return F.trim(text) == ""
-
-
 def timestamp_ok(text: Column) -> Column:
     """Tell whether a text timestamp survives a parse and format round trip; NULL stays NULL."""
     parsed = F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))

@@ -29,6 +29,15 @@ def require_float_scores(scored: DataFrame, column: str = "prob") -> None:
         raise ValueError(f"{column} must be float, got {kind.simpleString()}")
 
 
+def valid_scores(scored: DataFrame) -> DataFrame:
+    """Return the pixels inside the mask; a score that is missing, not finite or outside [0, 1] stops the job."""
+    require_float_scores(scored)
+    p = F.col("prob").cast("double")
+    message = F.concat(F.lit("score outside [0, 1]: "), F.coalesce(p.cast("string"), F.lit("missing")))
+    strict = F.when(p.between(0.0, 1.0), F.col("prob")).otherwise(F.raise_error(message).cast("float"))
+    return scored.where("in_fov").withColumn("prob", strict)
+
+
 def confusion_counts(
     scored: DataFrame, keys: Sequence[str], threshold: Column, weight: Column | None = None
 ) -> DataFrame:
@@ -39,7 +48,7 @@ def confusion_counts(
     def count(cond: Column) -> Column:
         return F.sum(F.when(cond, w).otherwise(F.lit(0))).cast("bigint")
 
-    return scored.where("in_fov").groupBy(*keys).agg(
+    return valid_scores(scored).groupBy(*keys).agg(
         count(hit & label).alias("tp"),
         count(hit & ~label).alias("fp"),
         count(~hit & label).alias("fn"),
@@ -66,13 +75,12 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
 def brier(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean squared difference between score and label inside the mask."""
     gap = F.col("prob").cast("double") - F.col("label").cast("double")
-    return scored.where("in_fov").groupBy(*keys).agg(F.avg(gap * gap).alias("brier"))
+    return valid_scores(scored).groupBy(*keys).agg(F.avg(gap * gap).alias("brier"))
 
 
 def score_counts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Positives and negatives at each distinct score of each item, inside the mask."""
-    require_float_scores(scored)
-    return scored.where("in_fov").groupBy(*keys, "prob").agg(
+    return valid_scores(scored).groupBy(*keys, "prob").agg(
         F.count_if(F.col("label")).alias("n_pos"),
         F.count_if(~F.col("label")).alias("n_neg"),
     )
@@ -149,10 +157,9 @@ def zero_filled(
 
 def reliability(scored: DataFrame, keys: Sequence[str], n_bins: int) -> DataFrame:
     """One row per item and bin with counts, mean score and positive fraction."""
-    require_float_scores(scored)
     p, y = F.col("prob").cast("double"), F.col("label").cast("double")
     binned = (
-        scored.where("in_fov")
+        valid_scores(scored)
         .groupBy(*keys, S.reliability_bin(F.col("prob"), n_bins).alias("bin"))
         .agg(
             F.count("*").alias("n"),
@@ -180,9 +187,8 @@ def reliability(scored: DataFrame, keys: Sequence[str], n_bins: int) -> DataFram
 
 def grid_counts(scored: DataFrame, keys: Sequence[str], divisions: int) -> DataFrame:
     """Positives and negatives at or above every grid threshold ``k / divisions``."""
-    require_float_scores(scored)
     binned = (
-        scored.where("in_fov")
+        valid_scores(scored)
         .groupBy(*keys, S.grid_index(F.col("prob"), divisions).alias("k"))
         .agg(
             F.count_if(F.col("label")).alias("n_pos"),

@@ -64,11 +64,14 @@ def manifest_line(path: Column, digest: Column) -> Column:
 
 
 def verify_checksums(expected: DataFrame, actual: DataFrame, datasets: Sequence[str] | None = None) -> DataFrame:
-    """Missing, mismatched and unlisted paths, restricted to the named datasets."""
+    """Missing, mismatched and unlisted paths, restricted to the named datasets; unknown ones are an error."""
     wanted, found = expected.select("path", "digest"), actual.select("path", "digest")
     if datasets is not None:
         if not datasets:
             raise ValueError("no dataset locations given to verify")
+        unknown = [r["dataset"] for r in unknown_datasets(expected, datasets).collect()]
+        if unknown:
+            raise ValueError(f"the manifest lists nothing of {sorted(unknown)}")
         chosen = S.path_prefix(F.col("path")).isin(list(datasets))
         wanted, found = wanted.where(chosen), found.where(chosen)
     both = wanted.withColumnRenamed("digest", "_want").join(

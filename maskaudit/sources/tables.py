@@ -179,9 +179,10 @@ def write_snapshot(tables: Mapping[str, DataFrame], out: str, tag: str) -> None:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """One JSON line per run with its nested fold and reliability lists."""
+    """One JSON line per run with its nested fold and reliability lists; an existing summary is never replaced."""
     summary.write.mode("errorifexists").json(path)
 
 
 def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Read a summary back by its declared schema."""
     return spark.read.schema(schema).json(path)

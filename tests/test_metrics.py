@@ -158,3 +158,16 @@ def test_invalid_scores_are_listed(spark):
     df = scored(spark, [0.5, float("nan"), 1.5], [1, 0, 0])
     row = metrics.score_validity(df, ["image_id"]).first()
     assert (row.n_bad, row.height, row.width, row.is_full) == (2, 1, 3, True)
+
+
+@pytest.mark.parametrize("bad", [1.5, -0.1, float("nan"), None])
+def test_invalid_scores_stop_the_job(spark, bad):
+    rows = spark.createDataFrame([("a", 0.5, True, True), ("a", bad, False, True)], "item string, prob float, label boolean, in_fov boolean")
+    outside = rows.withColumn("in_fov", F.col("prob") == 0.5)
+    for measure in (
+        lambda df: metrics.reliability(df, ["item"], 10), lambda df: metrics.threshold_sweep(df, ["item"], 10),
+        lambda df: metrics.brier(df, ["item"]), lambda df: metrics.evaluate_items(df, ["item"], F.lit(0.5)),
+    ):
+        with pytest.raises(Exception, match="score outside"):
+            measure(rows).collect()
+        measure(outside).collect()

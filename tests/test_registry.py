@@ -333,3 +333,42 @@ def test_markdown_sink(spark, t, tmp_path):
     lines = [r.value for r in spark.read.text(path).collect()]
     assert "| 21 | 1 | 0.800 | 0.900 |" in lines and "| 23 | 2 | 0.700 | NA |" in lines
     assert "Runs: base." in lines and "| image_id | fold | dice | auc_roc |" in lines
+
+
+def test_scores_are_saved_digested_and_summarised(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    rows = [{"run_id": "r", "dataset": "drive", "image_id": "1", "fold": 1, "row": i // 2, "col": i % 2, "prob": p,
+             "label": True, "in_fov": True} for i, p in enumerate([0.0, 1e-9, 3e-10, 1.0])]
+    scored = frame(spark, "scored_pixels", rows)
+    tables.save_scores(scored, root)
+    stored = tables.read_table(spark, root, "scored_pixels")
+    digest = tables.score_digests(stored, F.lit(2)).first().digest
+    assert digest == tables.score_digests(scored.repartition(3), F.lit(2)).first().digest
+    for low in (0.0, 3e-10):
+        other = scored.withColumn("prob", F.when(F.col("prob") == F.lit(1e-9).cast("float"), F.lit(low)).otherwise(F.col("prob")).cast("float"))
+        assert tables.score_digests(other, F.lit(2)).first().digest != digest
+    summary = spark.createDataFrame([("r", [(1, 0.5)])], "run_id string, folds array<struct<fold:int,dice:double>>")
+    tables.write_summary(summary, str(tmp_path / "summary"))
+    assert tables.read_summary(spark, str(tmp_path / "summary"), summary.schema.simpleString()[7:-1].replace("run_id:", "run_id ").replace("folds:", "folds ")).collect() == summary.collect()
+
+
+def test_unknown_datasets_are_an_error(spark):
+    files = spark.createDataFrame([("drive/a", "1"), ("stare/b", "2")], "path string, digest string")
+    assert reconcile.verify_checksums(files, files, ["drive"]).isEmpty()
+    with pytest.raises(ValueError, match="chase"):
+        reconcile.verify_checksums(files, files, ["drive", "chase"])
+
+
+def test_configs_hash_alike_in_any_order_and_apart_by_type(spark):
+    texts = ['{"a": {"x": 1, "y": 2}, "b": 1}', '{"b":1,"a":{"y":2,"x":1}}', '{"a": "1,b=2"}', '{"a": "1", "b": "2"}', '{"a": 1, "b": 2}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, config string")
+    got = {r.k: r.config_hash for r in reconcile.config_hash(rows, "k", "config").collect()}
+    assert got[0] == got[1] and len(set(got.values())) == 4
+
+
+def test_a_missing_value_breaks_a_rule(spark, t):
+    bare = t["runs"].where("run_id = 'base'").withColumns(
+        {"config": F.lit("{}"), "gpu_type": F.lit(None).cast("string"), "git_dirty": F.lit(None).cast("boolean")}
+    )
+    broken = {r.rule for r in audit.run_rules(bare, audit.latest_status(t["fold_status"]), "Tesla T4", "colab").collect()}
+    assert {"unfinished", "dirty tree", "hardware", "determinism"} <= broken
