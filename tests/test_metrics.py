@@ -1,5 +1,7 @@
 """Hand-worked metric values, NULL and tie rules, and brute-force equivalence."""
 
+# Expected numbers below that are not computed are worked by hand from the rows beside them.
+
 import math
 
 import numpy as np
