@@ -200,7 +200,7 @@ def median_image(metrics: DataFrame) -> DataFrame:
 def best_and_worst(metrics: DataFrame, n: int) -> DataFrame:
     """the n highest and n lowest images by dice of each run, ties by id.
 
-    Runs with fewer than 2n images are left out, as their lists would share one. Both ranks are
+    A run with fewer than 2n images stops the job, as its lists would share one. Both ranks are
     filtered to n, so Spark keeps n rows per run and task before the shuffle.
     """
     if n < 1:
@@ -215,7 +215,11 @@ def best_and_worst(metrics: DataFrame, n: int) -> DataFrame:
             .select("run_id", F.lit(side).alias("side"), "place", "image_id", "dice")
         )
 
-    enough = rows.groupBy("run_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= 2 * n)
+    few = F.concat("run_id", F.lit(f" has fewer than {2 * n} images"))
+    enough = (
+        rows.groupBy("run_id").agg(F.count("*").alias("_n"))
+        .where(F.when(F.col("_n") >= 2 * n, F.lit(True)).otherwise(F.raise_error(few).cast("boolean")))
+    )
     both = top("best", F.desc("dice"), F.asc("image_id")).unionByName(
         top("worst", F.asc("dice"), F.asc("image_id"))
     )

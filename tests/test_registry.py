@@ -374,3 +374,11 @@ def test_a_missing_value_breaks_a_rule(spark, t):
     )
     broken = {r.rule for r in audit.run_rules(bare, audit.latest_status(t["fold_status"]), "Tesla T4", "colab").collect()}
     assert {"unfinished", "dirty tree", "hardware", "determinism"} <= broken
+
+
+def test_best_and_worst_refuse_short_runs(spark):
+    rows = spark.createDataFrame([("a", str(i), i / 10) for i in range(4)], "run_id string, image_id string, dice double")
+    got = reports.best_and_worst(rows, 2).collect()
+    assert sorted((r.side, r.place, r.image_id) for r in got) == [("best", 1, "3"), ("best", 2, "2"), ("worst", 1, "0"), ("worst", 2, "1")]
+    with pytest.raises(Exception, match="a has fewer than 6 images"):
+        reports.best_and_worst(rows, 3).collect()

@@ -314,7 +314,7 @@ def edge_consistency(spark, sf):
 
 # ---------------------------------------------------------------- patches
 
-N_PATCHES = 400
+N_PATCHES = 4000
 SIZE = 6
 SEED = 11
 CENTERS = f"""fov AS (SELECT image_id, count(*) AS fov FROM grid_pixels WHERE in_fov GROUP BY image_id),
