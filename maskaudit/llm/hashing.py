@@ -15,7 +15,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0xD6E8FEB86659FD93)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ NGRAM = 4
 THRESHOLD = (85, 100)  # links have THRESHOLD[1] * intersection >= THRESHOLD[0] * union
 CUT = 4096  # n-grams of one fragment of the order in which overlaps are counted
 BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 18  # sets and n-grams of a block, about
+TOGETHER = 1 << 18  # keys that a task sends at once
 BUCKET = 1 << 18  # keys of equal fragments that one task looks at
 STEP = 1.5  # ratio of neighbouring fragment numbers
 MEMBER = "doc_id bigint, n bigint, owner bigint, level int, needs array<int>"
@@ -141,46 +142,52 @@ GROUPED = "bucket int, local boolean, keys binary, owners binary"
 def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Return (key, owner) of all fragment keys that at least two different sets have; its lowest 6 bits: the level.
 
-    A batch sends each of its keys to the key's bucket once, with the smallest owner that has it; what a batch finds
-    to be shared within itself goes to a bucket of its own choice. So a key that very many sets have reaches its
-    bucket once per batch, and a bucket holds about BUCKET keys, whatever the size of the table.
+    A run of about TOGETHER keys sends each of its keys to the key's bucket once, with the smallest owner that has it;
+    what a run finds to be shared within itself goes to a bucket of its own choice. So a key that very many sets have
+    reaches its bucket once per run, a bucket holds about BUCKET keys, whatever the size of the table, and a task
+    holds one run.
     """
 
     def spread(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for _, _, values, offsets in _sets(texts, n):
+            keys, owners = [], []
+            for _, _, values, offsets in _sets(batch.column("text").to_pylist(), n):
                 key, owner = _fragment_keys(values, offsets, threshold)
                 keys.append(key)
                 owners.append(_owners(values, offsets)[owner])
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
-            fresh = np.ones(len(key), dtype=bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-            key, owner = key[fresh], owner[fresh]
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
-            again = ~first
-            many = again | np.concatenate((again[1:], [False])) if len(key) else again
-            out = []
-            if many.any():
-                out.append((int(key[0] % np.uint64(buckets)), True, key[many].tobytes(), owner[many].tobytes()))
-            key, owner = key[first], owner[first]
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, owner, bucket = (key[order] >> np.uint64(32)).astype(np.uint32), owner[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                out.append((int(bucket[a]), False, key[a:b].tobytes(), owner[a:b].tobytes()))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()),
-                     pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-                    ["bucket", "local", "keys", "owners"],
-                )
+                if sum(map(len, keys)) >= TOGETHER:
+                    yield from sent(np.concatenate(keys), np.concatenate(owners))
+                    keys, owners = [], []
+            if keys:
+                yield from sent(np.concatenate(keys), np.concatenate(owners))
+
+    def sent(key, owner):
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[fresh], owner[fresh]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        again = ~first
+        many = again | np.concatenate((again[1:], [False])) if len(key) else again
+        out = []
+        if many.any():
+            out.append((int(key[0] % np.uint64(buckets)), True, key[many].tobytes(), owner[many].tobytes()))
+        key, owner = key[first], owner[first]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        key, owner, bucket = (key[order] >> np.uint64(32)).astype(np.uint32), owner[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            out.append((int(bucket[a]), False, key[a:b].tobytes(), owner[a:b].tobytes()))
+        if out:
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()),
+                 pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
+                ["bucket", "local", "keys", "owners"],
+            )
 
     def gather(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
