@@ -156,19 +156,16 @@ def never_tested_counts(images: DataFrame, assignments: DataFrame, runs: DataFra
         .groupBy("run_id", "dataset")
         .agg(F.count("*").alias("_have"))
     )
-    datasets = F.array_sort(F.collect_set("dataset"))
-    every = needed.agg(datasets.alias("_every"))  # one row; the number of datasets is small
     known = assignments.select("run_id", "dataset").distinct()
-    idle = runs.select("run_id").join(known, "run_id", "left_anti").withColumn("_k", F.lit(1))
-    owing = idle.join(every.withColumn("_k", F.lit(1)), "_k").select("run_id", F.explode("_every").alias("dataset"))
-    return (
-        known.unionByName(owing)
-        .join(needed, "dataset")
+    owing = (
+        known.join(needed, "dataset")
         .join(covered, ["run_id", "dataset"], "left")
         .groupBy("run_id")
         .agg(F.sum(F.col("_need") - F.coalesce("_have", F.lit(0))).alias("n_missing"))
-        .where("n_missing > 0")
     )
+    every = labelled.agg(F.count("*")).scalar()
+    idle = runs.select("run_id").join(known, "run_id", "left_anti").select("run_id", every.alias("n_missing"))
+    return owing.unionByName(idle).where("n_missing > 0")
 
 
 def untested_rows(metrics: DataFrame, assignments: DataFrame) -> DataFrame:
