@@ -35,7 +35,8 @@ def fixture(spark):
     for run, per_fold in DICE.items():
         runs.append(
             {"run_id": run, "variant": VARIANTS[run], "config": CONFIG, "git_commit": "c", "git_dirty": False,
-             "git_tag": "v1.0.0", "data_hash": "data", "gpu_type": "T4", "compute_platform": "lab",
+             "git_tag": "v1.0.0", "data_hash": "data", "config_hash": "hash", "seed": 1, "python_version": "3.13",
+             "tensorflow_version": "2.21", "device": "gpu", "gpu_type": "T4", "compute_platform": "lab",
              "deterministic_ops": True, "started_at": T0, "finished_at": None if run == "open" else T1,
              "is_reported": False}
         )
@@ -179,6 +180,7 @@ def test_each_fault_fails_its_rule(spark, t, name, change, rule):
         ("runs", "started_at", "'2026-09-27T10:00:00+02:00'", "started_at_format"),
         ("runs", "finished_at", "'2026-02-30T10:00:00Z'", "finished_at_format"),
         ("runs", "applied_threshold", "0.5D", "model_and_threshold_together"),
+        ("runs", "device", "cast(NULL AS string)", "device_not_null"),
         ("fold_assignments", "role", "'dev'", "role_enum"),
         ("fold_status", "completed_at", "cast(NULL AS string)", "complete_needs_outputs"),
         ("thresholds", "threshold", "1.5D", "threshold_unit"),
