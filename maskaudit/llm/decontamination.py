@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignments score them."""
+"""Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignments score them."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ from maskaudit.llm import hashing as H
 from maskaudit.llm.columns import carried
 
 NGRAM = 3
-RARE = 0.75  # share of an item's n-grams, the rarest in the corpus, that are seeds
 SCORE = 0.5  # of the score of an exact copy
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 32_000_000  # characters of test items that are looked for in one pass
 TOGETHER = 512  # alignments computed side by side
+CELLS = 1 << 20  # of one row of all alignments computed side by side
 
 
 @dataclass
@@ -31,20 +31,6 @@ class Items:
     item: np.ndarray
     at: np.ndarray
 
-    def keep(self, counts: np.ndarray, share: float) -> Items:
-        """Keep each item's rarest n-grams by the number of texts that hold them; ties of the last one stay too."""
-        count = np.repeat(counts, np.diff(self.begins))
-        order = np.lexsort((count, self.item))
-        item, count = self.item[order], count[order]
-        start = np.searchsorted(item, np.arange(len(self.ids)))
-        number = np.bincount(item, minlength=len(self.ids))
-        last = start + np.maximum(np.ceil(number * share).astype(np.int64), 1) - 1
-        limit = np.where(number > 0, count[np.minimum(last, max(len(count) - 1, 0))] if len(count) else 0, -1)
-        rare = np.zeros(len(self.item), dtype=bool)
-        rare[order] = count <= limit[item]
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.begins))[rare]
-        return _indexed(self.ids, self.words, self.grams[gram], self.item[rare], self.at[rare])
-
 
 def _indexed(ids, words, grams, item, at) -> Items:
     order = np.lexsort((at, item, grams))
@@ -80,22 +66,6 @@ def _hits(texts: list[str | None], items: Items, n: int):
         yield i, words, offsets, text, at - begins[text], gram
 
 
-def count_seeds(docs: DataFrame, held, n: int = NGRAM) -> DataFrame:
-    """Return (gram: its number in the block, n: texts of ``docs`` that hold it)."""
-
-    def run(batches):
-        items = held.value
-        total = np.zeros(len(items.grams), dtype=np.int64)
-        for batch in batches:
-            for _, _, _, text, _, gram in _hits(batch.column("text").to_pylist(), items, n):
-                pairs = np.unique(text * len(items.grams) + gram)
-                total += np.bincount(pairs % len(items.grams), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Return (best local alignment score, begin, end in the window) of each item and window of word hashes.
 
@@ -136,10 +106,17 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, begin, end
 
 
+def _most(words: np.ndarray, window: np.ndarray) -> int:
+    """Return a bound no alignment's score exceeds: of all runs of the window, the best if all words of the item match."""
+    total = np.concatenate(([0], np.cumsum(np.where(np.isin(window, words), MATCH, max(MISMATCH, GAP)))))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def _aligned(texts: list[str | None], items: Items, n: int, score: float):
     """Return (text, item, score, first word, end word) of the best alignment of each text and item over ``score``."""
     rows: dict[tuple[int, int], tuple[float, int, int]] = {}
     waiting: list[tuple[int, int, int, np.ndarray]] = []
+    width = 0
 
     def flush():
         value, begin, end = align([items.words[x[1]] for x in waiting], [x[3] for x in waiting])
@@ -160,20 +137,25 @@ def _aligned(texts: list[str | None], items: Items, n: int, score: float):
         last = None
         for t, i, s in zip(text[row][order].tolist(), item[order].tolist(), start[order].tolist()):
             size = len(items.words[i])
-            slack = size // 4 + 4
+            need = score * MATCH * size
+            slack = max(int(MATCH * size - need), 0)  # gaps, more of which leave less than the score
             if last and last[:2] == (t, i) and s <= last[2] + slack:
                 continue  # the window of the seed before reaches this alignment as well
             last = (t, i, s)
             a, b = max(0, s - slack), min(offsets[t + 1] - offsets[t], s + size + 2 * slack)
-            waiting.append((first + t, i, a, words[offsets[t] + a : offsets[t] + b]))
-            if len(waiting) >= TOGETHER:
+            window = words[offsets[t] + a : offsets[t] + b]
+            if _most(items.words[i], window) < need:
+                continue
+            width = max(width, len(window)) if waiting else len(window)
+            waiting.append((first + t, i, a, window))
+            if len(waiting) >= TOGETHER or len(waiting) * width >= CELLS:
                 flush()
     if waiting:
         flush()
     return [(t, i, share, -a, -b) for (t, i), (share, a, b) in sorted(rows.items())]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float):
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int):
     """Yield a broadcast of seeds and items per block of ``benchmark``; each block is bounded by BLOCK_CHARS."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
@@ -181,33 +163,27 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare: float):
     blocks = int(size) // BLOCK_CHARS + 1
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = index_items([r["item_id"] for r in rows], [r["text"] for r in rows], n)
-        counts = np.zeros(len(index.grams), dtype=np.int64)
-        for r in count_seeds(docs, spark.sparkContext.broadcast(index), n).collect():
-            counts[r["gram"]] = r["n"]
-        yield spark.sparkContext.broadcast(index.keep(counts, rare))
+        yield spark.sparkContext.broadcast(index_items([r["item_id"] for r in rows], [r["text"] for r in rows], n))
 
 
 FOUND = "item_id bigint, score double, first_word bigint, end_word bigint"
 
 
-def find_passages(
-    docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, rare: float = RARE, score: float = SCORE
-) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE) -> DataFrame:
     """Find exact, edited and paraphrased copies of benchmark items (item_id, text) in the texts of ``docs``.
 
     Returns a row per text and item over the score: the columns of ``docs`` other than ``text``, ``item_id``,
     ``score`` (of the best alignment, 1 for an exact copy) and its words ``first_word`` to ``end_word`` (exclusive;
     words are runs other than ASCII marks and blanks).
 
-    Two passes over the texts, without a shuffle of them: the first counts in how many texts each n-gram of an item
-    stands, the second looks for each item's rarest ones and aligns the words around them. Items come in blocks of
-    bounded size, a pass of both kinds per block. Items of fewer than ``n`` words and NULL items are not looked for;
+    One pass over the texts, without a shuffle of them: every n-gram of an item is a seed, and the words around it are
+    aligned unless too few of them are the item's. A copy that shares no ``n`` words in a row with the item has no
+    seed. Items come in blocks of bounded size, a pass per block. Items of fewer than ``n`` words and NULL items are not looked for;
     NULL texts are empty; repeated rows are kept; an empty table gives no row; see ``carried`` for names that clash.
     """
     others = [docs.schema[c] for c in carried(docs, tuple(c.split()[0] for c in FOUND.split(", ")))]
     out = docs.sparkSession.createDataFrame([], ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), FOUND]))
-    for held in _blocks(docs, benchmark, n, rare):
+    for held in _blocks(docs, benchmark, n):
 
         def run(batches, held=held):
             items = held.value
@@ -226,12 +202,10 @@ def find_passages(
     return out
 
 
-def without_passages(
-    docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, rare: float = RARE, score: float = SCORE
-) -> DataFrame:
+def without_passages(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE) -> DataFrame:
     """Return the rows of ``docs`` in whose text ``find_passages`` finds nothing."""
     schema, kept = docs.schema, docs
-    for held in _blocks(docs, benchmark, n, rare):
+    for held in _blocks(docs, benchmark, n):
 
         def run(batches, held=held):
             for batch in batches:

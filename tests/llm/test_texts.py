@@ -280,6 +280,35 @@ def test_copies_and_edited_copies_are_found(spark):
     assert decontamination.find_passages(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("every", [5, 4, 3])
+def test_heavily_edited_copies_are_found_like_by_full_alignment(spark, every):
+    rng = random.Random(every)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(12, 60)))) for i in range(12)]
+    docs = []
+    for i, text in items:
+        regular, loose = text.split(), text.split()
+        regular[every - 1 :: max(every, 4)] = ["new"] * len(regular[every - 1 :: max(every, 4)])
+        for _ in range(len(loose) // every):
+            k = rng.randrange(len(loose))
+            loose[k : k + 1] = rng.choice([[], ["x%d" % k], [loose[k], "x%d" % k]])
+        for k, copy in enumerate((regular, loose)):
+            docs.append((2 * i + k, " ".join([*rng.choices(vocabulary, k=90), *copy, *rng.choices(vocabulary, k=90)])))
+    # The surviving words of the first item stand in many texts, its lost ones in none.
+    docs += [(100 + d, docs[0][1].replace("new", "y%d" % d)) for d in range(9)]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            share = smith_waterman(item.split(), text.split()) / (2 * len(item.split()))
+            shared = {tuple(item.split()[k : k + 3]) for k in range(len(item.split()) - 2)}
+            if share >= 0.5 and shared & {tuple(text.split()[k : k + 3]) for k in range(len(text.split()) - 2)}:
+                want[d, i] = share
+    assert {(2 * i, i) for i, _ in items} | {(100 + d, 0) for d in range(9)} <= set(want)
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontamination.find_passages(table, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["Ab c\td", None, "", "é É x", "ab C D", "\x0b a b"]
     hashes, offsets = hashing.word_hashes(texts)
