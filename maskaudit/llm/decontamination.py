@@ -14,6 +14,7 @@ from maskaudit.llm.columns import carried
 
 NGRAM = 3
 SCORE = 0.5  # of the score of an exact copy
+EXCERPT = 25  # words; an alignment that scores as much as so many in a row counts too, however long the item
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 32_000_000  # characters of test items that are looked for in one pass
 TOGETHER = 512  # alignments computed side by side
@@ -112,8 +113,13 @@ def _most(words: np.ndarray, window: np.ndarray) -> int:
     return int((total - np.minimum.accumulate(total)).max())
 
 
+def _need(size: int, score: float) -> float:
+    """Return the score that an alignment with an item of ``size`` words needs."""
+    return MATCH * min(score * size, EXCERPT)
+
+
 def _aligned(texts: list[str | None], items: Items, n: int, score: float):
-    """Return (text, item, score, first word, end word) of the best alignment of each text and item over ``score``."""
+    """Return (text, item, score, first word, end word) of the best alignment, if it suffices, of each text and item."""
     rows: dict[tuple[int, int], tuple[float, int, int]] = {}
     waiting: list[tuple[int, int, int, np.ndarray]] = []
     width = 0
@@ -121,8 +127,8 @@ def _aligned(texts: list[str | None], items: Items, n: int, score: float):
     def flush():
         value, begin, end = align([items.words[x[1]] for x in waiting], [x[3] for x in waiting])
         for (text, item, base, _), v, a, b in zip(waiting, value, begin, end):
-            share = float(v) / (MATCH * len(items.words[item]))
-            if share >= score:
+            if v >= _need(len(items.words[item]), score):
+                share = float(v) / (MATCH * len(items.words[item]))
                 new = (share, -(base + int(a)), -(base + int(b)))
                 rows[text, item] = max(rows.get((text, item), new), new)
         waiting.clear()
@@ -137,7 +143,7 @@ def _aligned(texts: list[str | None], items: Items, n: int, score: float):
         last = None
         for t, i, s in zip(text[row][order].tolist(), item[order].tolist(), start[order].tolist()):
             size = len(items.words[i])
-            need = score * MATCH * size
+            need = _need(size, score)
             slack = max(int(MATCH * size - need), 0)  # gaps, more of which leave less than the score
             if last and last[:2] == (t, i) and s <= last[2] + slack:
                 continue  # the window of the seed before reaches this alignment as well
@@ -172,7 +178,8 @@ FOUND = "item_id bigint, score double, first_word bigint, end_word bigint"
 def find_passages(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE) -> DataFrame:
     """Find exact, edited and paraphrased copies of benchmark items (item_id, text) in the texts of ``docs``.
 
-    Returns a row per text and item over the score: the columns of ``docs`` other than ``text``, ``item_id``,
+    An alignment counts from ``score`` of an exact copy's on, or with that of EXCERPT words in a row: long excerpts of
+    any item are found. Returns a row per such text and item: the columns of ``docs`` other than ``text``, ``item_id``,
     ``score`` (of the best alignment, 1 for an exact copy) and its words ``first_word`` to ``end_word`` (exclusive;
     words are runs other than ASCII marks and blanks).
 

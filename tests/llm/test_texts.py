@@ -309,6 +309,21 @@ def test_heavily_edited_copies_are_found_like_by_full_alignment(spark, every):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want
 
 
+def test_long_excerpts_of_long_items_are_found(spark):
+    rng = random.Random(14)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    item, fill = rng.choices(vocabulary, k=300), lambda: rng.choices(vocabulary, k=80)
+    edited = [x if k % 5 else "new" for k, x in enumerate(item[200:260])]
+    parts = [item[80:220], item[:25], item[30:54], edited, item[100:130] + fill() + item[10:40], item]
+    docs = [(d, " ".join([*fill(), *part, *fill()])) for d, part in enumerate(parts)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontamination.find_passages(table, bench).collect()}
+    assert set(got) == {d for d, t in docs if smith_waterman(item, t.split()) >= 50} == {0, 1, 3, 4, 5}
+    assert got[0]["score"] == 280 / 600 and docs[0][1].split()[got[0]["first_word"] : got[0]["end_word"]] == parts[0]
+    assert {r["doc_id"] for r in decontamination.without_passages(table, bench).collect()} == {2}
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["Ab c\td", None, "", "é É x", "ab C D", "\x0b a b"]
     hashes, offsets = hashing.word_hashes(texts)
