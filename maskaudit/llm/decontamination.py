@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,29 @@ TOGETHER = 512  # alignments computed side by side
 CELLS = 1 << 20  # of one row of all alignments computed side by side
 
 
+#: Scripts without blanks between words: Thai to Tibetan, Myanmar, Khmer, kana, bopomofo, Han. Their characters are words.
+SINGLES = (
+    "\u0e01-\u0e4e\u0e50-\u0e59\u0e80-\u0eff\u0f00\u0f20-\u0f33\u0f40-\u0fbc\u1000-\u1049\u1050-\u109f\u1780-\u17d3"
+    "\u3005-\u3007\u3041-\u3096\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+)
+
+
+@cache
+def _apart() -> tuple[re.Pattern, re.Pattern]:
+    """Return patterns of the punctuation and blanks beyond ASCII, and of characters that are words."""
+    marks = (chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "PZ")
+    return re.compile(f"[{''.join(marks)}\x85]"), re.compile(f"[{SINGLES}]")
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Return (hashes of all words, offsets of each text's): runs between marks and blanks, or characters of SINGLES."""
+    marks, singles = _apart()
+    return H.word_hashes(
+        [t if not t or t.isascii() else singles.sub(r" \g<0> ", marks.sub(" ", t)) for t in texts], H.MARKS
+    )
+
+
 @dataclass
 class Items:
     """A block of test items: word hashes, and the seeds with the places where items have them."""
@@ -40,19 +67,18 @@ def _indexed(ids, words, grams, item, at) -> Items:
 
 
 def index_items(ids: list, texts: list[str | None], n: int = NGRAM) -> Items:
-    hashes, offsets = H.word_hashes(texts, H.MARKS)
-    long = np.diff(offsets) >= n
+    hashes, offsets = word_hashes(texts)
     grams, begins = H.shingles(hashes, offsets, n)
     item = np.repeat(np.arange(len(ids)), np.diff(begins))
     at = np.arange(len(grams)) - begins[:-1][item]
     words = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-    return _indexed(np.array(ids, dtype=np.int64), words, grams[long[item]], item[long[item]], at[long[item]])
+    return _indexed(np.array(ids, dtype=np.int64), words, grams, item, at)
 
 
 def _hits(texts: list[str | None], items: Items, n: int):
     """Yield (first text, words, offsets, text of each hit, word of each hit, gram of each hit)."""
     for i, j in H.batches(texts):
-        words, offsets = H.word_hashes(texts[i:j], H.MARKS)
+        words, offsets = word_hashes(texts[i:j])
         grams, begins = H.shingles(words, offsets, n)
         if len(items.grams) == 0 or len(grams) == 0:
             continue
@@ -181,11 +207,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score:
     An alignment counts from ``score`` of an exact copy's on, or with that of EXCERPT words in a row: long excerpts of
     any item are found. Returns a row per such text and item: the columns of ``docs`` other than ``text``, ``item_id``,
     ``score`` (of the best alignment, 1 for an exact copy) and its words ``first_word`` to ``end_word`` (exclusive;
-    words are runs other than ASCII marks and blanks).
+    words are runs other than marks and blanks, and single characters in scripts without blanks, see ``word_hashes``).
 
     One pass over the texts, without a shuffle of them: every n-gram of an item is a seed, and the words around it are
     aligned unless too few of them are the item's. A copy that shares no ``n`` words in a row with the item has no
-    seed. Items come in blocks of bounded size, a pass per block. Items of fewer than ``n`` words and NULL items are not looked for;
+    seed. Items of fewer than ``n`` words are found where they are all words of a text. Items come in blocks of
+    bounded size, a pass per block. NULL items and those without words are not looked for;
     NULL texts are empty; repeated rows are kept; an empty table gives no row; see ``carried`` for names that clash.
     """
     others = [docs.schema[c] for c in carried(docs, tuple(c.split()[0] for c in FOUND.split(", ")))]

@@ -324,6 +324,24 @@ def test_long_excerpts_of_long_items_are_found(spark):
     assert {r["doc_id"] for r in decontamination.without_passages(table, bench).collect()} == {2}
 
 
+def test_items_without_blanks_and_short_items_are_found(spark):
+    items = [
+        (1, "中国的首都是北京。它有三千年历史，人口超过两千万。"), (2, "日本で一番高い山は富士山です。"),
+        (3, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"), (4, "plain “quoted” words — here"), (5, "Forty-two"), (6, "yes"), (7, "。"),
+    ]
+    docs = [
+        (1, "前文。" + items[0][1] + "后文"), (2, "序文、" + items[1][1].replace("一番", "最も") + "終わり"), (3, "ไทย " + items[2][1]),
+        (4, "so plain quoted, words here"), (5, "forty two!"), (6, "Yes."), (10, "yes it is forty two of them"),
+        (11, "上海是中国最大的城市。"), (12, "ภาษาไทย"), (13, ""), (14, None),
+    ]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.find_passages(table, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(1, 7)}
+    assert {r["doc_id"] for r in got if r["score"] == 1} == {1, 3, 4, 5, 6}
+    assert {r["doc_id"] for r in decontamination.without_passages(table, bench).collect()} == {10, 11, 12, 13, 14}
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["Ab c\td", None, "", "é É x", "ab C D", "\x0b a b"]
     hashes, offsets = hashing.word_hashes(texts)
