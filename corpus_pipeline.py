@@ -34,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts: a row per piece, with its ids and its place in a sequence."""
-    return packing.pack(docs.select("doc_id", "text"), packing.vocabulary())
+    return packing.pack(docs.select("doc_id", "text"), packing.vocabulary(), added=True)
 
 
 STAGES = [

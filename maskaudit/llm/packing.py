@@ -28,18 +28,23 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     Both public libraries hold the same vocabulary. Texts of Latin-1 characters, on whose classes their releases agree,
-    go to the faster one, and all others to ``tokenizers``.
+    go to the faster one, and all others to ``tokenizers``. With ``added``, the vocabulary's added tokens in a text get
+    their own ids, as ``tokenizers`` gives them by default: texts that hold one go there. Without, they are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
         self.fast = _ranked(path)
+        tokens = self.slow.get_added_tokens_decoder().values() if added else ()
+        if any(t.normalized or t.single_word for t in tokens):
+            self.fast = None  # such a token may stand in a text in another form
+        self.added = tuple(t.content for t in tokens)
 
     def encode(self, text: str) -> bytes:
-        if self.fast is not None and _latin(text):
+        if self.fast is not None and _latin(text) and not any(t in text for t in self.added):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -67,8 +72,8 @@ def _ranked(path: str):
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
 class OpenWindows:
@@ -125,10 +130,12 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = WINDOW) -> tuple[np.nda
 PIECES = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-def pack(docs: DataFrame, path: str, size: int = WINDOW, end: int = END, pool: int = POOL) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, size: int = WINDOW, end: int = END, pool: int = POOL, added: bool = False
+) -> DataFrame:
     """Pack the texts of ``docs`` into sequences of at most ``size`` tokens.
 
-    A document is the ids of its text (NULL: empty) and then ``end``. A document longer than a window is cut into full
+    A document is the ids of its text (NULL: empty; ``added``: see Encoder) and then ``end``. A document longer than a window is cut into full
     windows and a rest; rests and shorter documents go, longest first, into the open window they fill best. Returns
     per piece the columns of ``docs`` other than ``text`` and
 
@@ -145,7 +152,7 @@ def pack(docs: DataFrame, path: str, size: int = WINDOW, end: int = END, pool: i
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _encoder(path)
+        encoder = _encoder(path, added)
         number = TaskContext.get().partitionId() << 32
         last = np.array([end], dtype="<u4").tobytes()
         held, rows, tokens = [], [], 0
@@ -199,6 +206,6 @@ def pack(docs: DataFrame, path: str, size: int = WINDOW, end: int = END, pool: i
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1,024 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(docs, vocabulary()).select(
+    return pack(docs, vocabulary(), added=True).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -127,6 +127,24 @@ def test_both_encoders_agree():
         assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.vocabulary())
+    encoder = packing._encoder(packing.vocabulary(), True)
+    assert np.frombuffer(encoder.encode("a <|endoftext|> b"), dtype="<u4").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(15)
+    alphabet = ["a", " ", "\n", "é", "12", "'s", "<|endoftext|>", "<|endoftext|", ">", "<|", "中", "\x00"]
+    for _ in range(2000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    hard_docs(spark).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in packing.op4_packing(spark, str(tmp_path)).where("doc_tokens < 1024").collect()}
+    for i in (7, 9, 10):
+        ids = np.array(plain.encode(HARD[i], add_special_tokens=False).ids + [packing.END], dtype="<u4")
+        assert rows[i]["ids_crc32"] == zlib.crc32(ids.tobytes()) and rows[i]["doc_tokens"] == len(ids)
+
+
 # --- token counts
 
 
