@@ -26,9 +26,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}", has("AKIA")),
     Rule("hex", r"[0-9a-f]{32,}", like(r"[0-9a-f]{32}")),
 )
+PEM_LINE = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+_EOL = r"(?:\r?\n|\r|\\r\\n|\\n)"  # as such or escaped
+_TAIL = r"""[\x20\t"',;]*+"""
+_LINE = (
+    rf"(?:[A-Za-z0-9+/=_]++(?={_TAIL}(?:{_EOL}|\z))|[A-Za-z0-9+/=_]{{40,}}+"
+    r"|(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*+)"
+)
+#: A private key from its first line to its END line, or without one over the base64 lines that follow.
+PEM = (
+    rf"{PEM_LINE}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----"
+    rf"|(?:{_TAIL}(?:{_EOL}[\x20\t>#*|\"']*+)++{_LINE}|\x20++[A-Za-z0-9+/=_]{{40,}}+)*+)"
+)
 MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", has("eyJ")),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", has("PRIVATE KEY-----")),
+    Rule("pem", PEM, has("PRIVATE KEY-----"), version=2),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}+", has("gho_", "ghp_", "ghs_", "ghu_")),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", has("xox")),
 )
@@ -168,7 +180,7 @@ found AS ({" UNION ALL ".join([
     _sql_kind("access", "AKIA[A-Z0-9]+", "length(m) >= 16"),
     _sql_kind("hex", "[0-9a-f]{32,}"),
     _sql_kind("jwt", MORE[0].pattern.replace("}+", "}")),
-    _sql_kind("pem", MORE[1].pattern),
+    _sql_kind("pem", PEM_LINE),
     _sql_kind("github", MORE[2].pattern.replace("}+", "}")),
     _sql_kind("slack", MORE[3].pattern.replace("}+", "}")),
 ])}),
