@@ -45,6 +45,7 @@ class Template:
     label: str
     words: tuple[str, ...]
     need: int
+    length: int = 0  # words of the notice, repeated ones too
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -73,8 +74,9 @@ def order_templates(
     Counts run over every block of every text. What comes to the driver is one row per template word, a number fixed
     by the parameter ``templates``.
     """
-    sets = [(label, sorted(set(re.findall(WORD, text.lower())))) for label, text in templates]
-    vocabulary = _strings(sorted({w for _, words in sets for w in words}))
+    lists = [(label, re.findall(WORD, text.lower())) for label, text in templates]
+    sets = [(label, sorted(set(words)), len(words)) for label, words in lists]
+    vocabulary = _strings(sorted({w for _, words, _ in sets for w in words}))
     held = F.flatten(F.transform(block_words(F.col("text"), block), lambda b: F.array_intersect(vocabulary, b)))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
     seen = {r["word"]: r["n"] for r in counts}
@@ -83,8 +85,9 @@ def order_templates(
             label,
             tuple(sorted(words, key=lambda w: (seen.get(w, 0), w))),
             math.ceil(containment * len(words) - 1e-9),
+            length,
         )
-        for label, words in sets
+        for label, words, length in sets
         if words
     ]
 
@@ -129,10 +132,12 @@ def find_licenses(
 
     Adds to ``keep`` (default: all columns but ``text``): ``n_words``; ``phrases``, an array of (label, first word) of
     all places where a phrase's words stand in a row; ``notices``, an array of (block from 0, label, share of the
-    template's words that the block holds). The template side is a parameter, so each row is joined where it lies and
+    template's words that the block holds); ``wrapped``, an array of (first word, label, share) for notices that go over
+    several blocks: runs of twice a template's words, begun every half of them, that hold enough of it and do so in no
+    block they touch. Runs overlap, so one notice can stand in several. The template side is a parameter, so each row is joined where it lies and
     nothing is shuffled. NULL text counts as empty, repeated rows and NULL ids are kept, an empty table gives no row.
     """
-    columns = carried(docs, ("n_words", "phrases", "notices"), keep)
+    columns = carried(docs, ("n_words", "phrases", "notices", "wrapped"), keep)
     order = _strings(_global_order(templates))
     fewest = min((t.need for t in templates), default=1)
     probe = "|".join(GAP.join(p.split()) for p in phrases.values())
@@ -142,16 +147,19 @@ def find_licenses(
         F.aggregate("_words", F.lit(0).cast("bigint"), lambda a, b: a + F.size(b)).alias("n_words"),
         F.transform("_words", lambda b: F.array_intersect(order, b)).alias("_blocks"),
         F.when(F.rlike("_low", F.lit(probe)), F.flatten("_words")).alias("_text"),
-    )
+        F.when(F.size("_words") > 1, F.col("_words")).alias("_lines"),
+    ).withColumn("_held", F.when(F.col("_lines").isNotNull(), F.array_distinct(F.flatten("_blocks"))))
     places = [_places(F.col("_text"), label, phrase.split()) for label, phrase in phrases.items()]
     numbered = F.filter(
         F.transform("_blocks", lambda b, n: F.struct(n.alias("block"), b.alias("words"))),
         lambda x: F.size(x["words"]) >= fewest,
     )
     found = [_notices(F.col("_long"), t) for t in templates]
+    runs = [_wrapped(F.col("_lines"), F.col("_held"), t) for t in templates]
     return base.withColumn("_long", numbered).select(
         *columns, "n_words", F.array_sort(F.concat(*places)).alias("phrases"),
         F.array_sort(F.concat(*found)).alias("notices"),
+        F.array_sort(F.concat(*runs)).alias("wrapped"),
     )
 
 
@@ -178,12 +186,43 @@ def _notices(blocks: Column, template: Template) -> Column:
     )
 
 
+def _wrapped(lines: Column, held: Column, template: Template) -> Column:
+    """Return (first word, label, share) of the runs of words over several of ``lines`` that hold a template.
+
+    Only in texts whose template words ``held`` suffice are runs made. Words of a line that holds the template by itself
+    are blanked first, so that no run is found for it. The words are one array's element, or each run would make them anew.
+    """
+    own, need = _strings(template.words), template.need
+    size, step = 2 * template.length, max(template.length // 2, 1)
+
+    def share(words: Column) -> Column:
+        return F.size(F.array_intersect(words, own))
+
+    words = F.flatten(F.transform(lines, lambda b: F.when(share(b) < need, b).otherwise(F.transform(b, lambda w: F.lit("")))))
+
+    def rows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
+        found = F.transform(
+            starts,
+            lambda i: F.struct(
+                i.cast("bigint").alias("word"), F.lit(template.label).alias("label"),
+                (share(F.slice(words, i + 1, F.lit(size))) / F.lit(len(template.words))).alias("share"),
+            ),
+        )
+        return F.filter(found, lambda r: r["share"] >= need / len(template.words))
+
+    none = F.array().cast("array<struct<word:bigint,label:string,share:double>>")
+    return F.when(held.isNotNull() & (share(held) >= need), F.flatten(F.transform(F.array(words), rows))).otherwise(none)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_licenses(docs, order_templates(docs))
     named = F.transform("phrases", lambda p: p["label"])
     noticed = F.transform("notices", lambda n: n["label"])
+    wrapped = F.transform("wrapped", lambda n: n["label"])
+    shares = F.concat(F.transform("notices", lambda n: n["share"]), F.transform("wrapped", lambda n: n["share"]))
     starts = F.transform("phrases", lambda p: p["word"])
 
     def listed(labels: Column) -> Column:
@@ -196,9 +235,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         listed(named).alias("base_labels"),
-        listed(F.concat(named, noticed)).alias("labels"),
+        listed(F.concat(named, noticed, wrapped)).alias("labels"),
         F.when(F.size("phrases") > 0, F.lit(1.0))
-        .otherwise(F.coalesce(F.array_max(F.transform("notices", lambda n: n["share"])), F.lit(0.0)))
+        .otherwise(F.coalesce(F.array_max(shares), F.lit(0.0)))
         .alias("score"),
     )
 

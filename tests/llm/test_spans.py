@@ -180,3 +180,26 @@ def test_licenses_equal_plain_containment(spark):
                     found.add((b, label, share))
         assert {(n["block"], n["label"], n["share"]) for n in r["notices"]} == found
     assert licenses.find_licenses(docs.limit(0), licenses.order_templates(docs.limit(0))).count() == 0
+
+
+def test_wrapped_notices_are_found(spark, tmp_path):
+    import textwrap
+
+    docs, want = [], {}
+    for k, (label, template) in enumerate(licenses.TEMPLATES):
+        for j, (width, mark) in enumerate([(12, "# "), (40, " * "), (72, "// ")]):
+            before, after = (" ".join(f"{c}{i}" for i in range(9 * k + j)) for c in "xy")
+            lines = textwrap.wrap(f"{before} {template} {after}", width)
+            docs.append((10 * k + j, "\n".join(mark + line for line in lines) + "\n" + "z\n" * 40))
+            want[10 * k + j] = label
+    docs += [(900, "\n".join("this work is licensed under the gnu general public license version 3".split()[:-3])), (901, None), (902, "a\n\n")]
+    docs += [(903, "x\n" + licenses.TEMPLATES[5][1] + "\ny"), (904, "this work is licensed under\n" + "z\n" * 60 + "the gnu general public license version 3")]
+    table = spark.createDataFrame(docs, "doc_id int, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licenses.op3_licenses(spark, str(tmp_path)).collect()}
+    missed = {i: got[i]["labels"] for i, label in want.items() if label not in got[i]["labels"].split(",")}
+    assert missed == {} and all(got[i]["score"] >= licenses.CONTAINMENT for i in want)
+    assert [got[i]["labels"] for i in (900, 901, 902, 903, 904)] == ["", "", "", "gpl-3", ""]
+    rows = {r["doc_id"]: r for r in licenses.find_licenses(table, licenses.order_templates(table)).collect()}
+    assert rows[903]["wrapped"] == [] and len(rows[903]["notices"]) == 1
+    assert any(n["label"] == "gpl-3" and n["share"] == 1 for n in rows[52]["wrapped"] + rows[52]["notices"])
