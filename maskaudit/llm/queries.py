@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from maskaudit.llm import chat, decontamination, embeddings, jaccard, langid, licenses, packing, periods, pii, secrets, tokens
+from maskaudit.llm import (
+    chat, decontamination, embeddings, jaccard, langid, licenses, negatives, packing, periods, pii, secrets, slack, tokens,
+)
 
 REGISTRY = {
     "op1_embedding_dedup": (embeddings.op1_embedding_dedup, embeddings.OP1_SQL),
@@ -15,5 +17,7 @@ REGISTRY = {
     "op5_secrets": (secrets.op5_secrets, secrets.OP5_SQL),
     "op6_jaccard": (jaccard.op6_jaccard, jaccard.OP6_SQL),
     "op7_pii": (pii.op7_pii, None),
+    "op11_hard_negatives": (negatives.op11_hard_negatives, negatives.OP11_SQL),
+    "op12_slack_packing": (slack.op12_slack_packing, None),
     "op13_periodic_runs": (periods.op13_periodic_runs, periods.OP13_SQL),
 }
