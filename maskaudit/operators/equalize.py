@@ -1,20 +1,25 @@
-"""Tiled contrast-limited histogram equalisation of 8-bit images, as grouped counts.
+"""Tiled contrast-limited histogram equalisation of 8-bit images, with dense tables per tile.
 
-Per image there are ``tiles x 256`` histogram rows and ``(tiles + 1)^2 x 256`` lookup rows, however
-many pixels it has. Pixels are counted once (with partial aggregation) and joined once, on
-(image, cell, value), so one large image still spreads over thousands of keys.
+A tile is one row: its histogram and its lookup table are arrays of 256 numbers, however many pixels it has. Pixels are
+counted once (with partial aggregation) and shuffled once, by image and block of ``BLOCK`` x ``BLOCK`` positions, to meet
+first the image's shape and then its tables. A block is the unit of work, so one large image spreads over many tasks, and
+the tables sent to it do not grow with the image: a tile grid has a fixed number of tiles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskaudit.operators.ranking import salted_lookup
-
 LEVELS = 256
+BLOCK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Return ``use(value)`` with ``value`` computed once per row, also where ``use`` reads it in a lambda."""
+    return F.transform(F.array(value), use)[0]
 
 
 def image_shape(pixels: DataFrame, keys: Sequence[str], tile_grid: tuple[int, int]) -> DataFrame:
@@ -35,6 +40,28 @@ def image_shape(pixels: DataFrame, keys: Sequence[str], tile_grid: tuple[int, in
     )
 
 
+SHAPE = ("_h", "_w", "_th", "_tw")
+
+
+def _block(position: str) -> Column:
+    return F.floor(F.col(position) / F.lit(BLOCK)).cast("int")
+
+
+def _per_block(images: DataFrame) -> DataFrame:
+    """Copy a row per image to every block of it."""
+    out = images
+    for name, size in (("_br", "_h"), ("_bc", "_w")):
+        last = F.floor((F.col(size) - 1) / F.lit(BLOCK)).cast("int")
+        out = out.withColumn(name, F.explode(F.sequence(F.lit(0), last)))
+    return out
+
+
+def in_blocks(pixels: DataFrame, shape: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach its image's shape to every pixel, split by block."""
+    marked = pixels.withColumn("_br", _block("row")).withColumn("_bc", _block("col"))
+    return marked.join(_per_block(shape), [*keys, "_br", "_bc"])
+
+
 def _with_mirror(position: Column, size: Column, padded: Column) -> Column:
     # Padding mirrors the image about its last row or column, without repeating it.
     mirrored = 2 * (size - 1) - position
@@ -43,73 +70,87 @@ def _with_mirror(position: Column, size: Column, padded: Column) -> Column:
 
 
 def tile_histograms(
-    pixels: DataFrame, shape: DataFrame, keys: Sequence[str], value: str, tile_grid: tuple[int, int]
+    placed: DataFrame, shape: DataFrame, keys: Sequence[str], value: str, tile_grid: tuple[int, int]
 ) -> DataFrame:
-    """Count every value in every tile, mirrored padding included; all 256 values are present."""
+    """Count every value in every tile, mirrored padding included: ``hist`` has 256 counts, and no tile is missing.
+
+    ``placed`` are pixels with the columns of ``shape``.
+    """
     ty, tx = tile_grid
-    placed = salted_lookup(pixels, shape, keys, ["row", "col"])
     spread = (
         placed.select(
-            *keys, value, "_th", "_tw", "col", "_w",
+            *keys, value, *SHAPE, "col",
             F.explode(_with_mirror(F.col("row"), F.col("_h"), F.col("_th") * ty)).alias("_r"),
         )
         .select(
-            *keys, value, "_th", "_tw", "_r",
+            *keys, value, *SHAPE, "_r",
             F.explode(_with_mirror(F.col("col"), F.col("_w"), F.col("_tw") * tx)).alias("_c"),
         )
     )
     counted = spread.groupBy(
         *keys,
+        *SHAPE,
         F.floor(F.col("_r") / F.col("_th")).cast("int").alias("tile_row"),
         F.floor(F.col("_c") / F.col("_tw")).cast("int").alias("tile_col"),
         F.col(value).alias("level"),
     ).agg(F.count("*").alias("n"))
-    empty = (
-        shape.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(ty - 1))).alias("tile_row"))
-        .select(*keys, "tile_row", F.explode(F.sequence(F.lit(0), F.lit(tx - 1))).alias("tile_col"))
-        .select(
-            *keys, "tile_row", "tile_col",
-            F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level"),
-        )
+    # A tile beyond all pixels has no counted level; level -1 only makes its row.
+    every = (
+        shape.withColumn("tile_row", F.explode(F.sequence(F.lit(0), F.lit(ty - 1))))
+        .withColumn("tile_col", F.explode(F.sequence(F.lit(0), F.lit(tx - 1))))
+        .withColumn("level", F.lit(-1))
         .withColumn("n", F.lit(0).cast("bigint"))
     )
-    return (
-        counted.unionByName(empty)
-        .groupBy(*keys, "tile_row", "tile_col", "level")
-        .agg(F.sum("n").alias("n"))
+    # At most tiles x 257 rows per image: one shuffle by image serves the tiles and the tables per image.
+    rows = counted.unionByName(every.select(*counted.columns)).repartition(*keys)
+    found = rows.groupBy(*keys, *SHAPE, "tile_row", "tile_col").agg(
+        F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("_n")
     )
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    hist = F.transform(levels, lambda level: F.coalesce(F.element_at("_n", level), F.lit(0).cast("bigint")))
+    return found.withColumn("hist", hist).drop("_n")
 
 
-def tile_luts(
-    hist: DataFrame, shape: DataFrame, keys: Sequence[str], clip_limit: float
-) -> DataFrame:
-    """Clip each tile's histogram, spread the excess evenly, and return its lookup table."""
-    tile = [*keys, "tile_row", "tile_col"]
-    whole = Window.partitionBy(*tile)
-    upto = whole.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+def tile_luts(hist: DataFrame, clip_limit: float) -> DataFrame:
+    """Clip each tile's histogram, spread the excess evenly, and add ``clipped`` and the lookup table ``lut``."""
     area = (F.col("_th") * F.col("_tw")).cast("double")
-    limit = F.greatest(F.floor(F.lit(clip_limit) * area / F.lit(float(LEVELS))), F.lit(1))
-    staged = hist.join(shape, [*keys]).withColumn("_area", area).withColumn(
-        "_limit", limit.cast("bigint")
+    limit = F.greatest(F.floor(F.lit(clip_limit) * area / F.lit(float(LEVELS))), F.lit(1)).cast("bigint")
+
+    def clip(counts: Column, most: Column) -> Column:
+        over = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, n: s + F.greatest(n - most, F.lit(0)))
+        return _let(over, lambda excess: _let(F.struct(
+            F.floor(excess / F.lit(LEVELS)).alias("share"), F.pmod(excess, F.lit(LEVELS)).alias("rest"),
+            # What is left after the even share goes to every step-th level until used up.
+            F.greatest(F.floor(F.lit(LEVELS) / F.greatest(F.pmod(excess, F.lit(LEVELS)), F.lit(1))), F.lit(1)).alias("step"),
+        ), lambda s: F.transform(counts, lambda n, level: (
+            F.least(n, most) + s["share"]
+            + F.when((F.pmod(level, s["step"]) == 0) & (F.floor(level / s["step"]) < s["rest"]), 1).otherwise(0)
+        ).cast("bigint"))))
+
+    scale = (F.lit(LEVELS - 1).cast("float") / area.cast("float")).cast("float")
+
+    def cumulated(counts: Column, factor: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("lut"))
+
+        def add(state: Column, n: Column) -> Column:
+            total = state["sum"] + n
+            raw = (total.cast("float") * factor).cast("double")
+            level = F.least(F.greatest(F.bround(raw, 0), F.lit(0.0)), F.lit(255.0)).cast("int")
+            return F.struct(total.alias("sum"), F.concat(state["lut"], F.array(level)).alias("lut"))
+
+        return F.aggregate(counts, start, add)["lut"]
+
+    clipped = _let(limit, lambda most: clip(F.col("hist"), most)) if clip_limit > 0 else F.col("hist")
+    lut = _let(scale, lambda factor: cumulated(F.col("clipped"), factor))
+    return hist.withColumn("clipped", clipped).withColumn("lut", lut)
+
+
+def lut_rows(luts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per tile and level: ``clipped`` and ``lut``."""
+    both = F.posexplode(F.arrays_zip("clipped", "lut")).alias("level", "_t")
+    return luts.select(*keys, "tile_row", "tile_col", both).select(
+        *keys, "tile_row", "tile_col", "level", F.col("_t.clipped").alias("clipped"), F.col("_t.lut").alias("lut")
     )
-    if clip_limit > 0:
-        excess = F.sum(F.greatest(F.col("n") - F.col("_limit"), F.lit(0))).over(whole)
-        staged = staged.withColumn("_excess", excess)
-        share = F.floor(F.col("_excess") / F.lit(LEVELS))
-        rest = F.pmod(F.col("_excess"), F.lit(LEVELS))
-        # What is left after the even share goes to every step-th level until used up.
-        step = F.greatest(F.floor(F.lit(LEVELS) / F.greatest(rest, F.lit(1))), F.lit(1))
-        extra = (F.pmod(F.col("level"), step) == 0) & (F.floor(F.col("level") / step) < rest)
-        staged = staged.withColumn(
-            "_clipped",
-            F.least(F.col("n"), F.col("_limit")) + share + F.when(extra, 1).otherwise(0),
-        )
-    else:
-        staged = staged.withColumn("_clipped", F.col("n"))
-    scale = (F.lit(LEVELS - 1).cast("float") / F.col("_area").cast("float")).cast("float")
-    raw = (F.sum("_clipped").over(upto).cast("float") * scale).cast("double")
-    lut = F.least(F.greatest(F.bround(raw, 0), F.lit(0.0)), F.lit(255.0)).cast("int")
-    return staged.select(*tile, "level", F.col("_clipped").cast("bigint").alias("clipped"), lut.alias("lut"))
 
 
 def equalize(
@@ -119,44 +160,15 @@ def equalize(
     clip_limit: float = 2.0,
     tile_grid: tuple[int, int] = (8, 8),
 ) -> DataFrame:
-    """L1: replace ``value`` by its equalised level, blended between the four nearest tiles."""
+    """L1: replace ``value`` (0 to 255) by its equalised level, blended between the four nearest tiles."""
     ty, tx = tile_grid
     shape = image_shape(pixels, keys, tile_grid)
-    luts = tile_luts(tile_histograms(pixels, shape, keys, value, tile_grid), shape, keys, clip_limit)
-
-    # A cell lies between tile rows cell_row - 1 and cell_row (columns alike); every lookup value
-    # is sent to the cells it bounds, clamped at the image border.
-    def cells(tile: str, last: int) -> Column:
-        t = F.col(tile)
-        near = F.array(
-            F.struct(t.alias("cell"), F.lit(1).alias("side")),
-            F.struct((t + 1).alias("cell"), F.lit(0).alias("side")),
-        )
-        top = F.when(t == 0, F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("side"))))
-        end = F.when(
-            t == last, F.array(F.struct(F.lit(last + 1).alias("cell"), F.lit(1).alias("side")))
-        )
-        none = F.slice(near, 1, 0)
-        return F.concat(near, F.coalesce(top, none), F.coalesce(end, none))
-
-    spread = luts.select(
-        *keys, "level", "lut", "tile_col", F.explode(cells("tile_row", ty - 1)).alias("_y")
-    ).select(
-        *keys, "level", "lut", "_y", F.explode(cells("tile_col", tx - 1)).alias("_x")
-    )
-
-    def corner(side_y: int, side_x: int) -> Column:
-        here = (F.col("_y.side") == side_y) & (F.col("_x.side") == side_x)
-        return F.max(F.when(here, F.col("lut"))).cast("float")
-
-    blend = spread.groupBy(
-        *keys, F.col("_y.cell").alias("_cy"), F.col("_x.cell").alias("_cx"), F.col("level").alias(value)
-    ).agg(
-        corner(0, 0).alias("_l00"),
-        corner(0, 1).alias("_l01"),
-        corner(1, 0).alias("_l10"),
-        corner(1, 1).alias("_l11"),
+    placed = in_blocks(pixels, shape, keys)
+    luts = tile_luts(tile_histograms(placed, shape, keys, value, tile_grid), clip_limit)
+    tables = luts.groupBy(*keys, *SHAPE).agg(
+        F.sort_array(F.collect_list(F.struct("tile_row", "tile_col", "lut"))).alias("_t")
     )
+    tables = _per_block(tables.withColumn("_luts", F.col("_t.lut"))).select(*keys, "_br", "_bc", "_luts")
 
     one, half = F.lit(1.0).cast("float"), F.lit(0.5).cast("float")
 
@@ -164,21 +176,27 @@ def equalize(
         inverse = (one / F.col(size).cast("float")).cast("float")
         return (F.col(position).cast("float") * inverse - half).cast("float")
 
+    # A pixel lies between tile rows _y and _y + 1, clamped at the image border (columns alike).
     located = (
-        salted_lookup(pixels, shape, keys, ["row", "col"])
-        .withColumn("_fy", place("row", "_th"))
+        placed.withColumn("_fy", place("row", "_th"))
         .withColumn("_fx", place("col", "_tw"))
-        .withColumn("_cy", (F.floor("_fy") + 1).cast("int"))
-        .withColumn("_cx", (F.floor("_fx") + 1).cast("int"))
+        .withColumn("_y", F.floor("_fy").cast("int"))
+        .withColumn("_x", F.floor("_fx").cast("int"))
     )
+
+    def corner(down: int, right: int) -> Column:
+        y = F.least(F.greatest(F.col("_y") + down, F.lit(0)), F.lit(ty - 1))
+        x = F.least(F.greatest(F.col("_x") + right, F.lit(0)), F.lit(tx - 1))
+        return F.get(F.get("_luts", y * tx + x), F.col(value)).cast("float")
+
     ya = (F.col("_fy") - F.floor("_fy").cast("float")).cast("float")
     xa = (F.col("_fx") - F.floor("_fx").cast("float")).cast("float")
-    top = (F.col("_l00") * (one - xa) + F.col("_l01") * xa).cast("float")
-    low = (F.col("_l10") * (one - xa) + F.col("_l11") * xa).cast("float")
+    top = (corner(0, 0) * (one - xa) + corner(0, 1) * xa).cast("float")
+    low = (corner(1, 0) * (one - xa) + corner(1, 1) * xa).cast("float")
     mixed = (top * (one - ya) + low * ya).cast("float")
     level = F.bround(mixed.cast("double"), 0).cast("int")
     return (
-        located.join(blend, [*keys, "_cy", "_cx", value])
+        located.join(tables, [*keys, "_br", "_bc"])
         .withColumn(value, F.least(F.greatest(level, F.lit(0)), F.lit(255)))
         .select(*pixels.columns)
     )

@@ -1,12 +1,14 @@
 """Exact ranks and running sums without a single-task window.
 
-Two ways, both exact whatever the skew:
+Three ways, all exact whatever the skew:
 
 * ``keyed_rank`` orders by a uniform hash draw. The leading bits of the draw split every group
   into even buckets, so the window runs per (group, bucket) and only bucket totals are summed.
 * ``running_counts`` orders by any columns. The rows are range partitioned on group and order
   together, so a group that holds a third of all rows spreads over a third of the partitions;
   the partition numbers are materialised once, and only per-partition totals are summed.
+* ``exact_quantiles`` needs no order at all: histograms over ever lower bits of the values narrow
+  the place of each wanted rank until one value is left.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from maskaudit.functions.draws import DRAW_RANGE
 from maskaudit.session import cut_lineage
 
 RANK_BUCKETS = 4096
+RADIX_BITS = 16  # of the 64 bits of a value, read at a time
 
 
 def keyed_rank(
@@ -112,6 +115,27 @@ def with_rank(
     )
 
 
+def order_key(value: Column) -> Column:
+    """Map a DOUBLE to the BIGINT of the same order: its sign, exponent and fraction bits.
+
+    Equal values have equal keys, -0.0 and 0.0 included; NaN is the largest, as in Spark's own order.
+    """
+    size = F.abs(value)
+    least = 2.0**-1022  # below it a value is a multiple of 2**-1074 without an exponent of its own
+    guess = F.floor(F.log2(size))
+    exponent = (
+        guess
+        + F.when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0)
+        - F.when(size < F.pow(F.lit(2.0), guess), 1).otherwise(0)
+    )
+    fraction = (size * F.pow(F.lit(2.0), -exponent) - F.lit(1.0)) * F.lit(2.0**52)
+    normal = F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction.cast("bigint")
+    small = (size * F.lit(2.0**1000) * F.lit(2.0**74)).cast("bigint")
+    infinite = F.lit(2047 << 52)
+    bits = F.when(size == float("inf"), infinite).when(size < least, small).otherwise(normal)
+    return F.when(F.isnan(value), infinite + 1).when(value < 0, -bits).otherwise(bits)
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -119,10 +143,15 @@ def exact_quantiles(
     wanted: dict[str, float],
     method: str = "linear",
 ) -> DataFrame:
-    """Return exact quantiles per group, one column per entry of ``wanted``.
+    """Return exact quantiles per group, one column per entry of ``wanted``, as DOUBLE.
 
     ``linear`` interpolates between the two neighbouring ranks, ``inverted_cdf`` returns an
     observed value. NULL values are left out. Equal values are counted first, so ties cost nothing.
+
+    Ranks are found by radix selection: a histogram over the leading 16 bits of the values says in which
+    of its bins a rank lies, the next one counts only that bin's values by the following 16 bits, and after four
+    the bin is one value. All histograms read the same shuffled counts; none holds more than 65,536 bins per group
+    and rank, and no group's values are ever sorted or ranked.
     """
     if method not in ("linear", "inverted_cdf"):
         raise ValueError(f"unknown quantile method {method!r}")
@@ -130,27 +159,63 @@ def exact_quantiles(
         if not 0 <= q <= 1:
             raise ValueError(f"quantile {name} must lie in [0, 1], got {q}")
     counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value)
+        df.select(*groups, F.col(value).cast("double").alias("_v"))
+        .where(F.col("_v").isNotNull())
+        .groupBy(*groups, "_v")
         .agg(F.count("*").alias("_c"))
+        .withColumn("_k", order_key(F.col("_v")))
     )
-    cum = running_counts(counts, groups, [F.col(value)], {"w": F.col("_c")})
+    total = F.col("_total")
+    steps: dict[str, tuple[Column, Column]] = {}
+    for name, q in wanted.items():
+        if method == "inverted_cdf":
+            rank = F.greatest(F.ceil(total * F.lit(q)) - 1, F.lit(0))
+            steps[name] = (rank, rank)
+        else:
+            h = (total - 1).cast("double") * F.lit(q)
+            steps[name] = (F.floor(h), F.ceil(h))
+    ranks = F.array_distinct(F.array(*[r.cast("bigint") for pair in steps.values() for r in pair]))
+
+    def summed(bins: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Add the counts of all bins up to each one (``_upto``) and of all (``_all``)."""
+        whole = Window.partitionBy(*([F.col(g) for g in by] or [F.lit(0)]))
+        upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        return bins.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(whole))
+
+    before = F.col("_upto") - F.col("_c")
+    shift = 64 - RADIX_BITS
+    bins = counts.groupBy(*groups, F.shiftright("_k", shift).alias("_bin")).agg(F.sum("_c").alias("_c"))
+    here = F.filter(ranks, lambda r: (before <= r) & (r < F.col("_upto")))
+    # One row per wanted rank: the bin it lies in and its rank there.
+    found = (
+        summed(bins, groups).withColumn("_total", F.col("_all")).withColumn("_rank", F.explode(here))
+        .select(*groups, "_total", "_rank", "_bin", (F.col("_rank") - before).alias("_rest"))
+    )
+    while shift > 0:
+        inside = null_safe_join(counts.withColumn("_bin", F.shiftright("_k", shift)), found, [*groups, "_bin"])
+        shift -= RADIX_BITS
+        bins = inside.groupBy(*groups, "_total", "_rank", "_rest", F.shiftright("_k", shift).alias("_bin")).agg(
+            F.sum("_c").alias("_c"), F.max("_v").alias("_v")
+        )
+        found = summed(bins, [*groups, "_rank"]).where((before <= F.col("_rest")) & (F.col("_rest") < F.col("_upto"))).select(
+            *groups, "_total", "_rank", "_bin", (F.col("_rest") - before).alias("_rest"), "_v"
+        )
+        if shift > 0:
+            found = found.drop("_v")
 
     def at(rank: Column) -> Column:
-        here = (F.col("w_before") <= rank) & (rank < F.col("w_before") + F.col("_c"))
-        return F.max(F.when(here, F.col(value)))
+        return F.max(F.when(F.col("_rank") == rank, F.col("_v")))
 
     parts: list[Column] = []
     for name, q in wanted.items():
+        low, high = steps[name]
         if method == "inverted_cdf":
-            rank = F.greatest(F.ceil(F.col("w_total") * F.lit(q)) - 1, F.lit(0))
-            parts.append(at(rank).alias(name))
+            parts.append(at(low).alias(name))
             continue
-        h = (F.col("w_total") - 1).cast("double") * F.lit(q)
-        low, high = at(F.floor(h)), at(F.ceil(h))
+        h = (total - 1).cast("double") * F.lit(q)
         part = F.max(h - F.floor(h).cast("double"))
-        parts.append((low + (high - low) * part).alias(name))
-    return cum.groupBy(*groups).agg(*parts)
+        parts.append((at(low) + (at(high) - at(low)) * part).alias(name))
+    return found.groupBy(*groups).agg(*parts)
 
 
 def salted_lookup(

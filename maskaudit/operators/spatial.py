@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskaudit.functions import scalars as S
-from maskaudit.operators.ranking import salted_lookup
-from maskaudit.session import cut_lineage
+from maskaudit.operators.ranking import null_safe_join, salted_lookup
+from maskaudit.session import Rounds
 
 BLOCK = 128
 PASSES = 16
-HALO = 2 * PASSES
+STACK = 1 << 22  # cells of blocks that are thinned together
 
 
 def vessel() -> Column:
@@ -116,63 +116,103 @@ REMOVABLE = _removable()
 RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
 
-def _thin_half(mask: np.ndarray, half: int) -> np.ndarray:
-    h, w = mask.shape
-    padded = np.zeros((h + 2, w + 2), dtype=np.uint8)
-    padded[1:-1, 1:-1] = mask
-    code = np.zeros((h, w), dtype=np.uint8)
+def _thin_half(masks: np.ndarray, half: int) -> np.ndarray:
+    """One half-pass over a mask, or a stack of masks."""
+    *stack, h, w = masks.shape
+    padded = np.zeros((*stack, h + 2, w + 2), dtype=np.uint8)
+    padded[..., 1:-1, 1:-1] = masks
+    code = np.zeros(masks.shape, dtype=np.uint8)
     for bit, (dr, dc) in enumerate(RING):
-        code |= padded[1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w] << bit
-    return mask & ~REMOVABLE[half][code]
+        code |= padded[..., 1 + dr : 1 + dr + h, 1 + dc : 1 + dc + w] << bit
+    return masks & ~REMOVABLE[half][code]
 
 
-def _thin_block(cells: np.ndarray, side: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run ``passes`` full passes; return the cells left and those the last pass still removed.
-
-    Only the box around the cells is worked on: everything beyond it is background.
-    """
-    rows, cols = cells // side, cells % side
-    top, left = rows.min(), cols.min()
-    mask = np.zeros((rows.max() - top + 1, cols.max() - left + 1), dtype=bool)
-    mask[rows - top, cols - left] = True
-    removed = np.zeros_like(mask)
+def _thin_stack(masks: np.ndarray, passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Run ``passes`` full passes over a stack of masks; return what is left and what the last pass still removed."""
+    removed = np.zeros_like(masks)
     for _ in range(passes):
-        before = mask
-        mask = _thin_half(_thin_half(mask, 0), 1)
-        removed = before & ~mask
+        before = masks
+        masks = _thin_half(_thin_half(masks, 0), 1)
+        removed = before & ~masks
         if not removed.any():
             break
+    return masks, removed
 
-    def as_cells(marked: np.ndarray) -> np.ndarray:
-        r, c = np.nonzero(marked)
-        return (r + top) * side + c + left
 
-    return as_cells(mask), as_cells(removed)
+def _thin_blocks(blocks: Sequence[np.ndarray], side: int, halo: int, passes: int) -> tuple[list, list]:
+    """Thin blocks given as cells of a ``side`` x ``side`` grid; return the cells left beyond the halo, and whether the
+    last pass removed any there.
 
+    Only the box around a block's cells is worked on, as everything beyond it is background, and boxes of about one size
+    are stacked.
+    """
+    kept, moved = [np.zeros(0, dtype=np.int32)] * len(blocks), [False] * len(blocks)
+    filled = [i for i, b in enumerate(blocks) if len(b)]
+    if not filled:
+        return kept, moved
+    counts = np.array([len(blocks[i]) for i in filled])
+    cells = np.concatenate([blocks[i] for i in filled]).astype(np.int64)
+    owner = np.repeat(np.arange(len(filled)), counts)
+    rows, cols = cells // side, cells % side
+    first = np.cumsum(counts) - counts
+    top, left = np.minimum.reduceat(rows, first), np.minimum.reduceat(cols, first)
+    height = np.maximum.reduceat(rows, first) - top + 1
+    width = np.maximum.reduceat(cols, first) - left + 1
+    order = np.lexsort((width, height))
+    begin = 0
+    while begin < len(order):
+        end, h, w = begin, 0, 0
+        while end < len(order):
+            taller, wider = max(h, height[order[end]]), max(w, width[order[end]])
+            if end > begin and (end - begin + 1) * taller * wider > STACK:
+                break
+            end, h, w = end + 1, taller, wider
+        chosen = order[begin:end]
+        place = np.full(len(filled), -1)
+        place[chosen] = np.arange(len(chosen))
+        here = place[owner] >= 0
+        masks = np.zeros((len(chosen), h, w), dtype=bool)
+        masks[place[owner[here]], rows[here] - top[owner[here]], cols[here] - left[owner[here]]] = True
+        for out, marked in zip((kept, moved), _thin_stack(masks, passes)):
+            k, r, c = np.nonzero(marked)
+            r, c = r + top[chosen[k]], c + left[chosen[k]]
+            own = (r >= halo) & (r < side - halo) & (c >= halo) & (c < side - halo)
+            k, found = k[own], (r * side + c)[own].astype(np.int32)
+            for i, part in zip(chosen, np.split(found, np.searchsorted(k, np.arange(1, len(chosen))))):
+                out[filled[i]] = part if out is kept else len(part) > 0
+        begin = end
+    return kept, moved
 
-def _thinner(block: int, halo: int, passes: int):
-    side = block + 2 * halo
 
-    @F.pandas_udf("struct<left:array<int>,removed:array<int>>")
+def _thinner(block: int, halo: int, passes: int):
+    @F.pandas_udf("struct<left:array<int>,removed:boolean>")
     def thin(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for cells in batches:
-            left, removed = [], []
-            for one in cells:
-                a, b = _thin_block(np.asarray(one, dtype=np.int64), side, passes)
-                inner = [
-                    x[
-                        (x // side >= halo) & (x // side < side - halo)
-                        & (x % side >= halo) & (x % side < side - halo)
-                    ]
-                    for x in (a, b)
-                ]
-                left.append(inner[0].astype(np.int32))
-                removed.append(inner[1].astype(np.int32))
+            left, removed = _thin_blocks(list(cells), block + 2 * halo, halo, passes) if len(cells) else ([], [])
             yield pd.DataFrame({"left": left, "removed": removed})
 
     return thin
 
 
+def _latest(rounds: Sequence[DataFrame], place: Sequence[str]) -> DataFrame:
+    """Return every block as its last round left it."""
+    out, newer = rounds[-1], rounds[-1].select(*place)
+    for older in reversed(rounds[:-1]):
+        out = out.unionByName(null_safe_join(older, newer, place, "left_anti"))
+        newer = newer.unionByName(older.select(*place))
+    return out
+
+
+def _around(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The blocks and their eight neighbours."""
+    ring = F.sequence(F.lit(-1), F.lit(1))
+    return (
+        blocks.select(*keys, "_br", "_bc", F.explode(ring).alias("_dr")).select("*", F.explode(ring).alias("_dc"))
+        .select(*keys, (F.col("_br") + F.col("_dr")).alias("_br"), (F.col("_bc") + F.col("_dc")).alias("_bc"))
+        .distinct()
+    )
+
+
 def skeleton(
     pixels: DataFrame, keys: Sequence[str], block: int = BLOCK, passes: int = PASSES
 ) -> DataFrame:
@@ -180,15 +220,21 @@ def skeleton(
 
     An image is cut into blocks, each with a halo of two pixels per pass: a pixel's fate after
     ``passes`` passes depends on nothing farther away, so the blocks thin independently and agree
-    exactly with thinning the whole image. Rounds repeat until no block's last pass removed a
-    pixel. A task holds single blocks of fixed size, never an image, and only vessel pixels move.
+    exactly with thinning the whole image. A task holds single blocks of fixed size, never an image, and only vessel
+    pixels move.
+
+    After the first round only a frontier is worked on: blocks whose last pass removed a pixel, and their neighbours.
+    Removal travels two pixels a pass, so within a round it cannot cross a block (of at least two halos) into one whose
+    neighbours were still. A round reads the frontier and the ring around it and writes the frontier; rounds end when
+    no last pass removed a pixel, and their tables are then dropped for one that holds every block once.
     """
     halo = 2 * passes
-    if block < halo:
-        raise ValueError(f"block {block} is smaller than the halo {halo} of {passes} passes")
+    if block < 2 * halo:
+        raise ValueError(f"block {block} is smaller than two halos of {halo} for {passes} passes")
     side = block + 2 * halo
     thin = _thinner(block, halo, passes)
-    current = pixels.where(vessel()).select(*keys, "row", "col")
+    place = [*keys, "_br", "_bc"]
+    store = Rounds(pixels.sparkSession)
 
     def homes(position: Column) -> Column:
         # Blocks whose halo covers the pixel: its own, and a neighbour when it is near the edge.
@@ -196,32 +242,51 @@ def skeleton(
         last = F.floor((position + halo) / F.lit(block))
         return F.sequence(first, last)
 
-    while True:
-        spread = (
-            current.withColumn("_br", F.explode(homes(F.col("row"))))
-            .withColumn("_bc", F.explode(homes(F.col("col"))))
-            .withColumn(
-                "_cell",
-                (
-                    (F.col("row") - F.col("_br") * block + halo) * side
-                    + (F.col("col") - F.col("_bc") * block + halo)
-                ).cast("int"),
-            )
+    def thinned(blocks: DataFrame) -> DataFrame:
+        return blocks.select(*place, thin("_cells").alias("_t")).select(
+            *place, F.col("_t.left").alias("_left"), F.col("_t.removed").alias("_removed")
         )
-        # At most side * side cells per block.
-        blocks = spread.groupBy(*keys, "_br", "_bc").agg(F.collect_list("_cell").alias("_cells"))
-        done = cut_lineage(
-            blocks.select(*keys, "_br", "_bc", thin("_cells").alias("_t")).where(
-                F.size("_t.left") + F.size("_t.removed") > 0
-            )
+
+    spread = (
+        pixels.where(vessel())
+        .select(*keys, "row", "col", F.explode(homes(F.col("row"))).alias("_br"))
+        .withColumn("_bc", F.explode(homes(F.col("col"))))
+    )
+    cell = (F.col("row") - F.col("_br") * block + halo) * side + (F.col("col") - F.col("_bc") * block + halo)
+    # At most side * side cells per block.
+    whole = spread.groupBy(*place).agg(F.collect_list(cell.cast("int")).alias("_cells"))
+    rounds = [store.put(thinned(whole).where((F.size("_left") > 0) | F.col("_removed")))]
+    while not (moved := rounds[-1].where("_removed")).isEmpty():
+        if len(rounds) > 8:
+            rounds = [store.replace(_latest(rounds, place))]
+            moved = rounds[-1].where("_removed")
+        active = _around(moved, keys)
+        near = null_safe_join(_latest(rounds, place), _around(active, keys), place, "left_semi")
+        ring = F.sequence(F.lit(-1), F.lit(1))
+        sent = (
+            near.select(*place, "_left", F.explode(ring).alias("_dr")).withColumn("_dc", F.explode(ring))
+            .withColumns({"_br": F.col("_br") + F.col("_dr"), "_bc": F.col("_bc") + F.col("_dc")})
         )
-        current = done.select(*keys, "_br", "_bc", F.explode("_t.left").alias("_cell")).select(
-            *keys,
-            (F.col("_br") * block - halo + F.floor(F.col("_cell") / F.lit(side))).cast("int").alias("row"),
-            (F.col("_bc") * block - halo + F.col("_cell") % side).cast("int").alias("col"),
+        row = F.transform("_left", lambda x: F.struct(
+            (F.floor(x / F.lit(side)) - F.col("_dr") * block).cast("int").alias("r"),
+            (x % side - F.col("_dc") * block).cast("int").alias("c"),
+        ))
+        seen = F.filter(row, lambda x: x["r"].between(0, side - 1) & x["c"].between(0, side - 1))
+        cells = F.transform(seen, lambda x: x["r"] * side + x["c"])
+        joined = (
+            null_safe_join(sent, active, place, "left_semi")
+            .select(*place, cells.alias("_c"), ((F.col("_dr") == 0) & (F.col("_dc") == 0)).alias("_own"))
+            .groupBy(*place)
+            .agg(F.flatten(F.collect_list("_c")).alias("_cells"), F.max("_own").alias("_own"))
         )
-        if done.where(F.size("_t.removed") > 0).isEmpty():
-            return current
+        # A block that lost all its pixels keeps a row, which hides its earlier ones.
+        rounds.append(store.put(thinned(joined.where("_own"))))
+    final = rounds[0] if len(rounds) == 1 else store.replace(_latest(rounds, place))
+    return final.select(*place, F.explode("_left").alias("_cell")).select(
+        *keys,
+        (F.col("_br") * block - halo + F.floor(F.col("_cell") / F.lit(side))).cast("int").alias("row"),
+        (F.col("_bc") * block - halo + F.col("_cell") % side).cast("int").alias("col"),
+    )
 
 
 def skeleton_radius(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:

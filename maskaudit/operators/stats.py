@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskaudit.functions import draws
 from maskaudit.operators.ranking import exact_quantiles, keyed_rank
-from maskaudit.session import cut_lineage
+
+DRAWS = 128  # resamples of one block of draws
+POSITIONS = 4096  # positions of one block of draws, and of one block of values
+SIZES = 256  # group sizes that lie in one range share their draws
+COLUMNS = 32  # groups whose values stand side by side in one block, on average
+SPREAD = 8  # copies of a block of values, which blocks of draws are dealt to
 
 
 def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Sequence[str]) -> DataFrame:
@@ -22,12 +30,7 @@ def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Se
 
 
 def summarize(values: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """N, mean, sample SD, median, min and max of ``value`` per group.
-
-    The values, one per item and metric, are materialised: both passes over them would otherwise
-    scan the pixels again.
-    """
-    values = cut_lineage(values)
+    """N, mean, sample SD, median, min and max of ``value`` per group."""
     spread = values.groupBy(*groups).agg(
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
@@ -44,6 +47,93 @@ def too_few(summary: DataFrame) -> DataFrame:
     return summary.where("n < 2")
 
 
+def _value_blocks(placed: DataFrame, sizes: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Return (n, block, names, matrix): the values of ``POSITIONS`` positions of some groups of size n, group by group."""
+    many = sizes.groupBy("n").agg(F.ceil(F.count("*") / F.lit(COLUMNS)).alias("_chunks"))
+    chunk = F.pmod(F.xxhash64("_g"), F.col("_chunks")).alias("_chunk")
+    named = sizes.join(many, "n").select(*groups, "n", "_g", chunk)
+    lines = (
+        placed.join(named, [*groups])
+        .groupBy("n", "_chunk", "_g", F.floor(F.col("pos") / F.lit(POSITIONS)).alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_l"))
+    )
+    return lines.groupBy("n", "_chunk", "block").agg(
+        F.collect_list(F.struct(F.col("_g").alias("name"), F.col("_l.value").alias("line"))).alias("lines")
+    )
+
+
+def _draw_blocks(sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """Return (n, resamples_at, block, cells, counts): how often each resample draws each position of a block.
+
+    Position j of resample r draws by a hash of (seed, r, j). A task makes the draws of ``DRAWS`` resamples and
+    ``POSITIONS`` positions once for all group sizes of one range, takes them modulo each size and counts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                start, stop = row["at"], min(row["at"] + DRAWS, resamples)
+                tails = [b"%d" % j for j in range(row["from"], min(row["from"] + POSITIONS, max(row["ns"])))]
+                digests = []
+                for r in range(start, stop):
+                    head = hashlib.md5(b"%d|bootstrap|%d|" % (seed, r), usedforsecurity=False)
+                    for tail in tails:
+                        one = head.copy()
+                        one.update(tail)
+                        digests.append(one.digest()[:8])
+                drawn = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64).reshape(stop - start, len(tails))
+                drawn >>= np.uint64(64 - 4 * draws.DRAW_HEX_DIGITS)
+                for n in row["ns"]:
+                    own = (drawn[:, : max(n - row["from"], 0)] % np.uint64(n)).astype(np.int64)
+                    resample = np.repeat(np.arange(len(own)), own.shape[1])
+                    block = (own // POSITIONS).ravel()
+                    cell, times = np.unique(
+                        (block * DRAWS + resample) * POSITIONS + (own % POSITIONS).ravel(), return_counts=True
+                    )
+                    edges = np.flatnonzero(np.diff(cell // (DRAWS * POSITIONS), prepend=-1))
+                    for a, b in zip(edges, [*edges[1:], len(cell)]):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([n]), pa.array([start], pa.int32()), pa.array([cell[a] // (DRAWS * POSITIONS)]),
+                             pa.array([(cell[a:b] % (DRAWS * POSITIONS)).astype(np.int32).tobytes()]),
+                             pa.array([times[a:b].astype(np.int32).tobytes()])],
+                            ["n", "resamples_at", "block", "cells", "counts"],
+                        )
+
+    ranges = sizes.groupBy(F.floor(F.col("n") / F.lit(SIZES)).alias("_range")).agg(
+        F.sort_array(F.collect_set("n")).alias("ns")
+    )
+    tasks = ranges.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(DRAWS)))).withColumn(
+        "from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.array_max("ns") - 1, F.lit(POSITIONS).cast("bigint")))
+    )
+    # Few rows of much work: a fixed number of partitions, as merged by their size they would be too few.
+    partitions = 4 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.select("ns", "at", "from").repartition(partitions, "at", "from", "ns").mapInArrow(
+        count, "n bigint, resamples_at int, block bigint, cells binary, counts binary"
+    )
+
+
+def _block_sums(meetings: DataFrame) -> DataFrame:
+    """Multiply counts (resample x position) by values (position x group)."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                values = np.array([x["line"] for x in row["lines"]], dtype=np.float64)
+                counts = np.zeros(DRAWS * POSITIONS)
+                counts[np.frombuffer(row["cells"], dtype=np.int32)] = np.frombuffer(row["counts"], dtype=np.int32)
+                counts = counts.reshape(DRAWS, POSITIONS)
+                hit = np.flatnonzero(counts.any(axis=1))
+                sums = counts[hit, : values.shape[1]] @ values.T
+                names = pa.array([x["name"] for x in row["lines"]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(hit + row["resamples_at"], len(names)).astype(np.int32)),
+                     names.take(pa.array(np.tile(np.arange(len(names)), len(hit)))), pa.array(sums.ravel())],
+                    ["resample", "_g", "total"],
+                )
+
+    return meetings.mapInArrow(multiply, "resample int, _g string, total double")
+
+
 def bootstrap_mean_ci(
     values: DataFrame, groups: Sequence[str], id_col: str, resamples: int, seed: int, level: float
 ) -> DataFrame:
@@ -52,53 +142,40 @@ def bootstrap_mean_ci(
     Position ``j`` of resample ``r`` draws one of the group's ``n`` values by a hash of (seed, r, j)
     alone, so metrics with the same images are resampled with the same draws. The values are placed
     by a hash of their id, which needs no ordered pass over a group.
+
+    A resample is a row of counts, how often it draws each position, and is made once for all groups of one size. Blocks
+    of these rows are multiplied with blocks of the groups' values and the products summed, so the work is a matrix
+    product and no draw becomes a row.
     """
     if not 0 < level < 1:
         raise ValueError(f"level must lie in (0, 1), got {level}")
     if resamples < 1:
         raise ValueError(f"need at least one resample, got {resamples}")
-    spark = values.sparkSession
-    # One row per item and metric, read several times below: the pixels behind it are scanned once.
-    values = cut_lineage(values.select(*groups, id_col, "value"))
-    placed = cut_lineage(
-        keyed_rank(
-            values.withColumn("_d", draws.draw(seed, "position", F.col(id_col))),
-            groups, "_d", id_col, "pos",
-        ).select(*groups, "pos", "value")
-    )
-    sizes = placed.groupBy(*groups).agg(F.count("*").alias("n"))
-    # A fixed number of partitions before the rows multiply: merged by size they would be too few.
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = (
-        placed.select(*groups, "pos")
-        .join(sizes, [*groups])
-        .repartition(partitions, *groups, "pos")
-        .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .select(
-            *groups,
-            "resample",
-            draws.draw_int(
-                seed, "bootstrap", F.col("n"), F.col("resample"), F.col("pos")
-            ).alias("pos"),
-        )
+    keyed = values.select(*groups, id_col, F.col("value").cast("double").alias("value")).withColumn(
+        "_d", draws.draw(seed, "position", F.col(id_col))
     )
-    # Positions are evenly spread, so a join shuffled on them is even; small values Spark broadcasts by itself.
-    means = drawn.join(placed, [*groups, "pos"]).groupBy(*groups, "resample").agg(
-        F.avg("value").alias("m")
+    placed = keyed_rank(keyed, groups, "_d", id_col, "pos").select(*groups, "pos", "value")
+    sizes = values.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_"), *groups)))
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    blocks = _value_blocks(placed, sizes, groups).withColumn("_lane", lanes)
+    drawn = _draw_blocks(sizes, resamples, seed).withColumn("_lane", (F.col("resamples_at") / DRAWS).cast("int") % SPREAD)
+    sums = _block_sums(drawn.join(blocks, ["n", "block", "_lane"]).select("resamples_at", "cells", "counts", "lines"))
+    means = sums.groupBy("_g", "resample").agg(F.sum("total").alias("total")).join(sizes.select("_g", "n"), "_g").select(
+        "_g", (F.col("total") / F.col("n")).alias("m")
     )
     tail = (1 - level) / 2
     # One value per resample: the exact percentile holds a fixed number of values per group.
-    return means.groupBy(*groups).agg(
+    ends = means.groupBy("_g").agg(
         F.percentile("m", F.lit(tail)).alias("ci_low"),
         F.percentile("m", F.lit(1 - tail)).alias("ci_high"),
     )
+    return sizes.join(ends, "_g").select(*groups, "ci_low", "ci_high")
 
 
 def summary_with_ci(
     values: DataFrame, groups: Sequence[str], id_col: str, resamples: int, seed: int, level: float
 ) -> DataFrame:
     """Summary columns plus the bootstrap interval of the mean."""
-    values = cut_lineage(values)  # both halves start from the same rows
     ci = bootstrap_mean_ci(values, groups, id_col, resamples, seed, level)
     return summarize(values, groups).join(ci, [*groups])
 
@@ -127,7 +204,6 @@ def dataset_stats(images: DataFrame, keys: Sequence[str]) -> DataFrame:
 def subgroup_summary(values: DataFrame, groups: Sequence[str], flag: str) -> DataFrame:
     """Count, median, min and max of ``value`` for the flagged group and for the rest."""
     by = [*groups, flag]
-    values = cut_lineage(values)
     spread = values.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
     )

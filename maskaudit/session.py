@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on the shared checkpoint folder, so that lost executors do not change it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of a job with repeated passes, in the shared checkpoint folder until they are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        self.written = 0
+        self.kept: list[str] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and return it as read back."""
+        self.written += 1
+        path = f"{self.root}/{self.written}"
+        df.write.parquet(path)
+        self.kept.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        """Write ``df``, drop every table written before, and return it as read back."""
+        before, self.kept = self.kept, []
+        out = self.put(df)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in before:
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        return out

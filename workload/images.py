@@ -93,20 +93,18 @@ def standardize_in_mask(spark, sf):
 # Rows pad from 8 to 9 (three tiles of 3); columns pad from 8 to 10 (two tiles of 5), as the pair
 # does not divide evenly.
 
-HIST = """chan AS (SELECT image_id, row, col, CASE WHEN in_fov THEN g ELSE 0 END AS v FROM rgb_pixels),
-padded AS (SELECT image_id, v, r, c FROM chan, range(0, 9) tr(r), range(0, 10) tc(c)
-  WHERE row = CASE WHEN r < 8 THEN r ELSE 14 - r END AND col = CASE WHEN c < 8 THEN c ELSE 14 - c END),
-hist AS (SELECT i.image_id, cast(ty AS integer) AS tile_row, cast(tx AS integer) AS tile_col,
-  cast(lv AS integer) AS level, coalesce(n, 0) AS n
-  FROM (SELECT DISTINCT image_id FROM chan) i CROSS JOIN range(0, 3) a(ty) CROSS JOIN range(0, 2) b(tx)
-  CROSS JOIN range(0, 256) l(lv)
-  LEFT JOIN (SELECT image_id, r // 3 AS ty2, c // 5 AS tx2, v, count(*) AS n FROM padded GROUP BY ALL) h
-    ON h.image_id = i.image_id AND ty2 = ty AND tx2 = tx AND v = lv),
+HIST = """chan AS MATERIALIZED (SELECT image_id, row, col, CASE WHEN in_fov THEN g ELSE 0 END AS v FROM rgb_pixels),
+tall AS (SELECT image_id, v, col, unnest(CASE WHEN row = 6 THEN [6, 8] ELSE [row] END) AS r FROM chan),
+padded AS (SELECT image_id, v, r, unnest(CASE WHEN col IN (5, 6) THEN [col, 14 - col] ELSE [col] END) AS c FROM tall),
+counted AS MATERIALIZED (SELECT image_id, r // 3 AS tile_row, c // 5 AS tile_col, v AS level, count(*) AS n FROM padded GROUP BY ALL),
+tiles AS (SELECT DISTINCT image_id, tile_row, tile_col FROM counted),
+hist AS MATERIALIZED (SELECT image_id, tile_row, tile_col, cast(level AS integer) AS level, coalesce(n, 0) AS n
+  FROM (SELECT *, unnest(range(0, 256)) AS level FROM tiles) LEFT JOIN counted USING (image_id, tile_row, tile_col, level)),
 excess AS (SELECT *, sum(greatest(n - 1, 0)) OVER (PARTITION BY image_id, tile_row, tile_col) AS e FROM hist),
 clipped AS (SELECT image_id, tile_row, tile_col, level, cast(least(n, 1) + e // 256
   + CASE WHEN e % 256 > 0 AND level % (256 // (e % 256)) = 0 AND level // (256 // (e % 256)) < e % 256
     THEN 1 ELSE 0 END AS bigint) AS clipped FROM excess),
-luts AS (SELECT *, cast(least(greatest(round_even(cast(cast(sum(clipped) OVER (
+luts AS MATERIALIZED (SELECT *, cast(least(greatest(round_even(cast(cast(sum(clipped) OVER (
     PARTITION BY image_id, tile_row, tile_col ORDER BY level) AS float)
     * cast(255.0::float / 15.0::float AS float) AS double), 0), 0), 255) AS integer) AS lut FROM clipped)"""
 
@@ -136,7 +134,8 @@ eq AS (SELECT c.image_id, c.row, c.col, cast(least(greatest(round_even(cast(
 def tile_lookup(spark, sf):
     p = pixels.channel(rgb_pixels(spark, sf))
     shape = equalize.image_shape(p, IMG, (3, 2))
-    return equalize.tile_luts(equalize.tile_histograms(p, shape, IMG, "v", (3, 2)), shape, IMG, 2.0)
+    hist = equalize.tile_histograms(equalize.in_blocks(p, shape, IMG), shape, IMG, "v", (3, 2))
+    return equalize.lut_rows(equalize.tile_luts(hist, 2.0), IMG)
 
 
 @query("tile_equalize", _tail("rgb_pixels", HIST + ",\n" + BLEND, "SELECT image_id, row, col, v FROM eq"))

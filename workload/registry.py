@@ -143,7 +143,7 @@ def early_stop_trace(spark, sf):
 def _ci_report(metrics, extra: str = "", columns: str = "") -> str:
     return _with(
         "metrics",
-        long_sql(metrics) + ",\n" + bootstrap_sql(reports.SEED, 100, 0.95)
+        long_sql(metrics) + ",\n" + bootstrap_sql(reports.SEED, reports.RESAMPLES, reports.LEVEL)
         + f",\nspread AS (SELECT run_id, metric, {SPREAD} FROM long GROUP BY ALL)" + extra,
         f"SELECT s.*, c.ci_low, c.ci_high{columns} FROM spread s JOIN ci c USING (run_id, metric)",
         "metrics", "eval_images",
@@ -161,14 +161,13 @@ majority AS (SELECT m.run_id, round(avg(1.0::double - i.vessel_fraction_in_fov),
     ) + " JOIN majority j USING (run_id)",
 )
 def report_headline(spark, sf):
-    """100 resamples here; the report's own default is 10,000."""
-    out = reports.headline(B.eval_tables(spark, sf), DATASET, resamples=100)
+    out = reports.headline(B.eval_tables(spark, sf), DATASET)
     return r9(out, *SPREAD_COLUMNS, "ci_low", "ci_high", "majority_accuracy")
 
 
 @query("width_summary", _ci_report(reports.WIDTHS))
 def width_summary(spark, sf):
-    out = reports.width_summary(B.eval_tables(spark, sf), DATASET, resamples=100)
+    out = reports.width_summary(B.eval_tables(spark, sf), DATASET)
     return r9(out, *SPREAD_COLUMNS, "ci_low", "ci_high")
 
 

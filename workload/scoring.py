@@ -357,11 +357,12 @@ def bootstrap_sql(seed: int, resamples: int, level: float) -> str:
     from workload.bindings import draw_sql
 
     tail = (1 - level) / 2
-    return f"""placed AS (SELECT run_id, metric, value,
+    return f"""placed AS MATERIALIZED (SELECT run_id, metric, value,
   row_number() OVER (PARTITION BY run_id, metric ORDER BY {draw_sql(seed, 'position', 'image_id')}, image_id) - 1 AS pos,
   count(*) OVER (PARTITION BY run_id, metric) AS n FROM long),
-draws AS (SELECT run_id, metric, cast(t.r AS integer) AS r,
-  {draw_sql(seed, 'bootstrap', 't.r', 'pos')} % n AS pos FROM placed, range(0, {resamples}) t(r)),
+drawn AS MATERIALIZED (SELECT cast(t.r AS integer) AS r, j, {draw_sql(seed, 'bootstrap', 't.r', 'j')} AS u
+  FROM (SELECT DISTINCT pos AS j FROM placed), range(0, {resamples}) t(r)),
+draws AS (SELECT run_id, metric, r, u % n AS pos FROM placed JOIN drawn ON pos = j),
 means AS (SELECT d.run_id, d.metric, r, avg(value) AS m FROM draws d JOIN placed p
   ON p.run_id = d.run_id AND p.metric = d.metric AND p.pos = d.pos GROUP BY ALL),
 ci AS (SELECT run_id, metric, round(quantile_cont(m, {tail!r}), 9) AS ci_low,
@@ -371,11 +372,11 @@ ci AS (SELECT run_id, metric, round(quantile_cont(m, {tail!r}), 9) AS ci_low,
 @query(
     "bootstrap_ci",
     _with(
-        "metrics", long_sql(("dice", "auc_roc")) + ",\n" + bootstrap_sql(20260927, 200, 0.95),
+        "metrics", long_sql(("dice", "auc_roc")) + ",\n" + bootstrap_sql(20260927, 10_000, 0.95),
         "SELECT * FROM ci", "metrics",
     ),
 )
 def bootstrap_ci(spark, sf):
     values = stats.long_metrics(eval_metrics(spark, sf), ["run_id"], "image_id", ("dice", "auc_roc"))
-    out = stats.bootstrap_mean_ci(values, ["run_id", "metric"], "image_id", 200, 20260927, 0.95)
+    out = stats.bootstrap_mean_ci(values, ["run_id", "metric"], "image_id", 10_000, 20260927, 0.95)
     return r9(out, "ci_low", "ci_high")
