@@ -8,18 +8,16 @@ the tables sent to it do not grow with the image: a tile grid has a fixed number
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 256
 BLOCK = 256
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Return ``use(value)`` with ``value`` computed once per row, also where ``use`` reads it in a lambda."""
-    return F.transform(F.array(value), use)[0]
+CHUNK = 1024  # tiles of one matrix
 
 
 def image_shape(pixels: DataFrame, keys: Sequence[str], tile_grid: tuple[int, int]) -> DataFrame:
@@ -69,12 +67,14 @@ def _with_mirror(position: Column, size: Column, padded: Column) -> Column:
     return F.when(inside, F.array(position, mirrored)).otherwise(F.array(position))
 
 
-def tile_histograms(
-    placed: DataFrame, shape: DataFrame, keys: Sequence[str], value: str, tile_grid: tuple[int, int]
+def tile_tables(
+    placed: DataFrame, shape: DataFrame, keys: Sequence[str], value: str, clip_limit: float, tile_grid: tuple[int, int]
 ) -> DataFrame:
-    """Count every value in every tile, mirrored padding included: ``hist`` has 256 counts, and no tile is missing.
+    """Return per tile ``hist``, ``clipped`` and the lookup table ``lut``, arrays of 256 numbers; no tile is missing.
 
-    ``placed`` are pixels with the columns of ``shape``.
+    ``placed`` are pixels with the columns of ``shape``. Every value is counted in every tile, mirrored padding
+    included. The counts of a tile, at most one per level, become dense rows of a matrix, on which clipping and running
+    sums are whole-matrix operations.
     """
     ty, tx = tile_grid
     spread = (
@@ -92,57 +92,66 @@ def tile_histograms(
         *SHAPE,
         F.floor(F.col("_r") / F.col("_th")).cast("int").alias("tile_row"),
         F.floor(F.col("_c") / F.col("_tw")).cast("int").alias("tile_col"),
-        F.col(value).alias("level"),
+        F.col(value).cast("int").alias("level"),
     ).agg(F.count("*").alias("n"))
-    # A tile beyond all pixels has no counted level; level -1 only makes its row.
+    # A tile beyond all pixels has no counted level; a count of 0 only makes its row.
     every = (
         shape.withColumn("tile_row", F.explode(F.sequence(F.lit(0), F.lit(ty - 1))))
         .withColumn("tile_col", F.explode(F.sequence(F.lit(0), F.lit(tx - 1))))
-        .withColumn("level", F.lit(-1))
+        .withColumn("level", F.lit(0))
         .withColumn("n", F.lit(0).cast("bigint"))
     )
-    # At most tiles x 257 rows per image: one shuffle by image serves the tiles and the tables per image.
-    rows = counted.unionByName(every.select(*counted.columns)).repartition(*keys)
-    found = rows.groupBy(*keys, *SHAPE, "tile_row", "tile_col").agg(
-        F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("_n")
+    # At most tiles x 257 rows per image: one shuffle by image serves the tiles and the tables per image. Its partitions
+    # are few rows of much work, so they are not to be merged by their size.
+    partitions = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = counted.unionByName(every.select(*counted.columns)).repartition(partitions, *keys)
+    tiles = rows.groupBy(*keys, *SHAPE, "tile_row", "tile_col").agg(
+        F.collect_list("level").alias("level"), F.collect_list("n").alias("n")
     )
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    hist = F.transform(levels, lambda level: F.coalesce(F.element_at("_n", level), F.lit(0).cast("bigint")))
-    return found.withColumn("hist", hist).drop("_n")
-
-
-def tile_luts(hist: DataFrame, clip_limit: float) -> DataFrame:
-    """Clip each tile's histogram, spread the excess evenly, and add ``clipped`` and the lookup table ``lut``."""
-    area = (F.col("_th") * F.col("_tw")).cast("double")
-    limit = F.greatest(F.floor(F.lit(clip_limit) * area / F.lit(float(LEVELS))), F.lit(1)).cast("bigint")
-
-    def clip(counts: Column, most: Column) -> Column:
-        over = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, n: s + F.greatest(n - most, F.lit(0)))
-        return _let(over, lambda excess: _let(F.struct(
-            F.floor(excess / F.lit(LEVELS)).alias("share"), F.pmod(excess, F.lit(LEVELS)).alias("rest"),
-            # What is left after the even share goes to every step-th level until used up.
-            F.greatest(F.floor(F.lit(LEVELS) / F.greatest(F.pmod(excess, F.lit(LEVELS)), F.lit(1))), F.lit(1)).alias("step"),
-        ), lambda s: F.transform(counts, lambda n, level: (
-            F.least(n, most) + s["share"]
-            + F.when((F.pmod(level, s["step"]) == 0) & (F.floor(level / s["step"]) < s["rest"]), 1).otherwise(0)
-        ).cast("bigint"))))
-
-    scale = (F.lit(LEVELS - 1).cast("float") / area.cast("float")).cast("float")
-
-    def cumulated(counts: Column, factor: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("lut"))
-
-        def add(state: Column, n: Column) -> Column:
-            total = state["sum"] + n
-            raw = (total.cast("float") * factor).cast("double")
-            level = F.least(F.greatest(F.bround(raw, 0), F.lit(0.0)), F.lit(255.0)).cast("int")
-            return F.struct(total.alias("sum"), F.concat(state["lut"], F.array(level)).alias("lut"))
-
-        return F.aggregate(counts, start, add)["lut"]
-
-    clipped = _let(limit, lambda most: clip(F.col("hist"), most)) if clip_limit > 0 else F.col("hist")
-    lut = _let(scale, lambda factor: cumulated(F.col("clipped"), factor))
-    return hist.withColumn("clipped", clipped).withColumn("lut", lut)
+    names = [*keys, *SHAPE, "tile_row", "tile_col"]
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(begin, CHUNK)
+                levels, counts = batch.column("level"), batch.column("n")
+                owner = np.repeat(np.arange(batch.num_rows), levels.value_lengths().to_numpy())
+                hist = np.zeros((batch.num_rows, LEVELS), dtype=np.int64)
+                np.add.at(hist, (owner, levels.flatten().to_numpy()), counts.flatten().to_numpy())
+                area = batch.column("_th").to_numpy().astype(np.int64) * batch.column("_tw").to_numpy()
+                clipped = _clip(hist, area, clip_limit)
+                lut = _lookup(clipped, area)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in names), *(_lists(x) for x in (hist, clipped, lut))],
+                    [*names, "hist", "clipped", "lut"],
+                )
+
+    kept = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in names)
+    return tiles.mapInArrow(tables, f"{kept}, hist array<bigint>, clipped array<bigint>, lut array<int>")
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * LEVELS
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
+def _clip(hist: np.ndarray, area: np.ndarray, clip_limit: float) -> np.ndarray:
+    """Clip the counts of each row and spread what was cut off: evenly, and the rest to every step-th level until used up."""
+    if clip_limit <= 0:
+        return hist
+    most = np.maximum(np.floor(clip_limit * area.astype(np.float64) / LEVELS), 1).astype(np.int64)[:, None]
+    excess = np.maximum(hist - most, 0).sum(axis=1, keepdims=True)
+    share, rest = excess // LEVELS, excess % LEVELS
+    step = np.maximum(LEVELS // np.maximum(rest, 1), 1)
+    level = np.arange(LEVELS)
+    return np.minimum(hist, most) + share + ((level % step == 0) & (level // step < rest))
+
+
+def _lookup(clipped: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """The running sums of each row, scaled to 0 to 255 in single precision and rounded half to even."""
+    scale = np.float32(LEVELS - 1) / area.astype(np.float32)
+    raw = np.cumsum(clipped, axis=1).astype(np.float32) * scale[:, None]
+    return np.clip(np.rint(raw.astype(np.float64)), 0, LEVELS - 1).astype(np.int32)
 
 
 def lut_rows(luts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -164,7 +173,7 @@ def equalize(
     ty, tx = tile_grid
     shape = image_shape(pixels, keys, tile_grid)
     placed = in_blocks(pixels, shape, keys)
-    luts = tile_luts(tile_histograms(placed, shape, keys, value, tile_grid), clip_limit)
+    luts = tile_tables(placed, shape, keys, value, clip_limit, tile_grid)
     tables = luts.groupBy(*keys, *SHAPE).agg(
         F.sort_array(F.collect_list(F.struct("tile_row", "tile_col", "lut"))).alias("_t")
     )

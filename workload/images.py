@@ -134,8 +134,8 @@ eq AS (SELECT c.image_id, c.row, c.col, cast(least(greatest(round_even(cast(
 def tile_lookup(spark, sf):
     p = pixels.channel(rgb_pixels(spark, sf))
     shape = equalize.image_shape(p, IMG, (3, 2))
-    hist = equalize.tile_histograms(equalize.in_blocks(p, shape, IMG), shape, IMG, "v", (3, 2))
-    return equalize.lut_rows(equalize.tile_luts(hist, 2.0), IMG)
+    tables = equalize.tile_tables(equalize.in_blocks(p, shape, IMG), shape, IMG, "v", 2.0, (3, 2))
+    return equalize.lut_rows(tables, IMG)
 
 
 @query("tile_equalize", _tail("rgb_pixels", HIST + ",\n" + BLEND, "SELECT image_id, row, col, v FROM eq"))
