@@ -22,7 +22,7 @@ from maskaudit.functions.draws import DRAW_RANGE
 from maskaudit.session import cut_lineage
 
 RANK_BUCKETS = 4096
-RADIX_BITS = 16  # of the 64 bits of a value, read at a time
+RADIX_SHIFTS = (42, 21, 0)  # a histogram reads the leading 22 bits of a value, the next ones 21 bits each
 
 
 def keyed_rank(
@@ -148,10 +148,10 @@ def exact_quantiles(
     ``linear`` interpolates between the two neighbouring ranks, ``inverted_cdf`` returns an
     observed value. NULL values are left out. Equal values are counted first, so ties cost nothing.
 
-    Ranks are found by radix selection: a histogram over the leading 16 bits of the values says in which
-    of its bins a rank lies, the next one counts only that bin's values by the following 16 bits, and after four
-    the bin is one value. All histograms read the same shuffled counts; none holds more than 65,536 bins per group
-    and rank, and no group's values are ever sorted or ranked.
+    Ranks are found by radix selection: a histogram over the leading bits of the values says in which of its bins a rank
+    lies, the next one counts only that bin's values by the following bits, and in the third a bin is one value. All
+    histograms read the same shuffled counts; none has more than 2**22 bins per group and rank, however many values there
+    are, and no group's values are ever sorted or ranked.
     """
     if method not in ("linear", "inverted_cdf"):
         raise ValueError(f"unknown quantile method {method!r}")
@@ -183,17 +183,15 @@ def exact_quantiles(
         return bins.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(whole))
 
     before = F.col("_upto") - F.col("_c")
-    shift = 64 - RADIX_BITS
-    bins = counts.groupBy(*groups, F.shiftright("_k", shift).alias("_bin")).agg(F.sum("_c").alias("_c"))
+    bins = counts.groupBy(*groups, F.shiftright("_k", RADIX_SHIFTS[0]).alias("_bin")).agg(F.sum("_c").alias("_c"))
     here = F.filter(ranks, lambda r: (before <= r) & (r < F.col("_upto")))
     # One row per wanted rank: the bin it lies in and its rank there.
     found = (
         summed(bins, groups).withColumn("_total", F.col("_all")).withColumn("_rank", F.explode(here))
         .select(*groups, "_total", "_rank", "_bin", (F.col("_rank") - before).alias("_rest"))
     )
-    while shift > 0:
-        inside = null_safe_join(counts.withColumn("_bin", F.shiftright("_k", shift)), found, [*groups, "_bin"])
-        shift -= RADIX_BITS
+    for above, shift in zip(RADIX_SHIFTS, RADIX_SHIFTS[1:]):
+        inside = null_safe_join(counts.withColumn("_bin", F.shiftright("_k", above)), found, [*groups, "_bin"])
         bins = inside.groupBy(*groups, "_total", "_rank", "_rest", F.shiftright("_k", shift).alias("_bin")).agg(
             F.sum("_c").alias("_c"), F.max("_v").alias("_v")
         )

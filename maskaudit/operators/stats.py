@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskaudit.functions import draws
-from maskaudit.operators.ranking import exact_quantiles, keyed_rank
+from maskaudit.operators.ranking import exact_quantiles, keyed_rank, null_safe_join
 
 DRAWS = 128  # resamples of one block of draws
 POSITIONS = 4096  # positions of one block of draws, and of one block of values
@@ -22,15 +22,24 @@ SPREAD = 8  # copies of a block of values, which blocks of draws are dealt to
 
 def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Sequence[str]) -> DataFrame:
     """Turn metric columns into (metric, value) rows; missing values are left out per metric."""
-    return (
-        items.select(*keys, id_col, *[F.col(m).cast("double").alias(m) for m in metrics])
-        .unpivot([*keys, id_col], list(metrics), "metric", "value")
-        .where("value IS NOT NULL")
-    )
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    # An unpivot names its rows anew wherever a plan reads them twice, which keeps Spark from reusing a shuffle of them.
+    return items.select(*keys, id_col, F.explode(pairs).alias("_m")).select(
+        *keys, id_col, F.col("_m.metric").alias("metric"), F.col("_m.value").alias("value")
+    ).where("value IS NOT NULL")
+
+
+def _shared(values: DataFrame) -> DataFrame:
+    """Shuffle the values, one per item and metric, by all that names them.
+
+    Every pass over the result then starts from this one exchange, which Spark reuses, and not from the pixels behind it.
+    """
+    return values.where("value IS NOT NULL").repartition(*[c for c in values.columns if c != "value"])
 
 
 def summarize(values: DataFrame, groups: Sequence[str]) -> DataFrame:
     """N, mean, sample SD, median, min and max of ``value`` per group."""
+    values = _shared(values)
     spread = values.groupBy(*groups).agg(
         F.count("*").alias("n"),
         F.avg("value").alias("mean"),
@@ -39,7 +48,7 @@ def summarize(values: DataFrame, groups: Sequence[str]) -> DataFrame:
         F.max("value").alias("maximum"),
     )
     median = exact_quantiles(values, groups, "value", {"median": 0.5})
-    return spread.join(median, [*groups])
+    return null_safe_join(spread, median, [*groups])
 
 
 def too_few(summary: DataFrame) -> DataFrame:
@@ -47,13 +56,13 @@ def too_few(summary: DataFrame) -> DataFrame:
     return summary.where("n < 2")
 
 
-def _value_blocks(placed: DataFrame, sizes: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _value_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     """Return (n, block, names, matrix): the values of ``POSITIONS`` positions of some groups of size n, group by group."""
     many = sizes.groupBy("n").agg(F.ceil(F.count("*") / F.lit(COLUMNS)).alias("_chunks"))
     chunk = F.pmod(F.xxhash64("_g"), F.col("_chunks")).alias("_chunk")
-    named = sizes.join(many, "n").select(*groups, "n", "_g", chunk)
+    named = sizes.join(many, "n").select("n", "_g", chunk)
     lines = (
-        placed.join(named, [*groups])
+        placed.join(named, "_g")
         .groupBy("n", "_chunk", "_g", F.floor(F.col("pos") / F.lit(POSITIONS)).alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_l"))
     )
@@ -151,13 +160,16 @@ def bootstrap_mean_ci(
         raise ValueError(f"level must lie in (0, 1), got {level}")
     if resamples < 1:
         raise ValueError(f"need at least one resample, got {resamples}")
-    keyed = values.select(*groups, id_col, F.col("value").cast("double").alias("value")).withColumn(
+    # A group's name as one text that is never NULL: joins on it put no filter between the values' one exchange and a pass.
+    name = F.coalesce(F.to_json(F.struct(F.lit(0).alias("_"), *groups)), F.lit(""))
+    values = _shared(values).withColumn("_g", name)
+    keyed = values.select("_g", id_col, F.col("value").cast("double").alias("value")).withColumn(
         "_d", draws.draw(seed, "position", F.col(id_col))
     )
-    placed = keyed_rank(keyed, groups, "_d", id_col, "pos").select(*groups, "pos", "value")
-    sizes = values.groupBy(*groups).agg(F.count("*").alias("n")).withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_"), *groups)))
+    placed = keyed_rank(keyed, ["_g"], "_d", id_col, "pos").select("_g", "pos", "value")
+    sizes = values.groupBy(*groups, "_g").agg(F.count("*").alias("n"))
     lanes = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    blocks = _value_blocks(placed, sizes, groups).withColumn("_lane", lanes)
+    blocks = _value_blocks(placed, sizes).withColumn("_lane", lanes)
     drawn = _draw_blocks(sizes, resamples, seed).withColumn("_lane", (F.col("resamples_at") / DRAWS).cast("int") % SPREAD)
     sums = _block_sums(drawn.join(blocks, ["n", "block", "_lane"]).select("resamples_at", "cells", "counts", "lines"))
     means = sums.groupBy("_g", "resample").agg(F.sum("total").alias("total")).join(sizes.select("_g", "n"), "_g").select(
@@ -177,7 +189,7 @@ def summary_with_ci(
 ) -> DataFrame:
     """Summary columns plus the bootstrap interval of the mean."""
     ci = bootstrap_mean_ci(values, groups, id_col, resamples, seed, level)
-    return summarize(values, groups).join(ci, [*groups])
+    return null_safe_join(summarize(values, groups), ci, [*groups])
 
 
 def majority_accuracy(images: DataFrame, keys: Sequence[str], fraction: str) -> DataFrame:
@@ -204,7 +216,8 @@ def dataset_stats(images: DataFrame, keys: Sequence[str]) -> DataFrame:
 def subgroup_summary(values: DataFrame, groups: Sequence[str], flag: str) -> DataFrame:
     """Count, median, min and max of ``value`` for the flagged group and for the rest."""
     by = [*groups, flag]
+    values = _shared(values)
     spread = values.groupBy(*by).agg(
         F.count("*").alias("n"), F.min("value").alias("minimum"), F.max("value").alias("maximum")
     )
-    return spread.join(exact_quantiles(values, by, "value", {"median": 0.5}), by)
+    return null_safe_join(spread, exact_quantiles(values, by, "value", {"median": 0.5}), by)
