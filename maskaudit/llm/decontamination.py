@@ -18,6 +18,7 @@ from maskaudit.llm.columns import carried
 
 NGRAM = 3
 SCORE = 0.5  # of the score of an exact copy
+LEAST = 6  # words; an alignment scores at least as much as so many in a row, and shorter items count as a whole only
 EXCERPT = 25  # words; an alignment that scores as much as so many in a row counts too, however long the item
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 32_000_000  # characters of test items that are looked for in one pass
@@ -141,7 +142,7 @@ def _most(words: np.ndarray, window: np.ndarray) -> int:
 
 def _need(size: int, score: float) -> float:
     """Return the score that an alignment with an item of ``size`` words needs."""
-    return MATCH * min(score * size, EXCERPT)
+    return MATCH * min(max(score * size, min(size, LEAST)), EXCERPT)
 
 
 def _aligned(texts: list[str | None], items: Items, n: int, score: float):
@@ -204,8 +205,9 @@ FOUND = "item_id bigint, score double, first_word bigint, end_word bigint"
 def find_passages(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, score: float = SCORE) -> DataFrame:
     """Find exact, edited and paraphrased copies of benchmark items (item_id, text) in the texts of ``docs``.
 
-    An alignment counts from ``score`` of an exact copy's on, or with that of EXCERPT words in a row: long excerpts of
-    any item are found. Returns a row per such text and item: the columns of ``docs`` other than ``text``, ``item_id``,
+    An alignment counts from ``score`` of an exact copy's on, but not below that of LEAST words in a row, or with that of
+    EXCERPT words in a row: an item of up to LEAST words has to stand there as a whole, so a common phrase of it is no
+    copy, and long excerpts of any item are found. Returns a row per such text and item: the columns of ``docs`` other than ``text``, ``item_id``,
     ``score`` (of the best alignment, 1 for an exact copy) and its words ``first_word`` to ``end_word`` (exclusive;
     words are runs other than marks and blanks, and single characters in scripts without blanks, see ``word_hashes``).
 

@@ -269,10 +269,11 @@ def _bounded(docs: DataFrame, chars: int, purpose: str) -> DataFrame:
     One row per language, with its number of characters, comes to the driver.
     """
     totals = docs.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()
-    draw = F.pmod(F.xxhash64(F.lit(purpose), "text"), F.lit(1_000_000))
+    # 62 bits of a hash against an integer, so that the share has no floor: however large the corpus, the sample is not empty.
+    draw = F.pmod(F.xxhash64(F.lit(purpose), "text"), F.lit(1 << 62))
     keep = F.lit(False)
     for r in totals:
-        keep = keep | ((F.col("lang") == r["lang"]) & (draw < int(1_000_000 * min(1.0, chars / max(r["n"] or 0, 1)))))
+        keep = keep | ((F.col("lang") == r["lang"]) & (draw < F.lit((1 << 62) * chars // max(int(r["n"] or 0), chars))))
     return docs.where(keep)
 
 

@@ -221,3 +221,29 @@ def test_op13_digests(spark, tmp_path):
     found = periods.periodic_runs(docs)
     assert found.columns == ["doc_id", "other", "n_words", "runs", "collapsed"]
     assert periods.periodic_runs(docs.limit(0)).count() == 0
+
+
+def test_a_tiny_share_of_the_training_text_still_teaches(spark):
+    from maskaudit.llm import langid
+
+    texts = spark.range(4_000_000, numPartitions=8).select(F.lit("xx").alias("lang"), F.concat(F.lit("ein zug "), F.col("id").cast("string")).alias("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0]
+    kept = [r["text"] for r in langid._bounded(texts, 45, "fit").collect()]
+    assert 45 / chars < 1e-6 and 0 < len(kept) < 20
+    small = texts.limit(50)
+    assert langid._bounded(small, 10**9, "fit").count() == 50
+
+
+def test_a_common_phrase_is_no_copy_of_a_short_item(spark):
+    from maskaudit.llm import decontamination
+
+    items = [(1, "What is the capital"), (2, "Which of the following is correct"), (3, "name the seven highest hills of old Rome now")]
+    docs = [
+        (1, "She asked what is the matter with him."), (2, "Which of the following roads goes north is unclear"),
+        (3, "he could name the seven highest dunes here"), (11, "so: what is the capital of it"),
+        (12, "which of the following is correct or not"), (13, "name the seven highest hills of young Rome now"),
+    ]
+    found = decontamination.find_passages(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    )
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(11, 1), (12, 2), (13, 3)}
