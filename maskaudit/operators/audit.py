@@ -5,7 +5,7 @@ Each rule returns rows ``(run_id, rule, detail)`` for all runs at once; an empty
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,48 +194,112 @@ def test_coverage(metrics: DataFrame, assignments: DataFrame) -> DataFrame:
     )
 
 
-def _rule(df: DataFrame, rule: str, detail: Column) -> DataFrame:
-    return df.select("run_id", F.lit(rule).alias("rule"), detail.alias("detail"))
+def _number(name: str) -> Column:
+    return F.coalesce(name, F.lit(0))
 
 
-def run_rules(runs: DataFrame, statuses: DataFrame, gpu_type: str, platform: str) -> DataFrame:
-    """The rules that need only a run's own row and its fold statuses, in one pass."""
-    done = complete_folds(statuses).groupBy("run_id").agg(F.count("*").alias("_done"))
-    n = F.get_json_object("config", "$.folds.n_folds").cast("int")
-    asked = F.get_json_object("config", "$.training.deterministic_ops")
-    found = F.coalesce("_done", F.lit(0))
+def _fails(holds: Column) -> Column:
+    """A rule is kept only where it surely holds: a missing value or key breaks it."""
+    return ~F.coalesce(holds, F.lit(False))
 
-    def fails(holds: Column) -> Column:
-        """A rule is kept only where it surely holds: a missing value or key breaks it."""
-        return ~F.coalesce(holds, F.lit(False))
 
-    def shown(value: Column) -> Column:
-        return F.coalesce(value.cast("string"), F.lit("missing"))
+def _shown(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit("missing"))
 
-    checks = {
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _listed(state: DataFrame, rules: Mapping[str, tuple[Column, Column]], checkpoints: Column | None = None) -> DataFrame:
+    """One row per rule that a run breaks, from one row per run."""
+
+    def entry(name: str, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("rule"), detail.alias("detail"))
+
+    broken = F.array_compact(F.array(*[F.when(cond, entry(name, detail)) for name, (cond, detail) in rules.items()]))
+    if checkpoints is not None:
+        broken = F.concat(broken, F.transform(checkpoints, lambda x: entry("checkpoint", x)))
+    return state.select("run_id", F.explode(broken).alias("_b")).select("run_id", "_b.rule", "_b.detail")
+
+
+def own_rules(gpu_type: str, platform: str) -> dict[str, tuple[Column, Column]]:
+    """The rules that need only a run's own row and ``n_complete``, the number of its complete folds."""
+    n = F.get_json_object("config", "$.folds.n_folds").cast("int")
+    asked = F.get_json_object("config", "$.training.deterministic_ops")
+    return {
         "unfinished": (
-            fails(F.col("finished_at").isNotNull() & (found == n)),
-            F.concat(found.cast("string"), F.lit(" of "), shown(n), F.lit(" folds complete")),
+            _fails(F.col("finished_at").isNotNull() & (_number("n_complete") == n)),
+            _text(_number("n_complete"), " of ", _shown(n), " folds complete"),
         ),
-        "dirty tree": (fails(~F.col("git_dirty")), F.lit("")),
+        "dirty tree": (_fails(~F.col("git_dirty")), F.lit("")),
         "no tag": (F.col("git_tag").isNull(), F.lit("")),
         "hardware": (
-            fails((F.col("gpu_type") == gpu_type) & (F.col("compute_platform") == platform)),
-            F.concat(shown(F.col("gpu_type")), F.lit(" on "), shown(F.col("compute_platform"))),
+            _fails((F.col("gpu_type") == gpu_type) & (F.col("compute_platform") == platform)),
+            _text(_shown(F.col("gpu_type")), " on ", _shown(F.col("compute_platform"))),
         ),
         "determinism": (
-            fails(F.col("deterministic_ops").cast("string") == asked),
-            F.concat(F.lit("recorded "), shown(F.col("deterministic_ops")), F.lit(", asked "), shown(asked)),
+            _fails(F.col("deterministic_ops").cast("string") == asked),
+            _text("recorded ", _shown(F.col("deterministic_ops")), ", asked ", _shown(asked)),
         ),
     }
-    broken = [
-        F.when(cond, F.struct(F.lit(name).alias("rule"), detail.alias("detail")))
-        for name, (cond, detail) in checks.items()
-    ]
-    return (
-        runs.join(done, "run_id", "left")
-        .select("run_id", F.explode(F.array_compact(F.array(*broken))).alias("_b"))
-        .select("run_id", "_b.rule", "_b.detail")
+
+
+def run_rules(runs: DataFrame, statuses: DataFrame, gpu_type: str, platform: str) -> DataFrame:
+    """The rules that need only a run's own row and its fold statuses."""
+    done = complete_folds(statuses).groupBy("run_id").agg(F.count("*").alias("n_complete"))
+    return _listed(runs.join(done, "run_id", "left"), own_rules(gpu_type, platform))
+
+
+def image_state(assignments: DataFrame, metrics: DataFrame, images: DataFrame) -> DataFrame:
+    """One row of counters per run over its images: what was assigned, tested, evaluated and leaked.
+
+    Assignments and metric rows of a run's image meet in one exchange, by run and image, so a run that holds most rows
+    spreads over its images. Their counters go on to the run with map-side sums.
+    """
+    key = ["run_id", "dataset", "image_id"]
+    none = F.lit(None)
+    marks = assignments.select(*key, "fold", "role", none.cast("boolean").alias("_done")).unionByName(
+        metrics.where("prediction_mode = 'single'").select(
+            *key, none.cast("int").alias("fold"), none.cast("string").alias("role"), F.col("brier").isNotNull().alias("_done")
+        )
+    )
+    held = [F.coalesce(F.bool_or(F.col("role") == r), F.lit(False)).cast("int") for r in ROLES]
+    per_fold = marks.repartition(*key).groupBy(*key, "fold").agg(
+        (held[0] + held[1] + held[2]).alias("_roles"),
+        held[ROLES.index("test")].alias("_test"),
+        F.bool_or(F.col("role").isNotNull()).alias("_assigned"),
+        F.bool_or("_done").alias("_done"),
+    )
+    tests = F.sum("_test")
+    per_image = per_fold.groupBy(*key).agg(
+        (F.count_if(F.col("_roles") > 1) + (tests > 1).cast("bigint")).alias("_leaks"),
+        (tests > 0).alias("_tested"),
+        F.bool_or("_assigned").alias("_assigned"),
+        F.bool_or("_done").alias("_done"),
+    )
+    labelled = images.where("has_labels").select("dataset", "image_id", F.lit(True).alias("_labelled")).distinct()
+    seen = per_image.join(labelled, ["dataset", "image_id"], "left")
+    return seen.groupBy("run_id").agg(
+        F.sum("_leaks").alias("n_leaks"),
+        F.count_if("_tested").alias("n_tested"),
+        F.count_if(F.col("_tested") & F.coalesce("_done", F.lit(False))).alias("n_evaluated"),
+        F.count_if(~F.col("_tested") & F.col("_done").isNotNull()).alias("n_untested_rows"),
+        F.count_if(F.col("_tested") & F.col("_labelled")).alias("n_labelled"),
+        F.collect_set(F.when(F.col("_assigned"), F.col("dataset"))).alias("datasets"),
+    )
+
+
+def fold_state(statuses: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """One row per run over its complete folds: their number, and the problems of their checkpoints."""
+    have = artifacts.select("run_id", "fold", F.col("digest").alias("_have"))
+    joined = statuses.where("status = 'complete'").join(have, ["run_id", "fold"], "left")
+    problem = _checkpoint_problem()
+    shown = F.concat(F.lit("fold "), F.col("fold").cast("string"), F.lit(": "), problem)
+    # A fold has one status; several artifacts of one fold are several problems, not several folds.
+    return joined.groupBy("run_id").agg(
+        F.size(F.collect_set("fold")).cast("bigint").alias("n_complete"),
+        F.collect_list(F.when(problem.isNotNull(), shown)).alias("checkpoints"),
     )
 
 
@@ -258,65 +322,60 @@ def reportability(
     (run_id, fold, digest) of the checkpoints found, ``data_hashes`` (dataset, data_hash) of the
     verified data, whose hash a run must have trained on: each dataset that a run was assigned has to be verified
     with the run's hash, and a run without assignments with some hash. A missing value breaks a rule.
+
+    Every table is reduced to one row of counters and flags per run (``image_state``, ``fold_state``); these rows meet
+    their run in joins on the run alone, and all rules are then conditions on one row.
     """
-    known = data_hashes.select("dataset", "data_hash").distinct()
-    used = runs.select("run_id", "data_hash").join(assignments.select("run_id", "dataset").distinct(), "run_id", "left")
-    unverified = (
-        used.where("dataset IS NOT NULL").join(known, ["dataset", "data_hash"], "left_anti").select("run_id", "data_hash")
-        .unionByName(
-            used.where("dataset IS NULL").join(known.select("data_hash").distinct(), "data_hash", "left_anti")
-            .select("run_id", "data_hash")
-        )
-    )
-    wrong_data = unverified.distinct()
-    coverage = test_coverage(metrics, assignments)
+    labelled = images.where("has_labels").select("dataset", "image_id").distinct()
+    needed = labelled.groupBy("dataset").agg(F.count("*").alias("n"))
+    # One entry per dataset, a short list of the registry's own (``schemas`` names three).
+    owed = needed.agg(F.map_from_entries(F.collect_list(F.struct("dataset", "n")))).scalar()
+    verified = data_hashes.where("dataset IS NOT NULL").groupBy("data_hash").agg(F.collect_set("dataset").alias("_verified"))
     evaluated = evaluations.select("run_id", F.col("commit").alias("_c"), F.col("dirty").alias("_d"))
-    code = runs.join(evaluated, "run_id", "left")
-    stale = ~F.coalesce((F.col("_c") == F.col("git_commit")) & ~F.col("_d"), F.lit(False))
-    count = F.count("*").cast("string")
-    missed = never_tested_counts(images, assignments, runs)
-    leaks = leakage_audit(assignments).groupBy("run_id").agg(count.alias("n"))
-    checkpoints = artifact_problems(statuses, artifacts)
-    parts = [
-        run_rules(runs, statuses, gpu_type, platform),
-        _rule(wrong_data, "data hash", F.coalesce("data_hash", F.lit("missing"))),
-        _rule(missed, "never tested", F.concat(F.col("n_missing").cast("string"), F.lit(" labelled images"))),
-        _rule(
-            coverage.where("n_evaluated <> n_tested"),
-            "partly evaluated",
-            F.concat(F.col("n_evaluated").cast("string"), F.lit(" of "), F.col("n_tested").cast("string")),
-        ),
-        _rule(
-            coverage.where("n_untested_rows > 0"),
-            "rows for untested",
-            F.concat(F.col("n_untested_rows").cast("string"), F.lit(" images")),
+    state = (
+        runs.join(image_state(assignments, metrics, images), "run_id", "left")
+        .join(fold_state(statuses, artifacts), "run_id", "left")
+        .join(evaluated, "run_id", "left")
+        .join(verified, "data_hash", "left")
+        .withColumn("_owed", owed)
+    )
+
+    used = F.size(F.coalesce("datasets", F.array().cast("array<string>"))) > 0
+    # A run owes one test to every labelled image of its datasets, and without any to every labelled image there is.
+    theirs = F.filter(F.map_entries("_owed"), lambda e: ~used | F.array_contains("datasets", e["key"]))
+    n_owed = F.coalesce(F.aggregate(theirs, F.lit(0).cast("bigint"), lambda s, e: s + e["value"]), F.lit(0))
+    n_missing = n_owed - _number("n_labelled")
+    known = F.col("_verified").isNotNull() & (~used | (F.size(F.array_except("datasets", "_verified")) == 0))
+    rules = own_rules(gpu_type, platform) | {
+        "data hash": (_fails(known), _shown(F.col("data_hash"))),
+        "never tested": (n_missing > 0, _text(n_missing, " labelled images")),
+        "partly evaluated": (
+            _number("n_evaluated") != _number("n_tested"), _text(_number("n_evaluated"), " of ", _number("n_tested")),
         ),
-        _rule(
-            code.where(stale), "evaluation",
+        "rows for untested": (_number("n_untested_rows") > 0, _text(_number("n_untested_rows"), " images")),
+        "evaluation": (
+            _fails((F.col("_c") == F.col("git_commit")) & ~F.col("_d")),
             F.when(F.col("_c").isNull(), "missing").otherwise(
-                F.concat(F.lit("by "), "_c", F.when(F.col("_d"), " (dirty)").when(F.col("_d").isNull(), " (unknown)").otherwise(""))
+                _text("by ", F.col("_c"), F.when(F.col("_d"), " (dirty)").when(F.col("_d").isNull(), " (unknown)").otherwise(""))
             ),
         ),
-        _rule(
-            checkpoints, "checkpoint",
-            F.concat(F.lit("fold "), F.col("fold").cast("string"), F.lit(": "), "problem"),
-        ),
-        _rule(leaks, "leakage", F.concat("n", F.lit(" rows"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.join(runs.select("run_id"), "run_id", "left_semi")
+        "leakage": (_number("n_leaks") > 0, _text(_number("n_leaks"), " rows")),
+    }
+
+    return _listed(state, rules, F.coalesce("checkpoints", F.array().cast("array<string>")))
+
+
+def _checkpoint_problem() -> Column:
+    return F.when(F.col("_have").isNull(), "missing").when(
+        ~F.col("_have").eqNullSafe(F.col("checkpoint_sha256")), "mismatch"
+    )
 
 
 def artifact_problems(statuses: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Q13: complete folds whose checkpoint is missing or has another digest."""
     have = artifacts.select("run_id", "fold", F.col("digest").alias("_have"))
     joined = statuses.where("status = 'complete'").join(have, ["run_id", "fold"], "left")
-    problem = F.when(F.col("_have").isNull(), "missing").when(
-        ~F.col("_have").eqNullSafe(F.col("checkpoint_sha256")), "mismatch"
-    )
-    return joined.select("run_id", "fold", problem.alias("problem")).where("problem IS NOT NULL")
+    return joined.select("run_id", "fold", _checkpoint_problem().alias("problem")).where("problem IS NOT NULL")
 
 
 def mark_reportable(runs: DataFrame, problems: DataFrame) -> DataFrame:

@@ -11,33 +11,27 @@ from maskaudit.functions import draws
 from maskaudit.operators.ranking import keyed_rank
 
 N_ROTATIONS = 4
+BAND = 1024  # numbers of mask pixels that are looked up together
 
 
-def mask_ranks(pixels: DataFrame, image: str) -> DataFrame:
-    """Number the mask pixels of every image from 0 in row-major order.
-
-    Two levels: pixels inside one image row, and rows inside one image.
-    """
-    inside = pixels.where("in_fov").select(image, "row", "col")
-    per_row = inside.groupBy(image, "row").agg(F.count("*").alias("_n"))
+def row_offsets(pixels: DataFrame, image: str) -> DataFrame:
+    """Mask pixels per image row (``_n``) and in all rows above it (``_offset``)."""
+    per_row = pixels.where("in_fov").groupBy(image, "row").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(image).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_row.select(
-        image, "row", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    line = Window.partitionBy(image, "row").orderBy("col")
-    return inside.join(offsets, [image, "row"]).select(
-        image, "row", "col", (F.col("_offset") + F.row_number().over(line) - 1).alias("pick")
-    )
+    return per_row.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
 def sample_centers(pixels: DataFrame, image: str, n: int, seed: int) -> DataFrame:
     """K4: draw ``n`` centres: an image uniformly, then one of its mask pixels uniformly.
 
+    Mask pixels are numbered in row-major order, and a drawn number is looked up among the rows' offsets by the band of
+    ``BAND`` numbers it lies in. Only the rows that were drawn are then read for their columns; no other pixel moves.
     An image without mask pixels cannot be drawn from; ``metrics.empty_masks`` lists those.
     """
     if n < 1:
         raise ValueError(f"need at least one center, got n={n}")
-    sizes = pixels.where("in_fov").groupBy(image).agg(F.count("*").alias("_fov"))
+    rows = row_offsets(pixels, image)
+    sizes = rows.groupBy(image).agg(F.sum("_n").alias("_fov"))
     numbered = keyed_rank(
         sizes.withColumn("_d", draws.draw(seed, "image order", F.col(image))), [], "_d", image,
         "_index",
@@ -52,9 +46,22 @@ def sample_centers(pixels: DataFrame, image: str, n: int, seed: int) -> DataFram
         image,
         draws.draw_int(seed, "pixel", F.col("_fov"), F.col("patch_id")).alias("pick"),
     )
-    return picked.join(mask_ranks(pixels, image), [image, "pick"]).select(
-        "patch_id", image, "row", "col"
+
+    def band(number: Column) -> Column:
+        return F.floor(number / F.lit(BAND))
+
+    bands = rows.withColumn("_band", F.explode(F.sequence(band(F.col("_offset")), band(F.col("_offset") + F.col("_n") - 1))))
+    here = (F.col("pick") >= F.col("_offset")) & (F.col("pick") < F.col("_offset") + F.col("_n"))
+    found = (
+        picked.withColumn("_band", band(F.col("pick"))).join(bands, [image, "_band"]).where(here)
+        .select("patch_id", image, "row", (F.col("pick") - F.col("_offset")).cast("int").alias("_place"))
+    )
+    lines = (
+        pixels.where("in_fov").select(image, "row", "col")
+        .join(found.select(image, "row").distinct(), [image, "row"], "left_semi")
+        .groupBy(image, "row").agg(F.sort_array(F.collect_list("col")).alias("_cols"))
     )
+    return found.join(lines, [image, "row"]).select("patch_id", image, "row", F.get("_cols", F.col("_place")).alias("col"))
 
 
 def sample_augmentation(

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from maskaudit.session import Rounds
 BLOCK = 128
 PASSES = 16
 STACK = 1 << 22  # cells of blocks that are thinned together
+ENVELOPE = 1 << 18  # cells of stretches of lines that are scanned together
+PART = 1 << 16  # rows of one batch of distances
 
 
 def vessel() -> Column:
@@ -29,70 +32,102 @@ def vessel() -> Column:
 def squared_distance(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Integer squared distance of each vessel pixel to the nearest background.
 
-    The column pass is two windows over one image column. The row pass gathers one image row and
-    looks only ``g`` columns to either side, since a farther column cannot beat the pixel's own
-    vertical distance ``g``. Neither ever holds more than one line of an image. Pixels that are not in the table are
-    background, as is everything beyond the image.
+    Only vessel pixels move: what is not in the table is background, as is everything beyond the image, so a line of an
+    image is the stretches of vessel pixels in it. In an image column the ends of its stretch give a pixel's vertical
+    distance. In an image row, the nearest background of a stretch of pixels is the lower envelope of one parabola per
+    pixel, found in one scan there and one back: steps grow with the pixels, not with the width of vessels. Neither pass
+    holds more than one line of an image at a time.
     """
-    marked = pixels.select(*keys, "row", "col", vessel().alias("_fg"))
-    line = Window.partitionBy(*keys, "col").orderBy("row")
-    up = line.rowsBetween(Window.unboundedPreceding, 0)
-    down = line.rowsBetween(0, Window.unboundedFollowing)
-    row = F.col("row")
-    # The nearest background at or above a pixel: itself, or the row before it where that is not in the table.
-    gap_above = F.coalesce(F.lag("row").over(line), F.lit(-2)) < row - 1
-    gap_below = F.coalesce(F.lead("row").over(line), row + 2) > row + 1
-    marked = marked.withColumns(
-        {
-            "_above": F.when(~F.col("_fg"), row).when(gap_above | (row == 0), row - 1),
-            "_below": F.when(~F.col("_fg"), row).when(gap_below, row + 1),
-        }
-    )
-    above, below = F.max("_above").over(up), F.min("_below").over(down)
-    vertical = marked.withColumn(
-        "_g", F.least(F.col("row") - above, below - F.col("row")).cast("bigint")
-    )
-    rows = (
-        vertical.groupBy(*keys, "row")
-        .agg(F.array_sort(F.collect_list(F.struct("col", "_g"))).alias("_line"))
-        .where(F.exists("_line", lambda x: x["_g"] > 0))
-        .withColumn("_gs", _dense_line())
-    )
-
-    def nearest(cell: Column) -> Column:
-        c, g = cell["col"].cast("bigint"), cell["_g"]
-        size = F.size("_gs").cast("bigint")
-        first = F.greatest(c - g + 1, F.lit(0))
-        last = F.least(c + g - 1, size - 1)
-        side = F.least(c + 1, size - c)
-        band = F.transform(
-            F.slice("_gs", (first + 1).cast("int"), (last - first + 1).cast("int")),
-            lambda other, i: (first + i - c) * (first + i - c) + other * other,
+    column = Window.partitionBy(*keys, "col").orderBy("row")
+    stretch = Window.partitionBy(*keys, "col", "_stretch")
+    vertical = (
+        pixels.where(vessel())
+        .select(*keys, "row", "col", (F.col("row") - F.row_number().over(column)).alias("_stretch"))
+        .select(
+            *keys, "row", F.col("col").cast("int").alias("col"),
+            F.least(F.col("row") - F.min("row").over(stretch), F.max("row").over(stretch) - F.col("row")).cast("int").alias("_g"),
         )
-        return F.least(F.array_min(band), side * side)
-
-    found = rows.select(
-        *keys,
-        "row",
-        F.explode(
-            F.transform(
-                F.filter("_line", lambda x: x["_g"] > 0),
-                lambda x: F.struct(x["col"].alias("col"), nearest(x).alias("d2")),
-            )
-        ).alias("_p"),
     )
-    return found.select(*keys, "row", F.col("_p.col").alias("col"), F.col("_p.d2").alias("d2"))
-
+    lines = vertical.groupBy(*keys, "row").agg(F.collect_list("col").alias("_cols"), F.collect_list("_g").alias("_gs"))
+    names = [*keys, "row"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("_cols").value_lengths().to_numpy().astype(np.int64)
+            cols = batch.column("_cols").flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((cols, owner))
+            d2 = _line_distances(owner, cols[order], batch.column("_gs").flatten().to_numpy()[order].astype(np.int64) + 1)
+            for begin in range(0, len(d2), PART):
+                part = slice(begin, begin + PART)
+                take = pa.array(owner[part])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(take) for c in names), pa.array(cols[order][part].astype(np.int32)), pa.array(d2[part])],
+                    [*names, "col", "d2"],
+                )
+
+    kept = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in names)
+    return lines.mapInArrow(scan, f"{kept}, col int, d2 bigint")
+
+
+def _line_distances(line: np.ndarray, cols: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Squared distances of pixels ordered by line and column, with vertical distances ``g`` of at least 1."""
+    out = np.zeros(len(cols), dtype=np.int64)
+    fresh = np.ones(len(cols), dtype=bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (cols[1:] != cols[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    widths = np.diff(np.append(first, len(cols)))
+    order = np.argsort(widths, kind="stable")
+    begin = 0
+    while begin < len(order):
+        # Stretches of about one width side by side; background beyond a shorter one does not come nearer than its end.
+        end = begin + 1
+        while end < len(order) and (end + 1 - begin) * (widths[order[end]] + 2) <= ENVELOPE:
+            end += 1
+        chosen = order[begin:end]
+        width = int(widths[chosen[-1]])
+        inside = np.arange(width)[None, :] < widths[chosen][:, None]
+        at = (first[chosen][:, None] + np.arange(width)[None, :])[inside]
+        squares = np.zeros((len(chosen), width + 2), dtype=np.int64)
+        squares[:, 1:-1][inside] = g[at] ** 2
+        out[at] = _lower_envelope(squares)[:, 1:-1][inside]
+        begin = end
+    return out
 
-def _dense_line() -> Column:
-    """The ``_g`` of columns 0 to the last of ``_line``, 0 where a column is not in the table."""
 
-    def with_gap(cell: Column, i: Column) -> Column:
-        following = F.coalesce(F.get("_line", i + 1)["col"], cell["col"] + 1)
-        return F.concat(F.array(cell["_g"]), F.array_repeat(F.lit(0).cast("bigint"), following - cell["col"] - 1))
+def _lower_envelope(squares: np.ndarray) -> np.ndarray:
+    """For each row and column c, the least (c - s)**2 + squares[s] over all columns s.
 
-    lead = F.array_repeat(F.lit(0).cast("bigint"), F.get("_line", F.lit(0))["col"])
-    return F.concat(lead, F.flatten(F.transform("_line", with_gap)))
+    All rows advance together. ``site[:, k]`` are the columns whose parabolas make up the envelope so far and
+    ``since[:, k]`` the first column where each one is lowest; a new parabola drops those it undercuts, each once.
+    """
+    n, width = squares.shape
+    every = np.arange(n)
+    site, since = np.zeros((n, width), dtype=np.int64), np.zeros((n, width), dtype=np.int64)
+    top = np.zeros(n, dtype=np.int64)
+    for c in range(1, width):
+        rows = every
+        while len(rows):
+            s, t = site[rows, top[rows]], since[rows, top[rows]]
+            under = (t - s) ** 2 + squares[rows, s] > (t - c) ** 2 + squares[rows, c]
+            rows = rows[under]
+            top[rows] -= 1
+            rows = rows[top[rows] >= 0]
+        bare = top < 0
+        top[bare] = 0
+        s = site[every, top]
+        crossing = 1 + (c * c - s * s + squares[:, c] - squares[every, s]) // np.maximum(2 * (c - s), 1)
+        site[bare, 0] = c
+        grow = every[~bare & (crossing < width)]
+        top[grow] += 1
+        site[grow, top[grow]] = c
+        since[grow, top[grow]] = crossing[grow]
+    out = np.zeros((n, width), dtype=np.int64)
+    for c in range(width - 1, -1, -1):
+        s = site[every, top]
+        out[:, c] = (c - s) ** 2 + squares[every, s]
+        top -= (since[every, top] == c) & (top > 0)
+    return out
 
 
 def _removable() -> np.ndarray:

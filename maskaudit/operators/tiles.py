@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,21 +62,50 @@ def tile_windows(
     )
 
 
+def _packed(tiles: DataFrame, keys: Sequence[str], value: str, window: int) -> DataFrame:
+    """One row per window: the places of its pixels in it and their values, in any order."""
+    place = (F.col("r") * window + F.col("c")).cast("int")
+    return tiles.groupBy(*keys, "wr", "wc").agg(
+        F.collect_list(place).alias("_k"),
+        F.collect_list(F.coalesce(F.col(value).cast("float"), F.lit(0.0).cast("float"))).alias("_v"),
+    )
+
+
+def _dense(batch: pa.RecordBatch, window: int) -> np.ndarray:
+    """The windows of a batch as rows of ``window * window`` FLOATs, 0 where padded."""
+    places = batch.column("_k")
+    out = np.zeros((batch.num_rows, window * window), dtype=np.float32)
+    owner = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+    out[owner, places.flatten().to_numpy()] = batch.column("_v").flatten().to_numpy()
+    return out
+
+
+def _over_windows(packed: DataFrame, keys: Sequence[str], window: int, name: str, make: Callable[[], Callable]) -> DataFrame:
+    """Add to each window's keys the array that ``make()`` makes of its dense values."""
+    names = [*keys, "wr", "wc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = make()
+        for batch in batches:
+            values = use(_dense(batch, window))
+            offsets = np.arange(len(values) + 1, dtype=np.int32) * (window * window)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], [*names, name])
+
+    kept = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in names)
+    return packed.mapInArrow(run, f"{kept}, {name} array<float>")
+
+
 def window_arrays(tiles: DataFrame, keys: Sequence[str], value: str, window: int) -> DataFrame:
     """Pack each window as a row-major FLOAT array of ``window * window`` values, 0 where padded."""
-    cell = F.struct(
-        (F.col("r") * window + F.col("c")).cast("int").alias("k"),
-        F.col(value).cast("float").alias("v"),
-    )
-    packed = tiles.groupBy(*keys, "wr", "wc").agg(F.array_sort(F.collect_list(cell)).alias("_m"))
-    zero, size = F.lit(0.0).cast("float"), F.lit(window * window)
+    return _over_windows(_packed(tiles, keys, value, window), keys, window, "x", lambda: lambda values: values)
 
-    def with_gap(one: Column, i: Column) -> Column:
-        following = F.coalesce(F.get("_m", i + 1)["k"], size)
-        return F.concat(F.array(F.coalesce(one["v"], zero)), F.array_repeat(zero, following - one["k"] - 1))
 
-    full = F.concat(F.array_repeat(zero, F.get("_m", F.lit(0))["k"]), F.flatten(F.transform("_m", with_gap)))
-    return packed.select(*keys, "wr", "wc", full.alias("x"))
+def _checked(scorer: Scorer, stacked: np.ndarray) -> np.ndarray:
+    out = np.asarray(scorer(stacked), dtype=np.float32)
+    if out.shape != stacked.shape:
+        raise ValueError(f"scorer returned shape {out.shape} for windows {stacked.shape}")
+    return out
 
 
 def score_windows(windows: DataFrame, window: int, make_scorer: Callable[[], Scorer]) -> DataFrame:
@@ -94,9 +124,7 @@ def score_windows(windows: DataFrame, window: int, make_scorer: Callable[[], Sco
                 yield pd.Series([], dtype=object)
                 continue
             stacked = np.stack(x.to_list()).astype(np.float32).reshape(-1, window, window, 1)
-            out = np.asarray(scorer(stacked), dtype=np.float32)
-            if out.shape != stacked.shape:
-                raise ValueError(f"scorer returned shape {out.shape} for windows {stacked.shape}")
+            out = _checked(scorer, stacked)
             yield pd.Series(list(out.reshape(len(x), window * window)))
 
     return windows.withColumn("score", score("x"))
@@ -129,6 +157,14 @@ def predict_images(
     stride: int,
     make_scorer: Callable[[], Scorer],
 ) -> DataFrame:
-    """Cut into windows, score, stitch and mask."""
-    windows = window_arrays(tile_windows(pixels, keys, value, window, stride), keys, value, window)
-    return stitch_windows(score_windows(windows, window, make_scorer), pixels, keys, window, stride)
+    """Cut into windows, score, stitch and mask.
+
+    A window goes to Python once, as the places and values of its pixels, and comes back as scores.
+    """
+
+    def scoring() -> Callable[[np.ndarray], np.ndarray]:
+        scorer = make_scorer()
+        return lambda values: _checked(scorer, values.reshape(-1, window, window, 1)) if len(values) else values
+
+    packed = _packed(tile_windows(pixels, keys, value, window, stride), keys, value, window)
+    return stitch_windows(_over_windows(packed, keys, window, "score", scoring), pixels, keys, window, stride)

@@ -82,32 +82,61 @@ def worst_images(t: Tables, dataset: str) -> DataFrame:
     return with_rank(rows, ["run_id"], order, "dice_rank")
 
 
-def paired_runs(t: Tables) -> DataFrame:
-    """C4: finished baseline and other runs with the same data and identical fold assignments."""
+TILE = 256  # runs of one side that meet in one task
+
+
+def _paired(t: Tables) -> DataFrame:
+    """``paired_runs`` with ``_tile``, the tile of the other run.
+
+    Runs that share a signature may be most runs. Each side of a signature is cut into tiles of about ``TILE`` runs by a
+    hash, and only pairs of tiles meet in one task.
+    """
     runs = finished(t["runs"]).join(fold_signatures(t["fold_assignments"]), "run_id", "left")
     shared = ["data_hash", "sig_rows", "sig_a", "sig_b"]
+    is_base = F.col("variant") == "baseline"
     # A run without any assignment has the empty set, which equals another empty set.
     filled = runs.select(
         "run_id", "variant", "is_reported", "data_hash",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in shared[1:]],
     )
-    base = filled.where("variant = 'baseline'").select(
+    sides = filled.groupBy(*shared).agg(F.count_if(is_base).alias("_b"), F.count_if(~is_base).alias("_o")).where("_b > 0 AND _o > 0")
+    tiles = sides.select(*shared, *[F.ceil(F.col(c) / F.lit(TILE)).cast("int").alias(c) for c in ("_b", "_o")])
+    tiled = filled.join(tiles, shared).withColumn("_h", F.pmod(F.xxhash64("run_id"), F.lit(1 << 30)).cast("int"))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    base = tiled.where(is_base).select(
         *shared,
         F.col("run_id").alias("baseline_run_id"),
         F.col("is_reported").alias("baseline_is_reported"),
+        (F.col("_h") % F.col("_b")).alias("_base_tile"),
+        every("_o").alias("_tile"),
     )
-    other = filled.where("variant <> 'baseline'").select(
+    other = tiled.where(~is_base).select(
         *shared,
         F.col("run_id").alias("other_run_id"),
         F.col("variant").alias("other_variant"),
         F.col("is_reported").alias("other_is_reported"),
+        every("_b").alias("_base_tile"),
+        (F.col("_h") % F.col("_o")).alias("_tile"),
     )
-    return base.join(other, shared).drop(*shared)
+    return base.join(other, [*shared, "_base_tile", "_tile"]).drop(*shared, "_base_tile")
+
+
+def paired_runs(t: Tables) -> DataFrame:
+    """C4: finished baseline and other runs with the same data and identical fold assignments."""
+    return _paired(t).drop("_tile")
 
 
 def variant_comparison(t: Tables, dataset: str) -> DataFrame:
-    """Per image, each other variant's metrics minus the baseline's."""
+    """Per image, each other variant's metrics minus the baseline's.
+
+    A baseline's rows are copied once per tile of other runs that it is paired with, so even one baseline of all runs is
+    many keys; an other run's rows meet by run and image.
+    """
     rows = held_out(t["per_image_metrics"], dataset)
+    pairs = _paired(t)
     key = ["dataset", "image_id", "prediction_mode"]
     base = rows.select(
         F.col("run_id").alias("baseline_run_id"), *key, "fold",
@@ -117,8 +146,9 @@ def variant_comparison(t: Tables, dataset: str) -> DataFrame:
         F.col("run_id").alias("other_run_id"), *key,
         *[F.col(m).alias(f"_o_{m}") for m in DELTAS.values()],
     )
+    copies = base.join(pairs.select("baseline_run_id", "_tile").distinct(), "baseline_run_id")
     return (
-        base.join(paired_runs(t), "baseline_run_id")
+        copies.join(pairs, ["baseline_run_id", "_tile"])
         .join(other, ["other_run_id", *key])
         .select(
             "baseline_run_id", "other_run_id", "other_variant", "baseline_is_reported",

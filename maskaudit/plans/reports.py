@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,14 +266,43 @@ def dangling_references(t: Tables) -> DataFrame:
     return out
 
 
-RUN_TABLES: dict[str, Callable[[Tables, str], DataFrame]] = {
-    "headline": headline,
-    "per_image": per_image,
-    "thin_thick": width_summary,
-    "pathology": subgroup,
+#: The report tables of a run and the columns their rows are ordered by.
+RUN_TABLES: dict[str, list[str]] = {
+    "headline": ["metric"], "per_image": ["image_id"], "per_fold": ["fold"], "thin_thick": ["metric"], "calibration": ["bin"],
+    "pathology": ["metric", "has_abnormality"], "provenance": ["field"],
 }
 
 
+def run_tables(t: Tables, dataset: str, edges: DataFrame, reliability: DataFrame, evaluations: DataFrame) -> dict[str, DataFrame]:
+    """Every report table, one row set for all runs.
+
+    ``edges`` (run_id, fold, thin_edge, n_thin, n_thick) and ``reliability`` (run_id and its bins) come from an evaluation,
+    ``evaluations`` (run_id, commit, dirty) says which checkout made it.
+    """
+    return {
+        "headline": headline(t, dataset),
+        "per_image": per_image(t, dataset),
+        "per_fold": per_fold(t, dataset, edges),
+        "thin_thick": width_summary(t, dataset),
+        "calibration": reliability,
+        "pathology": subgroup(t, dataset),
+        "provenance": provenance(t, evaluations),
+    }
+
+
+def write_run_tables(t: Tables, tables: Mapping[str, DataFrame], run_id: str, out: str, footer: str = "") -> None:
+    """Write a run's report tables as Markdown, one folder each; a run that may not be tabulated is an error."""
+    refusals = audit.tabulation_refusals(t["runs"], t["per_image_metrics"]).where(F.col("run_id") == run_id)
+    reasons = sorted(r["rule"] for r in refusals.collect())
+    if reasons:
+        raise ValueError(f"run {run_id} cannot be tabulated: {', '.join(reasons)}")
+    if t["runs"].where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"no run {run_id}")
+    for name, order in RUN_TABLES.items():
+        rows = tables[name].where(F.col("run_id") == run_id).drop("run_id")
+        write_markdown(rows, rows.columns, order, f"{out}/{run_id}/{name}", footer)
+
+
 def markdown_lines(report: DataFrame, columns: list[str], decimals: int = 3) -> DataFrame:
     """The rows of a report as Markdown table lines, NULL as NA."""
     kinds = dict(report.dtypes)

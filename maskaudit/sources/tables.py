@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,17 +29,69 @@ def table_path(root: str, name: str) -> str:
     return f"{root}/v{schemas.SCHEMA_VERSION}/{name}"
 
 
+LAYOUT = "_layout"  # beside the data; a name that readers of the folder pass over
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def check_layout(spark: SparkSession, root: str, name: str, every_file: bool = False) -> None:
+    """Refuse a stored table whose layout is not the declared one.
+
+    The manifest beside the table, written with its first rows, must name this version and these columns; and the types
+    in the Parquet footers must be the declared ones, in one file, or in ``every_file`` by a job over all footers.
+    """
+    path = table_path(root, name)
+    if not _exists(spark, path):
+        return
+    if _exists(spark, f"{path}/{LAYOUT}"):
+        stored = json.loads(spark.read.text(f"{path}/{LAYOUT}").first()["value"])
+        if stored["version"] != schemas.SCHEMA_VERSION:
+            raise ValueError(f"{name}: stored with layout version {stored['version']}, not {schemas.SCHEMA_VERSION}")
+        if stored["columns"] != schemas.TABLES[name]:
+            raise ValueError(f"{name}: stored with other columns than version {schemas.SCHEMA_VERSION} has")
+    try:
+        found = spark.read.option("mergeSchema", str(every_file).lower()).parquet(path).schema
+    except AnalysisException as err:
+        if "UNABLE_TO_INFER_SCHEMA" in str(err):  # no rows yet
+            return
+        raise
+    except (SparkRuntimeException, Py4JJavaError) as err:
+        raise ValueError(f"{name}: files of different layouts") from err
+    wanted = {f.name: f.dataType for f in table_schema(name)}
+    own = {f.name: f.dataType for f in found if f.name not in (*schemas.PARTITIONS.get(name, ()), "attempt")}
+    odd = sorted(c for c in own if own[c] != wanted.get(c)) + sorted(
+        c for c in wanted if c not in own and c not in schemas.PARTITIONS.get(name, ())
+    )
+    if odd:
+        raise ValueError(f"{name}: the files hold another type or none for {odd}")
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read a table by its declared schema; another layout version is another folder."""
+    """Read a table by its declared schema; another stored layout is refused."""
+    check_layout(spark, root, name)
     return spark.read.schema(table_schema(name)).parquet(table_path(root, name))
 
 
+# Types whose every value another type holds.
+WIDER = {
+    T.ByteType(): (T.ShortType(), T.IntegerType(), T.LongType()), T.ShortType(): (T.IntegerType(), T.LongType()),
+    T.IntegerType(): (T.LongType(), T.DoubleType()), T.FloatType(): (T.DoubleType(),),
+}
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Order and check the columns of a table; a missing or extra column is an error."""
+    """Order and check the columns of a table: a missing or extra column, or a type that could lose values, is an error."""
     schema = table_schema(name)
     wanted, got = set(schema.names), set(df.columns)
     if wanted != got:
         raise ValueError(f"{name}: missing {sorted(wanted - got)}, unexpected {sorted(got - wanted)}")
+    for f in schema:
+        have = df.schema[f.name].dataType
+        if have != f.dataType and not isinstance(have, T.NullType) and f.dataType not in WIDER.get(have, ()):
+            raise ValueError(f"{name}: {f.name} is {have.simpleString()}, not {f.dataType.simpleString()}")
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
@@ -94,6 +149,11 @@ def complete_fold(
 
 
 def _write(rows: DataFrame, root: str, name: str) -> None:
+    spark = rows.sparkSession
+    check_layout(spark, root, name)
+    layout = json.dumps({"version": schemas.SCHEMA_VERSION, "columns": schemas.TABLES[name]})
+    if not _exists(spark, f"{table_path(root, name)}/{LAYOUT}"):
+        spark.createDataFrame([(layout,)], "value string").coalesce(1).write.text(f"{table_path(root, name)}/{LAYOUT}")
     writer = rows.write.mode("append")
     if name in schemas.PARTITIONS:
         writer = writer.partitionBy(*schemas.PARTITIONS[name])

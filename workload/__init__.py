@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "images", "registry")
+MODULES = ("scoring", "images", "registry", "constraints", "evaluation", "release")
 
 
 def load() -> None:

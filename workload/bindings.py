@@ -583,8 +583,8 @@ FROM supplier GROUP BY s_suppkey % 40""",
 
 
 def reg_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """One metric row per run and image with a line of more than ten pieces; some not evaluated."""
-    li = table(spark, sf, "lineitem").where("l_quantity > 10")
+    """One metric row per run and image with a line; some not evaluated."""
+    li = table(spark, sf, "lineitem")
     return (
         li.groupBy(
             F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"),
@@ -604,47 +604,48 @@ cte(
     """SELECT 'r' || l_orderkey AS run_id, CASE WHEN l_suppkey % 40 < 30 THEN 'drive' ELSE 'stare' END AS dataset, 'i' || (l_suppkey % 40) AS image_id,
        'single' AS prediction_mode,
        CASE WHEN max(l_discount) > 0.01 THEN max(l_discount) END AS brier, max(l_tax) * 20 AS dice
-FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey, l_suppkey % 40""",
+FROM lineitem GROUP BY l_orderkey, l_suppkey % 40""",
 )
 
 
 def reg_evaluations(spark: SparkSession, sf: str) -> DataFrame:
-    """Two of three runs were evaluated, some by another or a dirty checkout."""
-    o = table(spark, sf, "orders").where("o_orderkey % 3 <> 0")
+    """Two of three runs were evaluated, some by another or a dirty checkout; the third's row says nothing."""
+    o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
+    commit = F.concat(F.lit("c"), ((F.col("o_custkey") + F.when(k % 7 == 0, 1).otherwise(0)) % 50).cast("string"))
     return o.select(
         F.concat(F.lit("r"), k.cast("string")).alias("run_id"),
-        F.concat(F.lit("c"), ((F.col("o_custkey") + F.when(k % 7 == 0, 1).otherwise(0)) % 50).cast("string")).alias("commit"),
-        (k % 8 == 0).alias("dirty"),
+        F.when(k % 3 != 0, commit).alias("commit"),
+        F.when(k % 3 != 0, k % 8 == 0).alias("dirty"),
     )
 
 
 cte(
     "reg_evaluations",
     """SELECT 'r' || o_orderkey AS run_id,
-       'c' || ((o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 50) AS commit,
-       o_orderkey % 8 = 0 AS dirty
-FROM orders WHERE o_orderkey % 3 <> 0""",
+       CASE WHEN o_orderkey % 3 <> 0 THEN 'c' || ((o_custkey + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 50) END AS commit,
+       CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 8 = 0 END AS dirty
+FROM orders""",
 )
 
 
 def reg_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoints found: the largest digest of each run and fold, some of them missing or changed."""
-    li = table(spark, sf, "lineitem").where("l_linestatus = 'F' AND l_orderkey % 10 <> 0")
-    digest = F.max(F.md5(F.col("l_partkey").cast("string")))
+    """Checkpoints of every run and fold: the largest digest of its finished lines, some of them lost or changed."""
+    li = table(spark, sf, "lineitem")
+    digest = F.max(F.when(F.col("l_linestatus") == "F", F.md5(F.col("l_partkey").cast("string"))))
     return li.groupBy("l_orderkey", "l_linenumber").agg(digest.alias("d")).select(
         F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("run_id"),
         F.col("l_linenumber").alias("fold"),
-        F.when(F.col("l_orderkey") % 12 == 1, F.md5("d")).otherwise(F.col("d")).alias("digest"),
+        F.when(F.col("l_orderkey") % 12 == 1, F.md5("d")).when(F.col("l_orderkey") % 10 != 0, F.col("d")).alias("digest"),
     )
 
 
 cte(
     "reg_artifacts",
     """SELECT 'r' || l_orderkey AS run_id, l_linenumber AS fold,
-       CASE WHEN l_orderkey % 12 = 1 THEN md5(max(md5(cast(l_partkey AS varchar))))
-            ELSE max(md5(cast(l_partkey AS varchar))) END AS digest
-FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey % 10 <> 0 GROUP BY l_orderkey, l_linenumber""",
+       CASE WHEN l_orderkey % 12 = 1 THEN md5(d) WHEN l_orderkey % 10 <> 0 THEN d END AS digest
+FROM (SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linestatus = 'F' THEN md5(cast(l_partkey AS varchar)) END) AS d
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
 )
 
 
