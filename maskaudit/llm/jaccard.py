@@ -268,7 +268,8 @@ def _links(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):  # one at a time: a batch of rows may be large
+                r = batch.slice(k, 1).to_pylist()[0]
                 one, two = r["one"], r["two"] or []
                 sets = [np.frombuffer(x["grams"], dtype=np.uint64) for x in (*one, *two)]
                 owners = np.array([x["owner"] for x in (*one, *two)], dtype=np.int64)
