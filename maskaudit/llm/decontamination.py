@@ -23,6 +23,8 @@ EXCERPT = 25  # words; an alignment that scores as much as so many in a row coun
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 32_000_000  # characters of test items that are looked for in one pass
 TOGETHER = 512  # alignments computed side by side
+MANY = 64  # places of items in one text from which on their words are counted first
+COUNTED = 1 << 22  # words times items counted together
 CELLS = 1 << 20  # of one row of all alignments computed side by side
 
 
@@ -35,18 +37,26 @@ SINGLES = (
 
 
 @cache
-def _apart() -> tuple[re.Pattern, re.Pattern]:
-    """Return patterns of the punctuation and blanks beyond ASCII, and of characters that are words."""
+def _apart() -> tuple[frozenset[str], re.Pattern]:
+    """Return the punctuation and blanks beyond ASCII, and a pattern of characters that are words."""
     marks = (chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "PZ")
-    return re.compile(f"[{''.join(marks)}\x85]"), re.compile(f"[{SINGLES}]")
+    return frozenset([*marks, "\x85"]), re.compile(f"[{SINGLES}]")
+
+
+def _spaced(text: str | None) -> str | None:
+    """Put blanks for marks beyond ASCII and around characters that are words; most texts hold few kinds of either."""
+    if not text or text.isascii():
+        return text
+    marks, singles = _apart()
+    odd = {c for c in set(text) if c > "\x7f"}
+    for mark in odd & marks:
+        text = text.replace(mark, " ")
+    return singles.sub(r" \g<0> ", text) if singles.search("".join(odd)) else text
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Return (hashes of all words, offsets of each text's): runs between marks and blanks, or characters of SINGLES."""
-    marks, singles = _apart()
-    return H.word_hashes(
-        [t if not t or t.isascii() else singles.sub(r" \g<0> ", marks.sub(" ", t)) for t in texts], H.MARKS
-    )
+    return H.word_hashes([_spaced(t) for t in texts], H.MARKS)
 
 
 @dataclass
@@ -59,12 +69,17 @@ class Items:
     begins: np.ndarray  # of each gram's rows in item and at
     item: np.ndarray
     at: np.ndarray
+    vocabulary: np.ndarray  # distinct words of all items, sorted
+    numbers: np.ndarray  # the items' words as places in the vocabulary, one item after the other
+    first: np.ndarray  # of each item's numbers
 
 
 def _indexed(ids, words, grams, item, at) -> Items:
     order = np.lexsort((at, item, grams))
     kinds, begins = np.unique(grams[order], return_index=True)
-    return Items(ids, words, kinds, np.append(begins, len(grams)), item[order], at[order])
+    vocabulary, numbers = np.unique(np.concatenate([*words, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+    return Items(ids, words, kinds, np.append(begins, len(grams)), item[order], at[order], vocabulary, numbers, first)
 
 
 def index_items(ids: list, texts: list[str | None], n: int = NGRAM) -> Items:
@@ -140,9 +155,45 @@ def _most(words: np.ndarray, window: np.ndarray) -> int:
     return int((total - np.minimum.accumulate(total)).max())
 
 
-def _need(size: int, score: float) -> float:
-    """Return the score that an alignment with an item of ``size`` words needs."""
-    return MATCH * min(max(score * size, min(size, LEAST)), EXCERPT)
+def _need(size: np.ndarray, score: float) -> np.ndarray:
+    """Return the scores that alignments with items of ``size`` words need."""
+    return MATCH * np.minimum(np.maximum(score * size, np.minimum(size, LEAST)), EXCERPT)
+
+
+def _promising(words: np.ndarray, items: Items, item: np.ndarray, start: np.ndarray, score: float) -> np.ndarray:
+    """Tell which places of a text (item, and where it would start) can hold an alignment, by counting words.
+
+    A phrase that many items share gives a place of each of them wherever a text has it. No alignment scores more than
+    MATCH for every word of its window that the item has; these are counted for all places at once, as differences of
+    running counts, and few places go on to a closer look.
+    """
+    size = np.diff(items.first)[item]
+    need = _need(size, score)
+    slack = np.maximum((MATCH * size - need).astype(np.int64), 0)
+    low, high = np.maximum(start - slack, 0), np.minimum(start + size + 2 * slack, len(words))
+    number = np.minimum(np.searchsorted(items.vocabulary, words), len(items.vocabulary) - 1)
+    known = items.vocabulary[number] == words
+    kinds, place = np.unique(number[known], return_inverse=True)
+    column = np.full(len(items.vocabulary), -1)
+    column[kinds] = np.arange(len(kinds))
+    out = np.zeros(len(item), dtype=bool)
+    wanted, row = np.unique(item, return_inverse=True)
+    step = max(1, COUNTED // (len(words) + 1))
+    for begin in range(0, len(wanted), step):
+        some = wanted[begin : begin + step]
+        sizes = np.diff(items.first)[some]
+        owner = np.repeat(np.arange(len(some)), sizes)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = column[items.numbers[items.first[some][owner] + inner]]
+        has = np.zeros((len(some), len(kinds)), dtype=bool)
+        has[owner[at >= 0], at[at >= 0]] = True
+        count = np.zeros((len(some), len(words) + 1), dtype=np.int32)
+        count[:, 1:][:, known] = has[:, place]
+        np.cumsum(count, axis=1, out=count)
+        mine = np.flatnonzero((row >= begin) & (row < begin + step))
+        r = row[mine] - begin
+        out[mine] = MATCH * (count[r, high[mine]] - count[r, low[mine]]) >= need[mine]
+    return out
 
 
 def _aligned(texts: list[str | None], items: Items, n: int, score: float):
@@ -150,12 +201,14 @@ def _aligned(texts: list[str | None], items: Items, n: int, score: float):
     rows: dict[tuple[int, int], tuple[float, int, int]] = {}
     waiting: list[tuple[int, int, int, np.ndarray]] = []
     width = 0
+    sizes = np.diff(items.first)
+    needs, sizes = _need(sizes, score).tolist(), sizes.tolist()
 
     def flush():
         value, begin, end = align([items.words[x[1]] for x in waiting], [x[3] for x in waiting])
         for (text, item, base, _), v, a, b in zip(waiting, value, begin, end):
-            if v >= _need(len(items.words[item]), score):
-                share = float(v) / (MATCH * len(items.words[item]))
+            if v >= needs[item]:
+                share = float(v) / (MATCH * sizes[item])
                 new = (share, -(base + int(a)), -(base + int(b)))
                 rows[text, item] = max(rows.get((text, item), new), new)
         waiting.clear()
@@ -166,11 +219,18 @@ def _aligned(texts: list[str | None], items: Items, n: int, score: float):
         inner = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
         source = items.begins[gram][row] + inner
         item, start = items.item[source], at[row] - items.at[source]
-        order = np.lexsort((start, item, text[row]))
+        owner = text[row]
+        many = np.bincount(owner) > MANY
+        if many.any():
+            kept = ~many[owner]
+            for t in np.flatnonzero(many):
+                mine = np.flatnonzero(owner == t)
+                kept[mine] = _promising(words[offsets[t] : offsets[t + 1]], items, item[mine], start[mine], score)
+            owner, item, start = owner[kept], item[kept], start[kept]
+        order = np.lexsort((start, item, owner))
         last = None
-        for t, i, s in zip(text[row][order].tolist(), item[order].tolist(), start[order].tolist()):
-            size = len(items.words[i])
-            need = _need(size, score)
+        for t, i, s in zip(owner[order].tolist(), item[order].tolist(), start[order].tolist()):
+            size, need = sizes[i], needs[i]
             slack = max(int(MATCH * size - need), 0)  # gaps, more of which leave less than the score
             if last and last[:2] == (t, i) and s <= last[2] + slack:
                 continue  # the window of the seed before reaches this alignment as well

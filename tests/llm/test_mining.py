@@ -247,3 +247,38 @@ def test_a_common_phrase_is_no_copy_of_a_short_item(spark):
         spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     )
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(11, 1), (12, 2), (13, 3)}
+
+
+def test_a_phrase_of_many_items_costs_little_and_hides_no_copy(spark):
+    import time
+
+    from maskaudit.llm import decontamination
+
+    rng = random.Random(21)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    phrase = ["which", "of", "the", "following"]
+    texts = [" ".join(phrase + rng.choices(vocabulary, k=25)) for _ in range(2000)]
+    items = decontamination.index_items(list(range(2000)), texts)
+    body = []
+    for k in range(200):
+        body += rng.choices(vocabulary, k=100) + phrase
+        if k % 40 == 3:
+            copy = texts[k].split()
+            copy[5::6] = ["new"] * len(copy[5::6])
+            body += copy
+    start = time.process_time()
+    found = decontamination._aligned([" ".join(body), "short one", None], items, 3, 0.5)
+    assert {(t, i) for t, i, *_ in found} == {(0, k) for k in range(3, 200, 40)}
+    assert time.process_time() - start < 20
+
+
+def test_marks_and_single_characters_are_told_apart_as_by_patterns():
+    from maskaudit.llm import decontamination
+
+    marks, singles = decontamination._apart()
+    rng = random.Random(22)
+    alphabet = list("ab é ß“”—。中文กข\x85 ひ\U00020001")
+    for _ in range(500):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20)))
+        plain = "".join(" " if c in marks else c for c in text)
+        assert decontamination._spaced(text).split() == singles.sub(r" \g<0> ", plain).split()
