@@ -17,6 +17,7 @@ NGRAM = 4
 THRESHOLD = (85, 100)  # links have THRESHOLD[1] * intersection >= THRESHOLD[0] * union
 CUT = 4096  # n-grams of one fragment of the order in which overlaps are counted
 BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 18  # sets and n-grams of a block, about
+BLOCK_ROWS = 8  # pairs of blocks that go to Python together
 TOGETHER = 1 << 18  # keys that a task sends at once
 BUCKET = 1 << 18  # keys of equal fragments that one task looks at
 STEP = 1.5  # ratio of neighbouring fragment numbers
@@ -335,7 +336,8 @@ def jaccard_components(
         _sets_of(found, n).groupBy(*key).agg(F.collect_list(F.struct("owner", "grams")).alias("sets"))
     )
     alone = blocks.where(F.size("sets") > 1).select(F.col("sets").alias("one"), F.lit(None).cast(SETS).alias("two"))
-    links = scratch.put(_links(alone, threshold).unionByName(_links(_block_pairs(blocks, threshold), threshold)))
+    # A row holds two blocks, some megabytes: few go to Python together.
+    links = scratch.put(_links(alone, threshold).unionByName(_links(_block_pairs(blocks, threshold), threshold)), BLOCK_ROWS)
     joined = connected_components(links, scratch)
     smallest = (
         nodes.join(joined.withColumnRenamed("node", "owner"), "owner", "left")

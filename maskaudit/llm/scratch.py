@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from maskaudit.session import ensure_checkpoint_dir
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """A folder of Parquet tables below the session's checkpoint folder.
 
@@ -22,11 +25,19 @@ class Scratch:
         self.root = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
         self.n = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as read back; ``path_of`` remembers where it lies."""
+    def put(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back; ``path_of`` remembers where it lies.
+
+        ``batch`` bounds the rows that go to Python together, for plans whose rows are large.
+        """
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(BATCH)
+        try:
+            self.spark.conf.set(BATCH, str(batch or before))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
