@@ -291,13 +291,19 @@ def run_tables(t: Tables, dataset: str, edges: DataFrame, reliability: DataFrame
 
 
 def write_run_tables(t: Tables, tables: Mapping[str, DataFrame], run_id: str, out: str, footer: str = "") -> None:
-    """Write a run's report tables as Markdown, one folder each; a run that may not be tabulated is an error."""
+    """Write a run's report tables as Markdown, one folder each.
+
+    A run that may not be tabulated is an error, and so is a metric with fewer than two images.
+    """
     refusals = audit.tabulation_refusals(t["runs"], t["per_image_metrics"]).where(F.col("run_id") == run_id)
     reasons = sorted(r["rule"] for r in refusals.collect())
     if reasons:
         raise ValueError(f"run {run_id} cannot be tabulated: {', '.join(reasons)}")
     if t["runs"].where(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"no run {run_id}")
+    few = stats.too_few(tables["headline"].where(F.col("run_id") == run_id)).collect()
+    if few:
+        raise ValueError(f"too few images for a spread of {', '.join(sorted(r['metric'] for r in few))}")
     for name, order in RUN_TABLES.items():
         rows = tables[name].where(F.col("run_id") == run_id).drop("run_id")
         write_markdown(rows, rows.columns, order, f"{out}/{run_id}/{name}", footer)

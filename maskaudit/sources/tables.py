@@ -142,6 +142,13 @@ def complete_fold(
     if not keys.join(running, ["run_id", "fold"], "left_anti").isEmpty():
         raise ValueError("only running folds can complete")
     attempt = status.select("run_id", "fold", F.col("attempts").cast("int").alias("attempt"))
+    spark = status.sparkSession
+    for name in FOLD_TABLES:
+        # A job that was lost half way may have written rows of this attempt already: it has to start the fold again.
+        if _exists(spark, table_path(root, name)):
+            before = _attempts(spark, root, name).join(attempt, ["run_id", "fold", "attempt"], "left_semi")
+            if not before.isEmpty():
+                raise ValueError(f"{name}: this attempt has written rows before; start the fold again")
     for name in FOLD_TABLES:
         rows = conform(tables[name], name).join(attempt, ["run_id", "fold"])
         _write(rows.select(*table_schema(name).names, "attempt"), root, name)

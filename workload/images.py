@@ -89,6 +89,18 @@ def standardize_in_mask(spark, sf):
     return r9(out.select("image_id", "row", "col", "z"), "z")
 
 
+FLAT = "CASE WHEN image_id % 9 = 0 THEN 7 WHEN in_fov THEN g ELSE 0 END"
+
+
+@query(
+    "constant_masks",
+    sql(f"SELECT image_id FROM (SELECT *, {FLAT} AS v FROM rgb_pixels) WHERE in_fov GROUP BY image_id HAVING min(v) = max(v)", "rgb_pixels"),
+)
+def constant_masks(spark, sf):
+    """Images that cannot be standardised; every ninth has lost its channel."""
+    return pixels.constant_masks(rgb_pixels(spark, sf).withColumn("v", F.expr(FLAT)), IMG, "v")
+
+
 # ---------------------------------------------------------------- equalisation, 3 x 2 tiles of 8 x 8 images
 # Rows pad from 8 to 9 (three tiles of 3); columns pad from 8 to 10 (two tiles of 5), as the pair
 # does not divide evenly.
