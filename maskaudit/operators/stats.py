@@ -15,7 +15,7 @@ from maskaudit.operators.ranking import exact_quantiles, keyed_rank, null_safe_j
 
 DRAWS = 128  # resamples of one block of draws
 POSITIONS = 4096  # positions of one block of draws, and of one block of values
-SIZES = 256  # group sizes that lie in one range share their draws
+SIZES = 1024  # group sizes that lie in one range share their draws
 COLUMNS = 32  # groups whose values stand side by side in one block, on average
 SPREAD = 8  # copies of a block of values, which blocks of draws are dealt to
 
@@ -30,11 +30,12 @@ def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Se
 
 
 def _shared(values: DataFrame) -> DataFrame:
-    """Shuffle the values, one per item and metric, by all that names them.
+    """Shuffle the values, one per item and metric.
 
     Every pass over the result then starts from this one exchange, which Spark reuses, and not from the pixels behind it.
+    All columns are keys of it: a column that a pass does not read would otherwise be left out, and make an exchange of its own.
     """
-    return values.where("value IS NOT NULL").repartition(*[c for c in values.columns if c != "value"])
+    return values.where("value IS NOT NULL").repartition(*values.columns)
 
 
 def summarize(values: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -96,9 +97,13 @@ def _draw_blocks(sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
                     own = (drawn[:, : max(n - row["from"], 0)] % np.uint64(n)).astype(np.int64)
                     resample = np.repeat(np.arange(len(own)), own.shape[1])
                     block = (own // POSITIONS).ravel()
-                    cell, times = np.unique(
-                        (block * DRAWS + resample) * POSITIONS + (own % POSITIONS).ravel(), return_counts=True
-                    )
+                    at = (block * DRAWS + resample) * POSITIONS + (own % POSITIONS).ravel()
+                    if n <= POSITIONS:  # one block, of which most cells are drawn
+                        tally = np.bincount(at)
+                        cell = np.flatnonzero(tally)
+                        times = tally[cell]
+                    else:
+                        cell, times = np.unique(at, return_counts=True)
                     edges = np.flatnonzero(np.diff(cell // (DRAWS * POSITIONS), prepend=-1))
                     for a, b in zip(edges, [*edges[1:], len(cell)]):
                         yield pa.RecordBatch.from_arrays(
