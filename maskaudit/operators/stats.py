@@ -176,7 +176,9 @@ def bootstrap_mean_ci(
     lanes = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
     blocks = _value_blocks(placed, sizes).withColumn("_lane", lanes)
     drawn = _draw_blocks(sizes, resamples, seed).withColumn("_lane", (F.col("resamples_at") / DRAWS).cast("int") % SPREAD)
-    sums = _block_sums(drawn.join(blocks, ["n", "block", "_lane"]).select("resamples_at", "cells", "counts", "lines"))
+    # Spark takes a block of draws for as small as the row it is made from, and would send all of them through the driver.
+    meetings = drawn.hint("merge").join(blocks, ["n", "block", "_lane"])
+    sums = _block_sums(meetings.select("resamples_at", "cells", "counts", "lines"))
     means = sums.groupBy("_g", "resample").agg(F.sum("total").alias("total")).join(sizes.select("_g", "n"), "_g").select(
         "_g", (F.col("total") / F.col("n")).alias("m")
     )

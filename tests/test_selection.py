@@ -239,3 +239,15 @@ def test_one_signature_of_all_runs_is_cut_into_tiles(spark, monkeypatch):
     assert len(got) == len(want) and set(map(tuple, got)) == want
     tiles = queries._paired(t).groupBy("baseline_run_id", "_tile").count().collect()
     assert max(r["count"] for r in tiles) < len(runs) / 2
+
+
+def test_draws_of_the_bootstrap_do_not_pass_through_the_driver(spark):
+    rows = [(f"r{k % 2}", f"i{k}", float(k % 7)) for k in range(60)]
+    out = stats.bootstrap_mean_ci(spark.createDataFrame(rows, "g string, image_id string, value double"), ["g"], "image_id", 300, 1, 0.9)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in final]
+    for i, line in enumerate(final):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(final)) if depth[j] <= depth[i]), len(final))
+            assert not any("MapInArrow" in x for x in final[i + 1 : below])
