@@ -111,7 +111,8 @@ def rank_metrics(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     inside = (
         Window.partitionBy(*keys, "_b").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = bucketed.join(offsets, [*keys, "_b"]).select(
+    # Spark does not count what an explode adds and could take either side, a row per score, for small enough to broadcast.
+    rows = bucketed.hint("merge").join(offsets, [*keys, "_b"]).select(
         *keys,
         "n_pos",
         "n_neg",
@@ -266,7 +267,7 @@ def evaluate_items(scored: DataFrame, keys: Sequence[str], threshold: Column) ->
         (F.sum(squared) / F.sum(pos + neg).cast("double")).alias("brier"),
     )
     areas = rank_metrics(counts, keys).drop("n_pos", "n_neg")
-    return binary_metrics(simple).join(areas, [*keys])
+    return binary_metrics(simple).hint("merge").join(areas, [*keys])
 
 
 def score_validity(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
