@@ -119,7 +119,7 @@ def evaluate_runs(
     edges = tuning_edges(t["fold_assignments"], radii, quantile)
     key = ["dataset", "image_id", "row", "col"]
     hits = judged.select(*IMAGE, "fold", "row", "col", S.is_positive(F.col("prob"), F.col("threshold")).alias("predicted")).join(
-        radii.select(*key, "d2"), key
+        radii.select(*key, "d2").hint("merge"), key
     )
     widths = spatial.width_sensitivity(hits, edges, [*IMAGE, "fold"], ["run_id", "fold"])
     records = spatial.with_items_without_skeleton(widths, items, [*IMAGE, "fold"]).join(accepted, "run_id", "left_semi")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskaudit import schemas
-from maskaudit.operators import patches, quality, ranking, spatial, stats
+from maskaudit.operators import metrics, patches, quality, ranking, spatial, stats
 from maskaudit.plans import queries
 from maskaudit.sources import tables
 
@@ -251,3 +251,16 @@ def test_draws_of_the_bootstrap_do_not_pass_through_the_driver(spark):
         if "BroadcastExchange" in line:
             below = next((j for j in range(i + 1, len(final)) if depth[j] <= depth[i]), len(final))
             assert not any("MapInArrow" in x for x in final[i + 1 : below])
+
+
+def test_exploded_pixels_are_not_broadcast(spark):
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(999)))
+    pixels = spark.range(20).select((F.col("id") % 2).alias("fold"), F.col("id").alias("image_id"), numbers.alias("col")).select(
+        "*", F.lit(0).alias("row"), (F.col("col") / 1000).cast("float").alias("prob"), (F.col("col") % 3 == 0).alias("label"),
+        F.lit(True).alias("in_fov"),
+    )
+    chosen = spark.createDataFrame([(0, 0.25), (1, 0.5)], "fold bigint, threshold double")
+    judged = ranking.salted_lookup(pixels, chosen, ["fold"], ["image_id", "col"])
+    out = metrics.evaluate_items(judged, ["image_id", "threshold"], F.col("threshold"))
+    assert out.count() == 20
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
