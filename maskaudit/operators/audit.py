@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # The roles, in the order they are listed.
 ROLES = ("test", "train", "val")
+MARKS = 1 << 18  # assignments whose images one task reduces, more or less
 
 
 def leakage_audit(assignments: DataFrame) -> DataFrame:
@@ -256,6 +257,9 @@ def image_state(assignments: DataFrame, metrics: DataFrame, images: DataFrame) -
 
     Assignments and metric rows of a run's image meet in one exchange, by run and image, so a run that holds most rows
     spreads over its images. Their counters go on to the run with map-side sums.
+
+    Rows of one run differ little and shuffle to few bytes, by which Spark would give a task far more of them than it can
+    hold. So the assignments are counted first, and the exchange has as many partitions as their number needs.
     """
     key = ["run_id", "dataset", "image_id"]
     none = F.lit(None)
@@ -265,7 +269,9 @@ def image_state(assignments: DataFrame, metrics: DataFrame, images: DataFrame) -
         )
     )
     held = [F.coalesce(F.bool_or(F.col("role") == r), F.lit(False)).cast("int") for r in ROLES]
-    per_fold = marks.repartition(*key).groupBy(*key, "fold").agg(
+    partitions = int(assignments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(partitions, assignments.count() // MARKS + 1)
+    per_fold = marks.repartition(partitions, *key).groupBy(*key, "fold").agg(
         (held[0] + held[1] + held[2]).alias("_roles"),
         held[ROLES.index("test")].alias("_test"),
         F.bool_or(F.col("role").isNotNull()).alias("_assigned"),

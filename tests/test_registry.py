@@ -384,3 +384,17 @@ def test_best_and_worst_refuse_short_runs(spark):
     assert sorted((r.side, r.place, r.image_id) for r in got) == [("best", 1, "3"), ("best", 2, "2"), ("worst", 1, "0"), ("worst", 2, "1")]
     with pytest.raises(Exception, match="a has fewer than 6 images"):
         reports.best_and_worst(rows, 3).collect()
+
+
+def test_a_task_reduces_a_bounded_number_of_assignments(spark, monkeypatch):
+    monkeypatch.setattr(audit, "MARKS", 100)
+    rows = spark.range(2000).select(
+        F.concat(F.lit("r"), (F.col("id") % 50).cast("string")).alias("run_id"), F.lit("drive").alias("dataset"),
+        F.col("id").cast("string").alias("image_id"), F.lit(1).alias("fold"), F.lit("test").alias("role"),
+    )
+    kept = rows.select("run_id", "dataset", "image_id", F.lit("single").alias("prediction_mode"), F.lit(0.5).alias("brier"))
+    images = rows.select("dataset", "image_id", F.lit(True).alias("has_labels"))
+    out = audit.image_state(rows, kept, images)
+    assert {(r.n_tested, r.n_evaluated, r.n_labelled, r.n_leaks) for r in out.collect()} == {(40, 40, 40, 0)}
+    assert "REPARTITION_BY_NUM" in (plan := out._jdf.queryExecution().executedPlan().toString())
+    assert "image_id" in plan and ", 21), REPARTITION_BY_NUM" in plan
