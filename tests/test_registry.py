@@ -398,3 +398,12 @@ def test_a_task_reduces_a_bounded_number_of_assignments(spark, monkeypatch):
     assert {(r.n_tested, r.n_evaluated, r.n_labelled, r.n_leaks) for r in out.collect()} == {(40, 40, 40, 0)}
     assert "REPARTITION_BY_NUM" in (plan := out._jdf.queryExecution().executedPlan().toString())
     assert "image_id" in plan and ", 21), REPARTITION_BY_NUM" in plan
+
+
+def test_rules_are_worked_out_once_per_row(spark):
+    df = spark.range(5).select("id", F.concat(F.lit("soon"), F.col("id").cast("string")).alias("at"))
+    rules = {"format": S.timestamp_ok(F.col("at")), "low": F.col("id") < 3, "even": F.col("id") % 2 == 0}
+    out = quality.violations(df, ["id"], rules)
+    got = sorted((r.id, r.rule) for r in out.collect())
+    assert got == sorted([(i, "format") for i in range(5)] + [(3, "low"), (4, "low"), (1, "even"), (3, "even")])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == 1
