@@ -196,18 +196,34 @@ def grid_counts(scored: DataFrame, keys: Sequence[str], divisions: int) -> DataF
             F.count_if(~F.col("label")).alias("n_neg"),
         )
     )
-    filled = zero_filled(binned, keys, "k", 0, divisions, ["n_pos", "n_neg"])
-    item = [*keys] or [F.lit(0)]
-    above = Window.partitionBy(*item).orderBy(F.desc("k"))
-    whole = Window.partitionBy(*item)
-    return filled.select(
+    # A bin stands for the thresholds down to the next lower bin of its item, the highest one also for those above it, which
+    # no score reaches. So windows hold the bins there are, and thresholds are listed last, one row at a time.
+    item = Window.partitionBy(*([*keys] or [F.lit(0)]))
+    down = item.orderBy(F.desc("k"))
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    placed = binned.select(
         *keys,
-        "k",
-        (F.col("k").cast("double") / F.lit(float(divisions))).alias("threshold"),
-        F.sum("n_pos").over(above).alias("tp"),
-        F.sum("n_neg").over(above).alias("fp"),
-        (F.sum("n_pos").over(whole) - F.sum("n_pos").over(above)).alias("fn"),
-    ).where(F.col("k").between(1, divisions - 1))
+        F.col("k").alias("_bin"),
+        F.sum("n_pos").over(upto).alias("_pos"),
+        F.sum("n_neg").over(upto).alias("_neg"),
+        F.sum("n_pos").over(item).alias("_all"),
+        F.coalesce(F.lead("k").over(down) + 1, F.lit(1)).alias("_low"),
+        F.when(F.lag("k").over(down).isNull(), F.lit(divisions - 1)).otherwise(F.least("k", F.lit(divisions - 1))).alias("_high"),
+    )
+    nothing = F.lit(0).cast("bigint")
+    reached = F.col("k") <= F.col("_bin")
+    return (
+        placed.where("_low <= _high")
+        .withColumn("k", F.explode(F.sequence(F.col("_low").cast("bigint"), F.col("_high").cast("bigint"))))
+        .select(
+            *keys,
+            "k",
+            (F.col("k").cast("double") / F.lit(float(divisions))).alias("threshold"),
+            F.when(reached, F.col("_pos")).otherwise(nothing).alias("tp"),
+            F.when(reached, F.col("_neg")).otherwise(nothing).alias("fp"),
+            F.when(reached, F.col("_all") - F.col("_pos")).otherwise(F.col("_all")).alias("fn"),
+        )
+    )
 
 
 def threshold_sweep(scored: DataFrame, keys: Sequence[str], divisions: int) -> DataFrame:

@@ -99,6 +99,23 @@ def test_sweep_agrees_with_binarize_on_the_grid(spark):
         assert sweep[k] == (c.tp, c.fp)
 
 
+def test_sweep_lists_every_threshold_and_no_task_groups_them(spark):
+    df = scored(spark, [0.5, 0.25, 0.25], [1, 0, 1]).unionByName(scored(spark, [0.0], [1], image="b")).unionByName(
+        scored(spark, [1.0, 0.0], [0, 1], image="c")
+    )
+    grid = metrics.grid_counts(df, ["image_id"], 4)
+    assert sorted(tuple(r) for r in grid.collect()) == [
+        ("a", 1, 0.25, 2, 1, 0), ("a", 2, 0.5, 1, 0, 1), ("a", 3, 0.75, 0, 0, 2),
+        *[("b", k, k / 4, 0, 0, 1) for k in (1, 2, 3)], *[("c", k, k / 4, 0, 1, 1) for k in (1, 2, 3)],
+    ]
+    assert metrics.grid_counts(df.where("false"), [], 4).collect() == []
+    assert [tuple(r) for r in metrics.grid_counts(df, [], 4).orderBy("k").collect()] == [
+        (1, 0.25, 2, 2, 2), (2, 0.5, 1, 1, 3), (3, 0.75, 0, 1, 4),
+    ]
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan[plan.index("Window") :]  # the lines below a window are what it reads
+
+
 def test_best_threshold_takes_the_lowest_of_a_tie(spark):
     df = scored(spark, [0.9, 0.6, 0.4, 0.1], [1, 1, 0, 0]).unionByName(
         scored(spark, [0.8, 0.7, 0.2, 0.1], [1, 1, 0, 0], image="b")
