@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskaudit.functions import scalars as S
+from maskaudit.session import spread
 
 FAN_IN = 4096
 RUN_LEVELS = 4  # runs of runs of scores: 4096**4 positions before one group is longer
@@ -188,8 +189,11 @@ def fill_evaluation(
 
 
 def unfillable(stored: DataFrame, records: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Records without exactly one stored row; nothing may be written while there are any."""
-    matches = stored.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    """Records without exactly one stored row; nothing may be written while there are any.
+
+    The stored rows are counted first and exchanged by key into as many partitions as they need, which the records follow.
+    """
+    matches = spread(stored.select(*keys), keys, stored.count()).groupBy(*keys).agg(F.count("*").alias("n_rows"))
     return (
         records.select(*keys)
         .join(matches, [*keys], "left")

@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from maskaudit import schemas
+from maskaudit import schemas, session
 from maskaudit.functions import scalars as S
 from maskaudit.operators import audit, quality, reconcile
 from maskaudit.plans import queries, reports
@@ -407,3 +407,12 @@ def test_rules_are_worked_out_once_per_row(spark):
     got = sorted((r.id, r.rule) for r in out.collect())
     assert got == sorted([(i, "format") for i in range(5)] + [(3, "low"), (4, "low"), (1, "even"), (3, "even")])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == 1
+
+
+def test_a_task_groups_a_bounded_number_of_stored_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    stored = spark.range(2000).select((F.col("id") % 1999).alias("image_id"), F.lit("r").alias("run_id"))
+    records = spark.createDataFrame([("r", 0), ("r", 1), ("r", 5000), ("r", 5000), (None, 1)], "run_id string, image_id bigint")
+    out = reconcile.unfillable(stored, records, ["run_id", "image_id"])
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("r", 0, 2), ("r", 5000, 0), ("r", 5000, 0), (None, 1, 0)], key=str)
+    assert ", 21), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
