@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskaudit.session import spread
 
 MOST_RULES = 62  # bits of one mask
 
@@ -83,19 +84,21 @@ def key_text(keys: Sequence[str]) -> Column:
 
 
 def unreferenced(
-    child: DataFrame, parent: DataFrame, child_keys: Sequence[str], parent_keys: Sequence[str]
+    child: DataFrame, parent: DataFrame, child_keys: Sequence[str], parent_keys: Sequence[str], rows: int | None = None
 ) -> DataFrame:
     """Q15: distinct child keys without a parent, as ``dangling``, with both tables in one aggregation.
 
-    Map tasks reduce each table to its distinct keys, and one exchange brings the two sides of a key together; a key
-    that most rows share is one row per task.
+    One exchange brings the two sides of a key together, with as many partitions as the ``rows`` of both tables need; they
+    are counted if not given. Rows that share a key meet in one task, which keeps one of them.
     """
     names = [f"_k{i}" for i in range(len(child_keys))]
 
     def side(df: DataFrame, keys: Sequence[str], is_parent: bool) -> DataFrame:
         return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(is_parent).alias("_parent"))
 
-    both = side(child, child_keys, False).unionByName(side(parent, parent_keys, True)).dropna(subset=names)
+    if rows is None:
+        rows = child.count() + parent.count()
+    both = spread(side(child, child_keys, False).unionByName(side(parent, parent_keys, True)).dropna(subset=names), names, rows)
     found = both.groupBy(*names).agg(F.bool_or("_parent").alias("_known")).where("NOT _known")
     return found.select(*[F.col(n).alias(k) for n, k in zip(names, child_keys)])
 
@@ -120,9 +123,11 @@ def audit_tables(
         if rules[name]:
             found = found.unionByName(violations(df.withColumn("key", key_text(own)), ["key"], rules[name]))
         parts.append(found.select(F.lit(name).alias("table_name"), "rule", "key"))
+    named = {name for child, _, parent, _ in references for name in (child, parent) if child in tables and parent in tables}
+    rows = {name: tables[name].count() for name in named}
     for child, child_keys, parent, parent_keys in references:
         if child in tables and parent in tables:
-            lost = unreferenced(tables[child], tables[parent], child_keys, parent_keys)
+            lost = unreferenced(tables[child], tables[parent], child_keys, parent_keys, rows[child] + rows[parent])
             rule = f"{','.join(child_keys)} references {parent}"
             parts.append(lost.select(F.lit(child).alias("table_name"), F.lit(rule).alias("rule"), key_text(child_keys).alias("key")))
     out = parts[0]

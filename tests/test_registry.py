@@ -416,3 +416,12 @@ def test_a_task_groups_a_bounded_number_of_stored_rows(spark, monkeypatch):
     out = reconcile.unfillable(stored, records, ["run_id", "image_id"])
     assert sorted(map(tuple, out.collect()), key=str) == sorted([("r", 0, 2), ("r", 5000, 0), ("r", 5000, 0), (None, 1, 0)], key=str)
     assert ", 21), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_groups_a_bounded_number_of_references(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    parents = spark.range(1000).select(F.col("id").alias("k"))
+    children = spark.range(1000).select((F.col("id") + 10).alias("p")).unionByName(spark.createDataFrame([(None,)], "p bigint"))
+    out = quality.unreferenced(children, parents, ["p"], ["k"])
+    assert sorted(r.p for r in out.collect()) == list(range(1000, 1010))
+    assert ", 21), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
