@@ -150,8 +150,8 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
     """
 
     def spread(batches):
+        keys, owners = [], []
         for batch in batches:
-            keys, owners = [], []
             for _, _, values, offsets in _sets(batch.column("text").to_pylist(), n):
                 key, owner = _fragment_keys(values, offsets, threshold)
                 keys.append(key)
@@ -159,8 +159,8 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
                 if sum(map(len, keys)) >= TOGETHER:
                     yield from sent(np.concatenate(keys), np.concatenate(owners))
                     keys, owners = [], []
-            if keys:
-                yield from sent(np.concatenate(keys), np.concatenate(owners))
+        if keys:
+            yield from sent(np.concatenate(keys), np.concatenate(owners))
 
     def sent(key, owner):
         order = np.lexsort((owner, key))

@@ -1,16 +1,19 @@
 """Near-copy groups, embedding groups and components against brute force, with hostile rows."""
 
+import glob
 import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskaudit.llm import embeddings, jaccard
 from maskaudit.llm.components import connected_components
-from maskaudit.llm.scratch import Scratch
+from maskaudit.llm.scratch import WRITING, Scratch
 
 
 def groups(nodes, links):
@@ -37,6 +40,27 @@ def test_components_of_paths_stars_and_loops(spark):
     assert connected_components(rows.limit(0), Scratch(spark)).count() == 0
 
 
+def test_a_table_is_written_in_small_batches_and_leaves_no_exchange(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    def exchanged():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+
+    before = {key: spark.conf.get(key) for key in WRITING}
+    held = exchanged()
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat(cast(id + 1000 as string), 1000) as text")
+    sent = Scratch(spark).put(texts.repartition(1, "text").mapInArrow(sizes, "size bigint"))
+    end = time.time() + 20
+    while exchanged() - held and time.time() < end:
+        time.sleep(0.2)
+    assert not exchanged() - held
+    assert 15e6 < sent.agg({"size": "sum"}).first()[0] and sent.agg({"size": "max"}).first()[0] < 5e6
+    assert {key: spark.conf.get(key) for key in WRITING} == before
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(words[i : i + 4]) for i in range(max(len(words) - 3, min(len(words), 1)))}
