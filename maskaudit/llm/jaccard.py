@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskaudit.llm import hashing as H
@@ -108,8 +108,9 @@ def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
     """Return (key, set index): keys of which two linked sets share at least one. Bits 32 to 37 hold the level.
 
     Two linked sets differ by at most d n-grams, and each spoils one fragment only. So if either set fills more than
-    d fragments, one of its fragments is whole in both. Sets that fill too few also put out the first n-grams of
-    their sets (prefix filter), so two such sets meet there.
+    d fragments, one of its fragments is whole in both. Where they meet, d is bounded by the level, which is that of the larger
+    one, and by the largest set that can be linked. Sets that fill too few also put out the first n-grams of their sets
+    (prefix filter), so two such sets meet there.
     """
     size = np.diff(offsets)
     part, whole = threshold
@@ -125,7 +126,7 @@ def _fragment_keys(values, offsets, threshold) -> tuple[np.ndarray, np.ndarray]:
             key = (key & ~LEVEL_BITS) | ((level[held] + up).astype(np.uint64) << np.uint64(32))
             keys.append(key[which[held]])
             owners.append(held[which[held]])
-        few |= which & (filled <= limit)
+        few |= which & (filled <= np.minimum(limit, level_differences(level + up)))
     if few.any():
         rank = np.arange(len(values)) - np.repeat(offsets[:-1], size)
         prefix = size - (part * size + whole - 1) // whole + 1
@@ -222,7 +223,7 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
 
 
 def _sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """Return (cluster, level, block, owner, grams: its n-grams in order) of ``docs`` (text and all but the last)."""
+    """Return (block, owner, grams: its n-grams in order) of ``docs`` (text and all but the last)."""
 
     def run(batches):
         for batch in batches:
@@ -231,14 +232,12 @@ def _sets_of(docs: DataFrame, n: int) -> DataFrame:
                 meant = np.flatnonzero(_owners(values, offsets) == batch.column("owner").slice(i, j - i).to_numpy())
                 raw = [values[offsets[k] : offsets[k + 1]].tobytes() for k in meant]
                 rows = pa.array(meant + i)
-                names = ["cluster", "level", "block", "owner"]
+                names = ["block", "owner"]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).take(rows) for c in names), pa.array(raw, pa.binary())], [*names, "grams"]
                 )
 
-    return docs.select("text", "cluster", "level", "block", "owner").mapInArrow(
-        run, "cluster bigint, level int, block int, owner bigint, grams binary"
-    )
+    return docs.select("text", "block", "owner").mapInArrow(run, "block bigint, owner bigint, grams binary")
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray], cut: int = CUT) -> np.ndarray:
@@ -302,10 +301,11 @@ def jaccard_components(
 
     1. Equal sets are one node. The n-gram order (by hash) is cut into fragments, more of them than linked sets can
        differ in; nodes that share a whole fragment are candidates. Passages that many texts share fill no fragment.
-    2. Candidates that hang together by enough keys are a cluster, cut into blocks by size and hash. Blocks of a cluster whose sizes
-       allow links are compared, each pair of blocks in a row of its own: overlaps are counted in each fragment of the
-       order separately and summed per pair of sets. A row gives at most one link per set, so a dense group of near
-       copies does not become pairs.
+    2. Candidates that hang together by enough keys are a cluster. A cluster is cut into blocks, owners with the same leader
+       together where they fit. The sets of a block are compared: overlaps are counted in each fragment of the order separately
+       and summed per pair of sets. A row gives at most one link per set, so a dense group of near copies does not become pairs.
+       Of two blocks of a cluster, those sets are compared that have enough keys in common with sets of the other block which
+       are not joined to them yet.
     3. Links are joined up.
 
     Texts without words are linked with nothing, whatever their number. Rows that repeat are kept; a NULL doc_id has a
@@ -321,23 +321,20 @@ def jaccard_components(
     shared = scratch.put(shared_keys(docs.where(F.col("doc_id").isNotNull()), int(0.4 * total) // BUCKET + 1, n, threshold))
     alive = scratch.put(_able(shared, nodes))
     scratch.drop(shared)
-    clusters = connected_components(_candidate_links(alive, nodes), scratch)
-    placed = clusters.select(F.col("node").alias("owner"), F.col("component").alias("cluster")).join(nodes, "owner")
-    sizes = placed.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
-    number = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
-    placed = placed.join(sizes.select("cluster", "level", number.alias("blocks")), ["cluster", "level"]).select(
-        "cluster", "level", F.pmod(F.xxhash64("owner"), "blocks").cast("int").alias("block"), "owner",
-        F.col("first_id").alias("doc_id"),
-    )
+    leaders = scratch.put(_leaders(alive))
+    clusters = connected_components(_candidate_links(alive, nodes, leaders), scratch)
+    placed = scratch.put(_placed(clusters, nodes, _homes(leaders, nodes)))
+    scratch.drop(leaders)
     # Rows of one doc_id are together after the join, so repeated ones go without another shuffle.
     found = docs.join(placed, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "owner", "_text"])
-    key = ["cluster", "level", "block"]
-    blocks = scratch.put(
-        _sets_of(found, n).groupBy(*key).agg(F.collect_list(F.struct("owner", "grams")).alias("sets"))
-    )
-    alone = blocks.where(F.size("sets") > 1).select(F.col("sets").alias("one"), F.lit(None).cast(SETS).alias("two"))
-    # A row holds two blocks, some megabytes: few go to Python together.
-    links = scratch.put(_links(alone, threshold).unionByName(_links(_block_pairs(blocks, threshold), threshold)), BLOCK_ROWS)
+    sets = scratch.put(_sets_of(found, n))
+    # A row holds a block or two, some megabytes: few go to Python together.
+    inside = scratch.put(_links(_inside(sets, placed), threshold), BLOCK_ROWS)
+    near = scratch.put(_near(alive, placed, connected_components(inside, scratch)))
+    scratch.drop(alive)
+    links = scratch.put(inside.unionByName(_links(_across(sets, near), threshold)), BLOCK_ROWS)
+    for table in (placed, sets, inside, near):
+        scratch.drop(table)
     joined = connected_components(links, scratch)
     smallest = (
         nodes.join(joined.withColumnRenamed("node", "owner"), "owner", "left")
@@ -353,18 +350,33 @@ def jaccard_components(
     )
 
 
+def _enough() -> Column:
+    """Whether a set has as many ``keys`` of the level ``at`` as it shares with a linked one that it meets there."""
+    return F.col("keys") >= F.when(F.col("at") == PREFIX, 1).otherwise(F.get("needs", F.col("at") - F.col("level")))
+
+
 def _able(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """Keep the rows of ``shared`` whose owners share enough keys with others to be linked at all."""
     level = F.col("key").bitwiseAND(F.lit(PREFIX)).cast("int")
     held = shared.groupBy("owner", level.alias("at")).agg(F.count(F.lit(1)).alias("keys"))
-    need = F.when(F.col("at") == PREFIX, 1).otherwise(F.get("needs", F.col("at") - F.col("level")))
     able = (
-        held.join(nodes.select("owner", "level", "needs"), "owner").where(F.col("keys") >= need).select("owner").distinct()
+        held.join(nodes.select("owner", "level", "needs"), "owner").where(_enough()).select("owner").distinct()
     )
     return shared.join(able, "owner", "left_semi")
 
 
-def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+def _leaders(shared: DataFrame) -> DataFrame:
+    """Return (owner, leader, keys): how many keys an owner holds whose smallest owner, their leader, that one is."""
+    least = shared.groupBy("key").agg(F.min("owner").alias("leader"))
+    return shared.join(least, "key").groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def _with_strength(leaders: DataFrame, nodes: DataFrame) -> DataFrame:
+    held = leaders.join(nodes.select("owner", F.array_min("needs").alias("need")), "owner")
+    return held.withColumn("strong", F.col("keys") * 4 >= F.col("need"))
+
+
+def _candidate_links(shared: DataFrame, nodes: DataFrame, leaders: DataFrame) -> DataFrame:
     """Return links (a, b) over which any two linked sets hang together, and few others.
 
     The smallest owner of a key is its leader. An owner that shares few keys with a leader holds them weakly. Weak
@@ -372,44 +384,93 @@ def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     shares with a linked set: linked sets that only share keys which one of both holds weakly need half of their
     common keys to be weak on one side. So passages that many texts share do not tie groups of near copies together.
     """
-    least = shared.groupBy("key").agg(F.min("owner").alias("leader"))
-    held = shared.join(least, "key")
-    counts = held.where(F.col("owner") != F.col("leader")).groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("keys"))
-    counts = counts.join(nodes.select("owner", F.array_min("needs").alias("need")), "owner")
-    strong = F.col("keys") * 4 >= F.col("need")
+    counts = _with_strength(leaders.where(F.col("owner") != F.col("leader")), nodes)
     loose = (
-        counts.where(~strong).groupBy("owner").agg(F.sum("keys").alias("weak"), F.first("need").alias("need"))
+        counts.where(~F.col("strong")).groupBy("owner").agg(F.sum("keys").alias("weak"), F.first("need").alias("need"))
         .where(F.col("weak") * 2 >= F.col("need")).select("owner")
     )
     kept = shared.join(loose, "owner", "left_semi").select("key").distinct()
-    tied = held.join(kept, "key", "left_semi").where(F.col("owner") != F.col("leader")).select("owner", "leader")
-    links = counts.where(strong).select("owner", "leader").unionByName(tied.distinct())
+    tied = _leaders(shared.join(kept, "key", "left_semi")).where(F.col("owner") != F.col("leader"))
+    links = counts.where("strong").select("owner", "leader").unionByName(tied.select("owner", "leader"))
     return links.select(F.col("owner").alias("a"), F.col("leader").alias("b"))
 
 
-SETS = "array<struct<owner:bigint,grams:binary>>"
+def _homes(leaders: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Return (owner, home): the leader, itself included, with whom an owner shares the most keys; equally many: the smallest."""
+    counts = _with_strength(leaders, nodes).where((F.col("owner") == F.col("leader")) | F.col("strong"))
+    return counts.groupBy("owner").agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("home"))
 
 
-def level_reach(threshold: tuple[int, int]) -> int:
-    """Return how many levels above a set a linked larger one can be; small sizes make the largest steps."""
-    size = np.arange(1, 4096)
-    part, whole = threshold
-    return int((fragment_level(size * whole // part, threshold) - fragment_level(size, threshold)).max())
+def _placed(clusters: DataFrame, nodes: DataFrame, homes: DataFrame) -> DataFrame:
+    """Return (owner, doc_id, level, needs, home, block, blocks: of the cluster, pieces: of those with the same home).
+
+    A cluster that is small enough is one block. In larger ones, homes are dealt to blocks, and a home with too many sets
+    for one is cut into blocks of its own.
+    """
+    placed = (
+        clusters.select(F.col("node").alias("owner"), F.col("component").alias("cluster")).join(nodes, "owner")
+        .join(homes, "owner", "left").withColumn("home", F.coalesce("home", "owner"))
+    )
+    number = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS))
+    placed = placed.join(placed.groupBy("cluster").agg(number.alias("blocks")), "cluster").join(
+        placed.groupBy("cluster", "home").agg(number.alias("pieces")), ["cluster", "home"]
+    )
+    dealt = F.xxhash64("cluster", F.pmod(F.xxhash64("home"), "blocks"))
+    cut = F.xxhash64("cluster", "home", F.pmod(F.xxhash64("owner"), "pieces"))
+    return placed.select(
+        "owner", F.col("first_id").alias("doc_id"), "level", "needs", "home",
+        F.when(F.col("pieces") == 1, dealt).otherwise(cut).alias("block"), "blocks", "pieces",
+    )
 
 
-def _block_pairs(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Return (one, two): the sets of each two blocks of a cluster whose levels allow links.
+def _inside(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Return (one, two: NULL): the sets of each block. The home of a piece is added, so that pieces of a dense group get joined."""
+    heads = placed.where(F.col("pieces") > 1).select("block", F.col("home").alias("owner")).distinct()
+    heads = heads.join(placed.select("owner", F.col("block").alias("own")), "owner").where(F.col("block") != F.col("own"))
+    added = heads.select("owner", "block").join(sets.select("owner", "grams"), "owner").select("block", "owner", "grams")
+    blocks = sets.unionByName(added).groupBy("block").agg(F.collect_list(F.struct("owner", "grams")).alias("one"))
+    return blocks.where(F.size("one") > 1).select("one", F.lit(None).cast(SETS).alias("two"))
 
-    Only the blocks' names are paired, in clusters of several blocks; their sets then follow by name.
+
+def _near(shared: DataFrame, placed: DataFrame, joined: DataFrame) -> DataFrame:
+    """Return (owner, block, other): sets that can be linked with one of the block ``other`` which is not joined to them yet.
+
+    An owner shares as many keys with the owners of another block as it needs with a linked set, at the same level. Keys
+    whose owners are all joined count for nobody.
     """
-    key = ["cluster", "level", "block"]
-    names = blocks.select(*key)
-    below = names.select("cluster", F.col("level").alias("l1"), F.col("block").alias("b1"))
-    beside = below.withColumn("level", F.explode(F.sequence("l1", F.col("l1") + level_reach(threshold))))
-    pairs = beside.join(names, ["cluster", "level"]).where((F.col("l1") < F.col("level")) | (F.col("b1") < F.col("block")))
-    first = blocks.select("cluster", F.col("level").alias("l1"), F.col("block").alias("b1"), F.col("sets").alias("one"))
-    second = blocks.select(*key, F.col("sets").alias("two"))
-    return pairs.join(first, ["cluster", "l1", "b1"]).join(second, key).select("one", "two")
+    unit = (
+        placed.where(F.col("blocks") > 1).select("owner", "level", "needs", "block")
+        .join(joined.withColumnRenamed("node", "owner"), "owner", "left")
+        .withColumn("component", F.coalesce("component", "owner"))
+    )
+    held = shared.join(unit.select("owner", "block", "component"), "owner").dropDuplicates(["key", "owner"])
+    spots = held.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = spots.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("spots"))
+    mixed = mixed.where((F.col("spots") > 1) & (F.col("low") != F.col("high"))).select("key")
+    met = held.join(mixed, "key", "left_semi").join(spots.withColumnRenamed("block", "other"), "key").where(
+        (F.col("block") != F.col("other"))
+        & ((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
+    )
+    at = F.col("key").bitwiseAND(F.lit(PREFIX)).cast("int").alias("at")
+    counts = met.groupBy("owner", "other", at).agg(F.count(F.lit(1)).alias("keys"))
+    near = counts.join(unit.select("owner", "block", "level", "needs"), "owner").where(_enough())
+    return near.select("owner", "block", "other").distinct()
+
+
+def _across(sets: DataFrame, near: DataFrame) -> DataFrame:
+    """Return (one, two): of each two blocks the sets that can be linked with a set of the other one."""
+    back = near.select(F.col("other").alias("block"), F.col("block").alias("other")).distinct()
+    left = F.col("block") < F.col("other")
+    sides = near.join(back, ["block", "other"], "left_semi").select(
+        "owner", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), left.alias("left")
+    )
+    one = F.struct("owner", "grams")
+    return sides.join(sets.select("owner", "grams"), "owner").groupBy("low", "high").agg(
+        F.collect_list(F.when(F.col("left"), one)).alias("one"), F.collect_list(F.when(~F.col("left"), one)).alias("two")
+    ).select("one", "two")
+
+
+SETS = "array<struct<owner:bigint,grams:binary>>"
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
