@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskaudit.llm import hashing as H
@@ -147,7 +147,7 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
     A run of about TOGETHER keys sends each of its keys to the key's bucket once, with the smallest owner that has it;
     what a run finds to be shared within itself goes to a bucket of its own choice. So a key that very many sets have
     reaches its bucket once per run, a bucket holds about BUCKET keys, whatever the size of the table, and a task
-    holds one run.
+    holds one run. A key is its bucket and 40 bits, so that few keys are shared by chance.
     """
 
     def spread(batches):
@@ -179,10 +179,11 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
         key, owner = key[first], owner[first]
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        key, owner, bucket = (key[order] >> np.uint64(32)).astype(np.uint32), owner[order], bucket[order]
+        key, owner, bucket = key[order], owner[order], bucket[order]
+        high, low = (key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(24)).astype(np.uint8)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-            out.append((int(bucket[a]), False, key[a:b].tobytes(), owner[a:b].tobytes()))
+            out.append((int(bucket[a]), False, high[a:b].tobytes() + low[a:b].tobytes(), owner[a:b].tobytes()))
         if out:
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
@@ -198,10 +199,12 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
             owner = np.frombuffer(owner, dtype=np.int64)
             if local:
                 full = np.frombuffer(key, dtype=np.uint64)
-                keys.append(((full % np.uint64(buckets)) << np.uint64(32)) | (full >> np.uint64(32)))
+                low = (full >> np.uint64(24)) & np.uint64(255)
+                keys.append(((full % np.uint64(buckets)) << np.uint64(40)) | (low << np.uint64(32)) | (full >> np.uint64(32)))
                 owners.append(owner)
             else:
-                once.append(np.frombuffer(key, dtype=np.uint32))
+                high, low = np.frombuffer(key, np.uint32, len(owner)), np.frombuffer(key, np.uint8, offset=4 * len(owner))
+                once.append((low.astype(np.uint64) << np.uint64(32)) | high)
                 holder.append(owner)
         if once:
             key, owner = np.concatenate(once), np.concatenate(holder)
@@ -212,7 +215,7 @@ def shared_keys(docs: DataFrame, buckets: int, n: int = NGRAM, threshold: tuple[
             key, owner = key[fresh], owner[fresh]
             same = key[1:] == key[:-1]
             many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            keys.append((np.uint64(bucket) << np.uint64(32)) | key[many].astype(np.uint64))
+            keys.append((np.uint64(bucket) << np.uint64(40)) | key[many])
             owners.append(owner[many])
         return pa.table({
             "key": np.concatenate(keys).astype(np.int64), "owner": np.concatenate(owners),
@@ -303,8 +306,8 @@ def jaccard_components(
 
     1. Equal sets are one node. The n-gram order (by hash) is cut into fragments, more of them than linked sets can
        differ in; nodes that share a whole fragment are candidates. Passages that many texts share fill no fragment.
-    2. Candidates that hang together by enough keys are a cluster, cut into blocks by size and hash. Blocks of a cluster whose sizes
-       allow links are compared, each pair of blocks in a row of its own: overlaps are counted in each fragment of the
+    2. Of its keys a set keeps the rarest, so many that linked sets still share one of those. What hangs together by these is a
+       cluster, cut into blocks by size and hash. Blocks of a cluster whose sizes allow links are compared, each pair of blocks in a row of its own: overlaps are counted in each fragment of the
        order separately and summed per pair of sets. A row gives at most one link per set, so a dense group of near
        copies does not become pairs.
     3. Links are joined up.
@@ -320,9 +323,10 @@ def jaccard_components(
     )
     total = own.agg(F.sum("n")).collect()[0][0] or 0
     shared = scratch.put(shared_keys(docs.where(F.col("doc_id").isNotNull()), int(0.4 * total) // BUCKET + 1, n, threshold))
-    alive = scratch.put(_able(shared, nodes))
+    rarest = scratch.put(_rarest(shared, nodes))
     scratch.drop(shared)
-    clusters = connected_components(_candidate_links(alive, nodes), scratch)
+    clusters = connected_components(_candidate_links(rarest), scratch)
+    scratch.drop(rarest)
     placed = clusters.select(F.col("node").alias("owner"), F.col("component").alias("cluster")).join(nodes, "owner")
     sizes = placed.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     number = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS))
@@ -339,6 +343,7 @@ def jaccard_components(
     alone = blocks.where(F.size("sets") > 1).select(F.col("sets").alias("one"), F.lit(None).cast(SETS).alias("two"))
     # A row holds two blocks, some megabytes: few go to Python together.
     links = scratch.put(_links(alone, threshold).unionByName(_links(_block_pairs(blocks, threshold), threshold)), BLOCK_ROWS)
+    scratch.drop(blocks)
     joined = connected_components(links, scratch)
     smallest = (
         nodes.join(joined.withColumnRenamed("node", "owner"), "owner", "left")
@@ -354,38 +359,31 @@ def jaccard_components(
     )
 
 
-def _able(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Keep the rows of ``shared`` whose owners share enough keys with others to be linked at all."""
+def _rarest(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Keep of the keys of an owner and level the rarest ones, so many that any two linked sets still share one of those.
+
+    Put the keys in one order, those that fewer owners have first. The first one of the at least ``need`` keys that two linked
+    sets share has ``need`` - 1 of them after it in either set, so it is not among the last ``need`` - 1 keys of a set. Those are
+    passages that many texts share, for most sets; a set that shares fewer than ``need`` keys keeps none.
+    """
     level = F.col("key").bitwiseAND(F.lit(PREFIX)).cast("int")
-    held = shared.groupBy("owner", level.alias("at")).agg(F.count(F.lit(1)).alias("keys"))
+    often = shared.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    held = shared.join(often, "key").join(nodes.select("owner", "level", "needs"), "owner").withColumn("at", level)
     need = F.when(F.col("at") == PREFIX, 1).otherwise(F.get("needs", F.col("at") - F.col("level")))
-    able = (
-        held.join(nodes.select("owner", "level", "needs"), "owner").where(F.col("keys") >= need).select("owner").distinct()
+    own = Window.partitionBy("owner", "at")
+    # A row that repeats counts in both numbers, so it only keeps more.
+    ranked = held.select(
+        "key", "owner", need.alias("need"), F.count(F.lit(1)).over(own).alias("keys"),
+        F.row_number().over(own.orderBy("often", "key")).alias("rank"),
     )
-    return shared.join(able, "owner", "left_semi")
-
+    return ranked.where(F.col("rank") <= F.col("keys") - F.col("need") + 1).select("key", "owner")
 
-def _candidate_links(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Return links (a, b) over which any two linked sets hang together, and few others.
 
-    The smallest owner of a key is its leader. An owner that shares few keys with a leader holds them weakly. Weak
-    keys are dropped as links, unless an owner of the key holds so many weakly that these alone could be those that it
-    shares with a linked set: linked sets that only share keys which one of both holds weakly need half of their
-    common keys to be weak on one side. So passages that many texts share do not tie groups of near copies together.
-    """
+def _candidate_links(shared: DataFrame) -> DataFrame:
+    """Return links (a, b) over which the owners of every key hang together: each one with the smallest, their leader."""
     least = shared.groupBy("key").agg(F.min("owner").alias("leader"))
-    held = shared.join(least, "key")
-    counts = held.where(F.col("owner") != F.col("leader")).groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("keys"))
-    counts = counts.join(nodes.select("owner", F.array_min("needs").alias("need")), "owner")
-    strong = F.col("keys") * 4 >= F.col("need")
-    loose = (
-        counts.where(~strong).groupBy("owner").agg(F.sum("keys").alias("weak"), F.first("need").alias("need"))
-        .where(F.col("weak") * 2 >= F.col("need")).select("owner")
-    )
-    kept = shared.join(loose, "owner", "left_semi").select("key").distinct()
-    tied = held.join(kept, "key", "left_semi").where(F.col("owner") != F.col("leader")).select("owner", "leader")
-    links = counts.where(strong).select("owner", "leader").unionByName(tied.distinct())
-    return links.select(F.col("owner").alias("a"), F.col("leader").alias("b"))
+    links = shared.join(least, "key").where(F.col("owner") != F.col("leader"))
+    return links.select(F.col("owner").alias("a"), F.col("leader").alias("b")).distinct()
 
 
 SETS = "array<struct<owner:bigint,grams:binary>>"

@@ -10,6 +10,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from maskaudit.llm import embeddings, jaccard
 from maskaudit.llm.components import connected_components
@@ -117,6 +118,61 @@ def test_sets_that_fill_enough_fragments_put_out_no_prefix():
     assert not ((keys >> np.uint64(32)) % np.uint64(64) == jaccard.PREFIX).any()
 
 
+def passage_groups(rng, number, copies=3):
+    """Groups of near copies; half of every text is a passage that all texts have in common."""
+    words = [f"w{i}" for i in range(5000)]
+    passage, rows, want = rng.choices(words, k=170), [], {}
+    for i in range(number):
+        own = rng.choices(words, k=170)
+        for j in range(copies):
+            rows.append((copies * i + j, " ".join([*passage, *own, *(f"more{x}" for x in range(j))])))
+            want[copies * i + j] = copies * i
+    return rows, want
+
+
+def test_a_passage_of_all_texts_does_not_make_them_one_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    links, compared = jaccard._links, []
+
+    def counted(rows, threshold):
+        compared.append(sum(len(r["one"]) + len(r["two"] or []) for r in rows.collect()))
+        return links(rows, threshold)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+
+    def run(number):
+        compared.clear()
+        rows, want = passage_groups(random.Random(11), number)
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        return sum(compared)
+
+    few, many = run(20), run(60)
+    assert 60 <= few <= 200 and many <= 4 * few
+
+
+@pytest.mark.parametrize("threshold", [(85, 100), (80, 100)])
+def test_linked_sets_share_a_key_that_is_kept(spark, threshold):
+    rng = random.Random(5)
+    rows, _ = passage_groups(rng, 6, 4)
+    rows += [(100 + i, t) for i, t in enumerate(near_copies(rng)) if shingles(t)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    own = jaccard.members(docs, 4, threshold)
+    nodes = own.groupBy("owner").agg(*[F.first(c).alias(c) for c in ("n", "level", "needs")])
+    shared = jaccard.shared_keys(docs, 3, 4, threshold)
+    kept = {}
+    for r in jaccard._rarest(shared, nodes).collect():
+        kept.setdefault(r["owner"], set()).add(r["key"])
+    owner = {r["doc_id"]: r["owner"] for r in own.collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [
+        (a, b) for a, b in itertools.combinations(sets, 2)
+        if owner[a] != owner[b] and threshold[1] * len(sets[a] & sets[b]) >= threshold[0] * len(sets[a] | sets[b])
+    ]
+    assert len(linked) > 50 and all(kept.get(owner[a], set()) & kept.get(owner[b], set()) for a, b in linked)
+    assert sum(map(len, kept.values())) < 0.8 * shared.distinct().count()
+
+
 def test_a_dense_group_of_many_blocks_is_joined(spark, monkeypatch):
     copies = 40
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
