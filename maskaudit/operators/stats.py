@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +12,13 @@ from pyspark.sql import functions as F
 from maskaudit.functions import draws
 from maskaudit.operators.ranking import exact_quantiles, keyed_rank, null_safe_join
 
-DRAWS = 128  # resamples of one block of draws
-POSITIONS = 4096  # positions of one block of draws, and of one block of values
-SIZES = 1024  # group sizes that lie in one range share their draws
-COLUMNS = 32  # groups whose values stand side by side in one block, on average
-SPREAD = 8  # copies of a block of values, which blocks of draws are dealt to
+DRAWS = 128  # resamples that are drawn together at most
+POSITIONS = 4096  # positions of one line of values
+SIZES = 2  # group sizes whose ratio is less share their draws
+CELLS = 1 << 23  # values that a task holds, about; a multiple of POSITIONS
+COLUMNS = 1024  # groups that a task holds, about
+DRAWN = 1 << 21  # draws that a task holds
+LANES = 32  # parts of the resamples, each with a copy of the values
 
 
 def long_metrics(items: DataFrame, keys: Sequence[str], id_col: str, metrics: Sequence[str]) -> DataFrame:
@@ -57,97 +58,87 @@ def too_few(summary: DataFrame) -> DataFrame:
     return summary.where("n < 2")
 
 
-def _value_blocks(placed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Return (n, block, names, matrix): the values of ``POSITIONS`` positions of some groups of size n, group by group."""
-    many = sizes.groupBy("n").agg(F.ceil(F.count("*") / F.lit(COLUMNS)).alias("_chunks"))
-    chunk = F.pmod(F.xxhash64("_g"), F.col("_chunks")).alias("_chunk")
-    named = sizes.join(many, "n").select("n", "_g", chunk)
-    lines = (
-        placed.join(named, "_g")
-        .groupBy("n", "_chunk", "_g", F.floor(F.col("pos") / F.lit(POSITIONS)).alias("block"))
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_l"))
-    )
-    return lines.groupBy("n", "_chunk", "block").agg(
-        F.collect_list(F.struct(F.col("_g").alias("name"), F.col("_l.value").alias("line"))).alias("lines")
+def _chunks(sizes: DataFrame) -> DataFrame:
+    """Return (_g, n, class, chunk): groups of one class have similar sizes, those of one chunk fit into a task.
+
+    Of a group with more than ``CELLS`` values, that many at a time count.
+    """
+    kind = F.floor(F.log(float(SIZES), F.col("n").cast("double")))
+    placed = sizes.select("_g", "n", kind.alias("class"))
+    held = F.sum(F.least(F.col("n"), F.lit(CELLS)))
+    number = F.greatest(F.ceil(held / F.lit(CELLS)), F.ceil(F.count("*") / F.lit(COLUMNS)))
+    return placed.join(placed.groupBy("class").agg(number.alias("_chunks")), "class").select(
+        "_g", "n", "class", F.pmod(F.xxhash64("_g"), F.col("_chunks")).alias("chunk")
     )
 
 
-def _draw_blocks(sizes: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """Return (n, resamples_at, block, cells, counts): how often each resample draws each position of a block.
+def _resample_sums(placed: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """Return (_g, n, resample, total) of ``placed`` (_g, n, class, chunk, pos, value): the sums of resampled values.
 
-    Position j of resample r draws by a hash of (seed, r, j). A task makes the draws of ``DRAWS`` resamples and
-    ``POSITIONS`` positions once for all group sizes of one range, takes them modulo each size and counts.
+    Position j of resample r draws by a hash of (seed, r, j). The values are what moves: every part of the resamples gets a
+    copy of them and makes its draws where they are, once for all groups of a chunk. It takes them modulo each size and
+    multiplies the counts (resample x position) by the values (position x group). Groups with more than ``CELLS`` values
+    come in pieces; all draws are made for each of these, and those of other pieces are passed over.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                start, stop = row["at"], min(row["at"] + DRAWS, resamples)
-                tails = [b"%d" % j for j in range(row["from"], min(row["from"] + POSITIONS, max(row["ns"])))]
-                digests = []
-                for r in range(start, stop):
-                    head = hashlib.md5(b"%d|bootstrap|%d|" % (seed, r), usedforsecurity=False)
-                    for tail in tails:
-                        one = head.copy()
-                        one.update(tail)
-                        digests.append(one.digest()[:8])
-                drawn = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64).reshape(stop - start, len(tails))
-                drawn >>= np.uint64(64 - 4 * draws.DRAW_HEX_DIGITS)
-                for n in row["ns"]:
-                    own = (drawn[:, : max(n - row["from"], 0)] % np.uint64(n)).astype(np.int64)
-                    resample = np.repeat(np.arange(len(own)), own.shape[1])
-                    block = (own // POSITIONS).ravel()
-                    at = (block * DRAWS + resample) * POSITIONS + (own % POSITIONS).ravel()
-                    if n <= POSITIONS:  # one block, of which most cells are drawn
-                        tally = np.bincount(at)
-                        cell = np.flatnonzero(tally)
-                        times = tally[cell]
-                    else:
-                        cell, times = np.unique(at, return_counts=True)
-                    edges = np.flatnonzero(np.diff(cell // (DRAWS * POSITIONS), prepend=-1))
-                    for a, b in zip(edges, [*edges[1:], len(cell)]):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([n]), pa.array([start], pa.int32()), pa.array([cell[a] // (DRAWS * POSITIONS)]),
-                             pa.array([(cell[a:b] % (DRAWS * POSITIONS)).astype(np.int32).tobytes()]),
-                             pa.array([times[a:b].astype(np.int32).tobytes()])],
-                            ["n", "resamples_at", "block", "cells", "counts"],
-                        )
-
-    ranges = sizes.groupBy(F.floor(F.col("n") / F.lit(SIZES)).alias("_range")).agg(
-        F.sort_array(F.collect_set("n")).alias("ns")
+    lanes = min(LANES, resamples)
+    cells, drawn_at_once = CELLS, DRAWN
+    together, positions = DRAWS, POSITIONS
+
+    def sums(table: pa.Table) -> pa.Table:
+        lane, piece = table.column("lane")[0].as_py(), table.column("piece")[0].as_py()
+        first, last = lane * resamples // lanes, (lane + 1) * resamples // lanes
+        size, name, block = (table.column(c).to_pylist() for c in ("n", "_g", "block"))
+        at = {}  # of a size: the rows of its matrix
+        for n, g in zip(size, name):
+            names = at.setdefault(n, {})
+            names.setdefault(g, len(names))
+        low = piece * cells
+        matrices = {n: np.zeros((len(names), min(n - low, cells))) for n, names in at.items()}
+        k = 0
+        for chunk in table.column("line").chunks:
+            ends, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
+            for a, b in zip(ends, ends[1:]):
+                n, start = size[k], block[k] * positions - low
+                matrices[n][at[n][name[k]], start : start + b - a] = flat[a:b]
+                k += 1
+        del table
+        longest = max(at)
+        step = max(1, min(together, drawn_at_once // longest))
+        out = []
+        for start in range(first, last, step):
+            rows = range(start, min(start + step, last))
+            drawn = draws.draw_table(seed, "bootstrap", rows, range(longest))
+            for n, matrix in matrices.items():
+                own = drawn[:, :n]
+                own = (own - own // np.uint64(n) * np.uint64(n)).view(np.int64)
+                counts = np.empty((len(rows), matrix.shape[1]))
+                for r, line in enumerate(own):
+                    if n > cells:
+                        line = line[(line >= low) & (line < low + cells)] - low
+                    counts[r] = np.bincount(line, minlength=matrix.shape[1])
+                total = counts @ matrix.T
+                out.append(pa.record_batch({
+                    "_g": pa.array(list(at[n])).take(pa.array(np.tile(np.arange(len(matrix)), len(rows)))),
+                    "n": np.full(total.size, n), "total": total.ravel(),
+                    "resample": np.repeat(np.arange(rows.start, rows.stop, dtype=np.int32), len(matrix)),
+                }).select(["_g", "n", "resample", "total"]))
+        return pa.Table.from_batches(out)
+
+    lines = placed.groupBy("_g", "n", "class", "chunk", F.floor(F.col("pos") / F.lit(POSITIONS)).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_l")
     )
-    tasks = ranges.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(DRAWS)))).withColumn(
-        "from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.array_max("ns") - 1, F.lit(POSITIONS).cast("bigint")))
+    key = ["class", "chunk", "piece", "lane"]
+    moved = lines.select(
+        "_g", "n", "class", "chunk", "block", F.floor(F.col("block") * F.lit(POSITIONS) / F.lit(CELLS)).alias("piece"),
+        F.col("_l.value").alias("line"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
     )
     # Few rows of much work: a fixed number of partitions, as merged by their size they would be too few.
-    partitions = 4 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.select("ns", "at", "from").repartition(partitions, "at", "from", "ns").mapInArrow(
-        count, "n bigint, resamples_at int, block bigint, cells binary, counts binary"
+    partitions = 4 * max(LANES, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return moved.repartition(partitions, *key).groupBy(*key).applyInArrow(
+        sums, "_g string, n bigint, resample int, total double"
     )
 
 
-def _block_sums(meetings: DataFrame) -> DataFrame:
-    """Multiply counts (resample x position) by values (position x group)."""
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                values = np.array([x["line"] for x in row["lines"]], dtype=np.float64)
-                counts = np.zeros(DRAWS * POSITIONS)
-                counts[np.frombuffer(row["cells"], dtype=np.int32)] = np.frombuffer(row["counts"], dtype=np.int32)
-                counts = counts.reshape(DRAWS, POSITIONS)
-                hit = np.flatnonzero(counts.any(axis=1))
-                sums = counts[hit, : values.shape[1]] @ values.T
-                names = pa.array([x["name"] for x in row["lines"]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(hit + row["resamples_at"], len(names)).astype(np.int32)),
-                     names.take(pa.array(np.tile(np.arange(len(names)), len(hit)))), pa.array(sums.ravel())],
-                    ["resample", "_g", "total"],
-                )
-
-    return meetings.mapInArrow(multiply, "resample int, _g string, total double")
-
-
 def bootstrap_mean_ci(
     values: DataFrame, groups: Sequence[str], id_col: str, resamples: int, seed: int, level: float
 ) -> DataFrame:
@@ -157,9 +148,8 @@ def bootstrap_mean_ci(
     alone, so metrics with the same images are resampled with the same draws. The values are placed
     by a hash of their id, which needs no ordered pass over a group.
 
-    A resample is a row of counts, how often it draws each position, and is made once for all groups of one size. Blocks
-    of these rows are multiplied with blocks of the groups' values and the products summed, so the work is a matrix
-    product and no draw becomes a row.
+    A resample is a row of counts, how often it draws each position. Blocks of these rows are multiplied with the groups'
+    values and the products summed, so the work is a matrix product, no draw becomes a row and none is shuffled.
     """
     if not 0 < level < 1:
         raise ValueError(f"level must lie in (0, 1), got {level}")
@@ -171,15 +161,10 @@ def bootstrap_mean_ci(
     keyed = values.select("_g", id_col, F.col("value").cast("double").alias("value")).withColumn(
         "_d", draws.draw(seed, "position", F.col(id_col))
     )
-    placed = keyed_rank(keyed, ["_g"], "_d", id_col, "pos").select("_g", "pos", "value")
     sizes = values.groupBy(*groups, "_g").agg(F.count("*").alias("n"))
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    blocks = _value_blocks(placed, sizes).withColumn("_lane", lanes)
-    drawn = _draw_blocks(sizes, resamples, seed).withColumn("_lane", (F.col("resamples_at") / DRAWS).cast("int") % SPREAD)
-    # Spark takes a block of draws for as small as the row it is made from, and would send all of them through the driver.
-    meetings = drawn.hint("merge").join(blocks, ["n", "block", "_lane"])
-    sums = _block_sums(meetings.select("resamples_at", "cells", "counts", "lines"))
-    means = sums.groupBy("_g", "resample").agg(F.sum("total").alias("total")).join(sizes.select("_g", "n"), "_g").select(
+    placed = keyed_rank(keyed, ["_g"], "_d", id_col, "pos", _chunks(sizes)).select("_g", "n", "class", "chunk", "pos", "value")
+    sums = _resample_sums(placed, resamples, seed)
+    means = sums.groupBy("_g", "n", "resample").agg(F.sum("total").alias("total")).select(
         "_g", (F.col("total") / F.col("n")).alias("m")
     )
     tail = (1 - level) / 2

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskaudit import schemas
+from maskaudit.functions import draws
 from maskaudit.operators import metrics, patches, quality, ranking, spatial, stats
 from maskaudit.plans import queries
 from maskaudit.sources import tables
@@ -86,6 +87,60 @@ def test_bootstrap_is_that_of_single_draws(spark, monkeypatch, blocks):
         assert (out[g].ci_low, out[g].ci_high) == (pytest.approx(low), pytest.approx(high))
 
 
+@pytest.mark.parametrize("cells", [4, 12, 1 << 23])
+def test_bootstrap_of_groups_in_pieces_and_chunks(spark, monkeypatch, cells):
+    for name, value in (("POSITIONS", 4), ("CELLS", cells), ("COLUMNS", 2), ("LANES", 3), ("DRAWN", 50)):
+        monkeypatch.setattr(stats, name, value)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.random(31), "b": rng.random(31), "c": rng.random(17), "d": rng.random(1), "e": rng.random(16)}
+    rows = [(g, f"i{k}", float(v)) for g, values in groups.items() for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, image_id string, value double").repartition(3)
+    out = {r.g: r for r in stats.bootstrap_mean_ci(df, ["g"], "image_id", 25, 5, 0.9).collect()}
+    assert set(out) == set(groups)
+    for g, values in groups.items():
+        low, high = plain_bootstrap(values, [f"i{k}" for k in range(len(values))], 25, 5, 0.9)
+        assert (out[g].ci_low, out[g].ci_high) == (pytest.approx(low), pytest.approx(high))
+
+
+@pytest.mark.parametrize("purpose", ["bootstrap", "x" * 46])
+def test_draw_tables_are_single_draws(purpose):
+    for rows, columns in ((range(0, 12), range(0, 120)), (range(98, 102), range(99_990, 100_020)), (range(3), range(0))):
+        got = draws.draw_table(20260927, purpose, rows, columns)
+        want = [
+            [int(hashlib.md5(f"20260927|{purpose}|{r}|{j}".encode()).hexdigest()[: draws.DRAW_HEX_DIGITS], 16) for j in columns]
+            for r in rows
+        ]
+        assert got.tolist() == want
+
+
+def exchanged(plan):
+    """Bytes that the exchanges of a plan that has run have written."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return exchanged(plan.executedPlan())
+    if "QueryStage" in name:
+        return exchanged(plan.plan())
+    if name.startswith("ReusedExchange"):
+        return 0
+    own = plan.metrics().get("dataSize").get().value() if name == "Exchange" else 0
+    children = plan.children()
+    return own + sum(exchanged(children.apply(i)) for i in range(children.size()))
+
+
+def test_draws_of_the_bootstrap_are_not_shuffled(spark):
+    df = spark.range(3000).select(
+        F.lit("g").alias("g"), F.col("id").cast("string").alias("image_id"), (F.col("id") % 7).cast("double").alias("value")
+    )
+
+    def written(resamples):
+        out = stats.bootstrap_mean_ci(df, ["g"], "image_id", resamples, 1, 0.9)
+        out.collect()
+        return exchanged(out._jdf.queryExecution().executedPlan())
+
+    few, many = written(100), written(1000)
+    assert 0 < few and many - few < 900 * 500  # 900 x 3000 draws
+
+
 def test_values_are_read_once_for_all_passes(spark):
     rows = [(f"r{k % 3}", f"i{k}", float(k % 7)) for k in range(60)]
     df = spark.createDataFrame(rows, "run_id string, image_id string, value double").repartition(4, "run_id")
