@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from maskaudit import schemas
 from maskaudit.functions import draws
 from maskaudit.operators import metrics, patches, quality, ranking, spatial, stats
-from maskaudit.plans import queries
+from maskaudit.plans import queries, reports
 from maskaudit.sources import tables
+from workload import bindings
+
+SF = "/root/testdata/sf0.001"
 
 
 def bits(v):
@@ -150,6 +153,20 @@ def test_values_are_read_once_for_all_passes(spark):
     assert final.count("REPARTITION_BY_COL") - final.count("ReusedExchange") <= 2
 
 
+def scans(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_the_passes_of_a_report_work_the_metrics_out_once(spark):
+    metric_rows = bindings.eval_metrics(spark, SF)
+    values = stats.long_metrics(metric_rows, ["run_id"], "image_id", ("dice", "auc_roc"))
+    assert scans(stats.bootstrap_mean_ci(values, ["run_id", "metric"], "image_id", 20, 1, 0.9)) <= scans(values)
+    # The images and, behind another filter, one more exchange of the pixels.
+    assert scans(reports.headline(bindings.eval_tables(spark, SF), bindings.DATASET, resamples=20)) <= scans(metric_rows) + 2
+
+
 def test_envelopes_equal_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(200):
