@@ -164,7 +164,10 @@ def test_the_passes_of_a_report_work_the_metrics_out_once(spark):
     values = stats.long_metrics(metric_rows, ["run_id"], "image_id", ("dice", "auc_roc"))
     assert scans(stats.bootstrap_mean_ci(values, ["run_id", "metric"], "image_id", 20, 1, 0.9)) <= scans(values)
     # The images and, behind another filter, one more exchange of the pixels.
-    assert scans(reports.headline(bindings.eval_tables(spark, SF), bindings.DATASET, resamples=20)) <= scans(metric_rows) + 2
+    t = bindings.eval_tables(spark, SF)
+    assert scans(reports.headline(t, bindings.DATASET, resamples=20)) <= scans(metric_rows) + 2
+    widths = stats.summarize(reports._long(queries.held_out(metric_rows, bindings.DATASET), reports.WIDTHS), ["run_id", "metric"])
+    assert scans(reports.width_summary(t, bindings.DATASET, resamples=20)) <= scans(widths)
 
 
 def test_envelopes_equal_brute_force():
